@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
+from tessera.llm import chat_quotes, embedding_dedup, exact_dedup, html_extract, language_id, mixing, packing, simhash_dedup, token_counts, token_output
 from tessera.session import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("target_weight", F.round("target_weight", 9))
 
@@ -23,18 +27,45 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.chat_threads(table(spark, sf_dir, "conversations"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_temperature_mixing, op3_exact_dedup, op4_best_fit_packing, op6_simhash_dedup, op10_language_id]
+    found = [
+        op1_embedding_dedup,
+        op2_temperature_mixing,
+        op3_exact_dedup,
+        op4_best_fit_packing,
+        op5_token_output,
+        op6_simhash_dedup,
+        op7_html_extraction,
+        op8_token_counts,
+        op9_chat_formatting,
+        op10_language_id,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_temperature_mixing": mixing.MIX_SQL, "op3_exact_dedup": exact_dedup.EXACT_SQL}
+    return {"op2_temperature_mixing": mixing.MIX_SQL, "op3_exact_dedup": exact_dedup.EXACT_SQL, "op9_chat_formatting": chat_quotes.CHAT_SQL}
