@@ -4,7 +4,9 @@ The tokenizer's pre-splitting never joins characters across the start of a
 white-space run that follows other characters. A text can therefore be cut
 there, and each piece encoded once and remembered: the ids are those of the
 whole text. Texts with white space other than blank and line feed are encoded
-as a whole. Memory is bounded: the memo is emptied when it is full.
+as a whole. New words of some texts are encoded as one text and cut apart again,
+which must agree with the tokens' lengths, or they are encoded one by one. Memory
+is bounded: the memo holds two generations of pieces.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ import numpy as np
 
 #: Pieces longer than this, such as base64 blobs, are not remembered.
 LONGEST_REMEMBERED = 40
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 
 _odd_space = re.compile(r"[^\S \n]")
+_word = re.compile(r"[ \n][^\s]{1,40}\Z").match
+#: A word of Latin letters with marks after it, which never become one token.
+_marked = re.compile(r"([ \n][A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]{1,40})([.,;:!?*#$%&+=|()\"-]+)\Z").match
 _pieces = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
@@ -47,26 +52,62 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # A byte-level token is written with one character for each of its bytes.
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.memo: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each start with a white-space character and hold no other: encoded as one text, then cut."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum(self.lengths[ids])
+        wanted = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in words])
+        cuts = np.searchsorted(ends, wanted, side="right")
+        if not len(ids) or not (ends[cuts - 1] == wanted).all():
+            return self._ids(words)
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        """Two generations of remembered pieces: what was not used for a whole generation is forgotten."""
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.memo, self.aged = {}, self.memo
+        memo, aged = self.memo, self.aged
         memo[""] = b""
-        out = []
-        for text in texts:
-            parts = pieces(text)
-            try:
-                out.append(b"".join(map(memo.__getitem__, parts)))
-            except KeyError:
-                new = [x for x in dict.fromkeys(parts) if x not in memo]
-                fresh = dict(zip(new, self._ids(new), strict=True))
-                memo.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_REMEMBERED)
-                out.append(b"".join([fresh[x] if x in fresh else memo[x] for x in parts]))
+        parts = [pieces(text) for text in texts]
+        words, marked, others = set(), [], []
+        for x in set().union(*parts).difference(memo):
+            if (known := aged.get(x)) is not None:
+                memo[x] = known
+            elif found := _marked(x):
+                marked.append((x, *found.groups()))
+            elif _word(x):
+                words.add(x)
+            else:
+                others.append(x)
+        for _, word, marks in marked:
+            for x in (word, marks):
+                if x not in memo:
+                    if (known := aged.get(x)) is not None:
+                        memo[x] = known
+                    elif x is word:
+                        words.add(x)
+                    else:
+                        memo[x] = self._ids([x])[0]
+        if words:
+            new = list(words)
+            memo.update(zip(new, self._ids_of_words(new), strict=True))
+        memo.update((x, memo[word] + memo[marks]) for x, word, marks in marked)
+        if others:
+            memo.update(zip(others, self._ids(others), strict=True))
+        out = [b"".join(map(memo.__getitem__, p)) for p in parts]
+        for x in others:
+            if len(x) > LONGEST_REMEMBERED:
+                del memo[x]
         return out
 
 
