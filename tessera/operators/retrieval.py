@@ -65,7 +65,7 @@ def metadata_filter(df: DataFrame, filters: dict[str, Filter] | None) -> DataFra
             condition = column.isin(*wanted)
         else:
             condition = column == wanted
-        df = df.filter(F.coalesce(condition, F.lit(False)))
+        df = df.filter(condition)  # bare, so that it reaches the scan; null keeps no row
     return df
 
 

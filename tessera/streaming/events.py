@@ -39,8 +39,9 @@ def carry_tails(chunks: DataFrame, by: str, order: str, text: str = "text") -> D
     """Batch: network chunks joined for each stream, so events that were cut are whole; what follows the last blank line is the tail."""
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "")
     whole = chunks.groupBy(by).agg(joined.alias("__all"))
-    cut = F.length("__all") - F.length(F.regexp_extract("__all", r"(?s)((?:(?!\n\n).)*)\z", 1))
-    return whole.select(by, F.expr("substring(__all, 1, cast(length(__all) as int))").alias("__all"), cut.alias("__cut")).select(by, F.substring("__all", F.lit(1), F.col("__cut")).alias(text), F.substring("__all", F.col("__cut") + 1, F.length("__all")).alias("tail"))
+    from_end = F.instr(F.reverse("__all"), "\n\n")
+    cut = F.when(from_end == 0, 0).otherwise(F.length("__all") - from_end + 1)
+    return whole.select(by, F.substring("__all", F.lit(1), cut).alias(text), F.substring("__all", cut + 1, F.length("__all")).alias("tail"))
 
 
 def assemble_text(deltas: DataFrame, by: str, order: str, delta: str) -> DataFrame:
