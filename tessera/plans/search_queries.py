@@ -76,7 +76,7 @@ _filter("metadata_filter_in", {"lang": ["fr", "es"]}, "lang IN ('fr', 'es')")
 _filter("metadata_filter_predicate", {"n_chars": lambda c: c > 5000}, "n_chars > 5000")
 
 
-@query(f"WITH {texted_cte()} SELECT query_id, source_id, min(result_rank) AS best_rank, round(max(similarity_score), 6) AS best_score, any_value(source_name ORDER BY result_rank) AS source_name FROM texted GROUP BY query_id, source_id")
+@query(f"WITH {texted_cte()} SELECT query_id, source_id, min(result_rank) AS best_rank, round(max(similarity_score), 6) AS best_score, first(source_name ORDER BY result_rank) AS source_name FROM texted GROUP BY query_id, source_id")
 def retrieve_documents_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents instead of chunks: the best hit of each source, with its document's name."""
     grouped = post.group_by_source(base.hits_with_text(spark, sf_dir), attributes=("source_name",))
