@@ -52,6 +52,27 @@ def overlap_score(query: Column, contents: Column) -> Column:
 
 
 Scorer = Callable[[Column, Column], Column]
+_rerankers: dict[str, Scorer] = {"lexical": overlap_score}
+
+
+def register_reranker(name: str) -> Callable[[Scorer], Scorer]:
+    """Make a scorer (query column, contents column to score column) available by name."""
+
+    def add(scorer: Scorer) -> Scorer:
+        _rerankers[name] = scorer
+        return scorer
+
+    return add
+
+
+def reranker(name: str) -> Scorer:
+    if name not in _rerankers:
+        raise ValueError(f"reranker must be one of {sorted(_rerankers)}")
+    return _rerankers[name]
+
+
+def available_rerankers() -> list[str]:
+    return sorted(_rerankers)
 
 
 def rerank(results: DataFrame, top_k: int = 10, score_threshold: float | None = None, scorer: Scorer = overlap_score, by: str = "query_id", rank: str = "result_rank", query: str = "query_text", contents: str = "contents") -> DataFrame:

@@ -81,16 +81,17 @@ def ancestors(messages: DataFrame, start: DataFrame, max_depth: int = 100) -> Da
 
     A recursive query over ``messages (message_id, parent_id)``; a cycle ends at ``max_depth``.
     """
-    spark = messages.sparkSession
-    messages.createOrReplaceTempView("__tessera_messages")
-    start.createOrReplaceTempView("__tessera_start")
-    return spark.sql(f"""
+    return messages.sparkSession.sql(
+        f"""
         WITH RECURSIVE up(message_id, ancestor_id, distance) MAX RECURSION LEVEL {max_depth + 2} AS (
-          SELECT s.message_id, m.parent_id, 1 FROM __tessera_start s JOIN __tessera_messages m ON s.message_id = m.message_id WHERE m.parent_id IS NOT NULL
+          SELECT s.message_id, m.parent_id, 1 FROM {{start}} s JOIN {{messages}} m ON s.message_id = m.message_id WHERE m.parent_id IS NOT NULL
           UNION ALL
-          SELECT u.message_id, m.parent_id, u.distance + 1 FROM up u JOIN __tessera_messages m ON u.ancestor_id = m.message_id
+          SELECT u.message_id, m.parent_id, u.distance + 1 FROM up u JOIN {{messages}} m ON u.ancestor_id = m.message_id
           WHERE m.parent_id IS NOT NULL AND u.distance < {max_depth})
-        SELECT * FROM up""")
+        SELECT * FROM up""",
+        messages=messages,
+        start=start,
+    )
 
 
 def last_of_role(messages: DataFrame, role: str, by: str, order: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import messages as M
 from tessera.functions import text as T
-from tessera.operators import chunking, embedding, post
+from tessera.operators import chunking, embedding, pipeline, post
 from tessera.plans import base
 from tessera.plans.base import BLANKS_SQL, hits_cte, texted_cte, words_sql
 from tessera.plans.registry import query
@@ -204,6 +205,30 @@ def format_system_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversations(spark, sf_dir).select("conv_id", "turn", F.concat(F.lit("Today is "), day, F.lit(".\n<history>"), "text", F.lit("</history>")).alias("prompt"))
 
 
+@query("SELECT conv_id, turn, role <> 'system' AS has_files, 2 + (role <> 'system')::INTEGER AS n_parts FROM conversations")
+def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda kind: F.struct(F.lit(kind).alias("type"), F.col("text").alias("text"))
+    parts = F.when(F.col("role") != "system", F.array(part("text"), part("file"), part("text"))).otherwise(F.array(part("text"), part("text")))
+    return _conversations(spark, sf_dir).select("conv_id", "turn", M.has_part(parts, "file").alias("has_files"), F.size(parts).alias("n_parts"))
+
+
+@query('SELECT c_custkey AS "CCustkey", c_name AS "CName", c_mktsegment AS "Segment" FROM customer')
+def egress_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed columns, one of them renamed, under their egress names."""
+    safe = M.only(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment", "password"])
+    return M.camel_columns(M.renamed(safe, {"c_mktsegment": "segment", "none": "c_name"}))
+
+
+@query()
+def index_and_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files to points; the beginning of every hundredth as a question."""
+    docs = base.documents(spark, sf_dir)
+    uploads = docs.select(F.col("doc_id").alias("source_id"), F.md5("text").alias("source_hash"), F.lit("text/plain").alias("media_type"), F.col("text").alias("content"))
+    questions = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 100).alias("query_text"))
+    found = pipeline.answer(pipeline.index_files(uploads), questions)
+    return found.select("query_id", "chunk_id", "source_id", F.round("similarity_score", 6).alias("similarity_score"), "new_rank")
+
+
 # --- chunking ----------------------------------------------------------------
 
 

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import messages as M
 from tessera.functions import text as T
 from tessera.functions.vectors import METRICS, l2_normalised, max_sim
-from tessera.operators import chunking, embedding, post, relational, retrieval
+from tessera.operators import chunking, embedding, pipeline, post, relational, retrieval
 from tessera.sources import files, points
 from tessera.streaming import events as S
 
@@ -307,3 +308,27 @@ def test_stream_equals_batch(spark):
     stream = S.run_to_table(S.tumbling(S.event_time(S.read_stream(spark, path), delay="1 hour"), "1 hour", "event_type"), "complete")
     rounded = lambda df: sorted((str(r.window_start), r.event_type, r.n, round(r.total, 6)) for r in df.collect())
     assert rounded(batch) == rounded(stream)
+
+
+# --- end to end -------------------------------------------------------------------------
+
+
+def test_index_and_answer(spark):
+    uploads = spark.createDataFrame([(1, "h1", "text/plain", "red apples and green pears"), (2, "h2", "text/html", "<p>blue cars drive fast</p>"), (3, "h3", "application/pdf", "x"), (4, "", "text/plain", "no hash"), (5, "h5", "text/plain", None)], "source_id long, source_hash string, media_type string, content string")
+    pts = pipeline.index_files(uploads)
+    assert sorted(r.payload.source_id for r in pts.collect()) == [1, 2]
+    questions = spark.createDataFrame([(1, "green pears"), (2, "fast blue cars"), (3, " "), (4, None)], "query_id long, query_text string")
+    best = {r.query_id: r.source_id for r in pipeline.answer(pts, questions).filter("new_rank = 0").collect()}
+    assert best == {1: 1, 2: 2}
+    empty = pts.limit(0)
+    assert pipeline.or_fallback(empty, lambda: pts).count() == 2 and pipeline.or_fallback(pts, lambda: empty).count() == 2
+
+
+def test_messages_and_registries(spark):
+    df = spark.createDataFrame([("PRIMARY_LLM", 1), ("x", 2)], "tool_role string, created_at int")
+    assert [r[0] for r in df.select(M.tool_category(F.col("tool_role"))).collect()] == ["llm", None]
+    assert M.camel_columns(df).columns == ["ToolRole", "CreatedAt"] and M.only(df, ["created_at", "secret"]).columns == ["created_at"]
+    assert M.renamed(df, {"tool_role": "role", "created_at": "tool_role", "z": "y"}).columns == ["role", "created_at"]
+    assert post.available_rerankers() == ["lexical"] and post.reranker("lexical") is post.overlap_score
+    with pytest.raises(ValueError):
+        post.reranker("none")
