@@ -71,6 +71,11 @@ def squeezed(text: Column) -> Column:
     return F.translate(text, WHITE_SPACE, "")
 
 
+def hash_draw(*columns: str) -> Column:
+    """A number from 0 to below 1 for each row, from a hash: rows below a share are a sample that repeats exactly."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) / float(1 << 31)
+
+
 def row_key(doc_id: Column, content: Column) -> Column:
     """A join key that is never null: the id, or nothing for null, and a content hash."""
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), content.cast("string"))

@@ -7,8 +7,8 @@ the normalised vectors of its learning texts. The prediction is the prototype of
 largest cosine. Letter vectors come from a hash of the letter, so no alphabet is
 fixed and every worker makes the same ones.
 
-Learning reads a bounded sample: of each language the ``per_language`` learning
-rows of smallest id hash. Prototypes are one vector a language, gathered to the
+Learning reads a bounded sample: of each language about ``per_language`` learning
+rows, those whose id hash lies below the share that gives so many. Prototypes are one vector a language, gathered to the
 driver and sent with the tasks: languages x dimensions x 4 bytes.
 """
 
@@ -20,10 +20,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare
+from tessera.llm.common import hash_draw, prepare
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 600
@@ -114,13 +114,14 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = D
     """Languages in order and their prototypes, from ``docs (doc_id, text, lang)``.
 
     Only rows with an id, a text and a language whose id is not held out teach,
-    and of those at most ``per_language`` of each language (smallest id hash).
+    and of those about ``per_language`` of each language (id hash below their share).
     """
-    prepare(docs)
-    teach = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = teach.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").filter(F.col("text").isNotNull())
+    spark = prepare(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    teach = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = teach.groupBy("lang").count().collect()
+    shares = spark.createDataFrame([(r["lang"], per_language / r["count"]) for r in counts], "lang string, share double")
+    sample = teach.filter(F.col("text").isNotNull()).join(shares, "lang").filter(hash_draw("doc_id") < F.col("share"))
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -186,9 +187,14 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: i
     return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), predict(F.col("text")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.05, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``docs`` without rows that are undetermined or resemble no learned language (cosine below ``least_score``)."""
+def keep_identified(docs: DataFrame, least_score: float = 0.08, least_letters: int = 40, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``docs`` without rows that are undetermined or resemble no learned language; all columns are kept.
+
+    A text resembles none if its best cosine is below ``least_score``. Texts of
+    fewer than ``least_letters`` letters say too little for that and stay.
+    """
     predict = predictor(*learn(docs, per_language, dimensions))
     mark = "__tessera_language"
+    letters = F.length(F.regexp_replace("text", r"\P{L}", ""))
     marked = docs.withColumn(mark, predict(F.col("text")))
-    return marked.filter((F.col(f"{mark}.lang_pred") != UNDETERMINED) & (F.col(f"{mark}.score") >= least_score)).drop(mark)
+    return marked.filter((F.col(f"{mark}.lang_pred") != UNDETERMINED) & ((F.col(f"{mark}.score") >= least_score) | (letters < least_letters))).drop(mark)
