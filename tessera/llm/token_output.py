@@ -8,8 +8,8 @@ offset index: per document its id, the frame's offset and length, and the number
 of tokens; a single short document is read with two seeks. Shards are ranges of
 the document id in ascending order.
 
-The dictionary is trained on the serialised ids of at most ``SAMPLE_DOCS``
-documents (smallest id hash); it changes sizes, never contents.
+The dictionary is trained on the serialised ids of about ``SAMPLE_DOCS``
+documents (by id hash); it changes sizes, never contents.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import prepare, scratch_path, written
+from tessera.llm.common import hash_draw, prepare, scratch_path, written
 
 #: Fixed values of the format.
 MAGIC = b"TSRTOK01"
@@ -105,7 +105,7 @@ def write_tokens(docs: DataFrame, uri: str, path: str | None = None, end_id: int
         for batch in batches:
             yield pa.record_batch([pa.array([serialised(x + end, id_width) for x in bpe.encoded(batch.column("text"), path)], pa.binary())], names=["ids"])
 
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text")
+    chosen = rows.filter(hash_draw("doc_id") < SAMPLE_DOCS / max(1, docs.count())).select("text")
     raw = train([bytes(r["ids"]) for r in chosen.mapInArrow(sample_ids, "ids binary").collect()])
     files, base = _files(uri)
     files.create_dir(base, recursive=True)
