@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, written
+from tessera.llm.common import hash_draw, prepare, written
 from tessera.llm.components import components
 
 THRESHOLD = 0.95
 TILE = 4096
-#: Vectors whose principal axes are used.
+#: About so many vectors, by hash, give the principal axes.
 SAMPLE = 10_000
 #: Axes summed before each test.
 STEPS = (12, 28)
@@ -178,7 +178,10 @@ def _tiles(nodes: DataFrame, tile: int, sample: int) -> tuple[DataFrame, dict[in
     axes: dict[int, np.ndarray] = {}
     trees: dict[int, list] = {}
     for width, count in lengths.items():
-        chosen = nodes.filter(F.size("vector") == width).orderBy(F.xxhash64("vector"), "node").limit(sample).select("vector").toArrow()
+        same = nodes.filter(F.size("vector") == width).select("vector")
+        chosen = same.filter(hash_draw("vector") < sample / count).toArrow()
+        if not chosen.num_rows:  # few vectors, none drawn
+            chosen = same.limit(1).toArrow()
         points = _unit(_matrix(chosen.column("vector").combine_chunks()))
         axes[width] = _axes(points)
         trees[width] = _splits(points @ axes[width], math.ceil(count / tile))

@@ -197,7 +197,7 @@ class LiveIndex:
     """Digests of a growing and shrinking corpus, sharded by digest prefix, for one process.
 
     The general form of the operator: feed texts, ask for the id that owns a
-    text, delete what left the corpus. A hit compares stored digest and text.
+    text, delete what left the corpus. A hit is verified against the stored digest.
     """
 
     def __init__(self, shards: int = 16) -> None:
