@@ -116,12 +116,14 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = D
     Only rows with an id, a text and a language whose id is not held out teach,
     and of those about ``per_language`` of each language (id hash below their share).
     """
-    spark = prepare(docs)
+    prepare(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     teach = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = teach.groupBy("lang").count().collect()
-    shares = spark.createDataFrame([(r["lang"], per_language / r["count"]) for r in counts], "lang string, share double")
-    sample = teach.filter(F.col("text").isNotNull()).join(shares, "lang").filter(hash_draw("doc_id") < F.col("share"))
+    if not counts:
+        return [], np.zeros((0, dimensions), np.float32)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])  # one entry a language
+    sample = teach.filter(F.col("text").isNotNull() & (hash_draw("doc_id") < F.element_at(share, F.col("lang"))))
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
