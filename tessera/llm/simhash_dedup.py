@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import first_per_key, prepare, row_key, text_or_empty, written
 from tessera.llm.components import components
+from tessera.llm.shingle_links import prefixes, shingle_links
 
 SEED = 42
 #: Posting lists above this length link through hubs instead of pairs; the result is the same.
@@ -160,3 +161,27 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataF
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_key(F.col("doc_id"), F.col("text_hash")).alias(key))
     keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())))
     return first_per_key(keyed.join(kept, key, "left_semi"), key).drop(key)
+
+
+def near_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id, nulls last; all columns are kept.
+
+    Documents link by fingerprint, as in ``simhash_groups``, and by a Jaccard
+    similarity of 0.8 or more of their five-word shingles, which three of 64
+    bits do not reach. The second links are exact: none is lost.
+    """
+    key = "__tessera_key"
+    found = written(fingerprints(docs, shingle), "fingerprints")
+    rows = written(prefixes(docs), "shingle-prefixes")
+    same = components(links(found.select("fp").distinct(), max_bits), "simhash-components")
+    rooted = found.join(same.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("of"))
+    nodes = rows.select("doc_id", "text_hash", "node").distinct()
+    row = row_key(F.col("doc_id"), F.col("text_hash")).alias(key)
+    held = written(nodes.select(row, "*").join(rooted.select(row, "of").distinct(), key), "near-rows")
+    hubs = held.groupBy("of").agg(F.min("node").alias("b"))
+    by_bits = held.join(hubs, "of").filter("node <> b").select(F.col("node").alias("a"), "b")
+    roots = components(by_bits.unionByName(shingle_links(rows, docs)), "near-components")
+    labelled = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", key)).alias("least")).select(f"least.{key}")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())))
+    return first_per_key(keyed.join(kept, key, "left_semi"), key).drop(key)
