@@ -8,9 +8,9 @@ article (``article``, ``main``), the blocks inside are the text.
 Where it does not, the page is paired with the page of nearest URL path on its
 host, their lines are aligned by longest common subsequence, and shared lines go.
 Neighbours stand next to each other in path order; the one with the longer common
-path prefix is taken, a page with the very same lines never. Hosts of more than
-``CLASS_PAGES`` pages are paired within hashed classes of about that many, so no
-task holds a whole large host.
+path prefix is taken, a page with the very same lines never. The order is cut into
+ranges, which may split a host, so no task holds a whole large host; the first and
+last page of each range are handed to the ranges beside it, so the pairs are the same.
 
 Marked articles are not differenced: pages that carry the same article, or one
 line of it, would lose it.
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare, written
 
-CLASS_PAGES = 20_000
-
 #: Elements whose content is no text of a page, and is not markup either.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 #: Elements that hold no part of the article.
@@ -227,7 +225,20 @@ def _difference(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def main_text(pages: DataFrame, class_pages: int = CLASS_PAGES) -> DataFrame:
+def neighbours(mates: DataFrame, ranges: int) -> DataFrame:
+    """``mates (host, path, content, hashes)``, distinct in the first three, with the pages ``before`` and ``after`` in that order on the host."""
+    keys = ["host", "path", "content"]
+    ranged = written(mates.repartitionByRange(ranges, *keys).withColumn("range", F.spark_partition_id()), "page-ranges")
+    page = F.struct(*keys, "hashes")
+    order, across = Window.partitionBy("range").orderBy(*keys), Window.orderBy("range")  # one row a range
+    ends = ranged.groupBy("range").agg(F.min_by(page, F.struct(*keys)).alias("first"), F.max_by(page, F.struct(*keys)).alias("last"))
+    ends = ends.select("range", F.lag("last").over(across).alias("range_before"), F.lead("first").over(across).alias("range_after"))
+    inside = ranged.withColumns({"before": F.lag(page).over(order), "after": F.lead(page).over(order)}).join(ends, "range")
+    same_host = lambda x: F.when(x["host"] == F.col("host"), x)
+    return inside.select(*keys, "hashes", *(same_host(F.coalesce(x, f"range_{x}")).alias(x) for x in ("before", "after")))
+
+
+def main_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per row of ``pages (page_id, url, html, ...)``: page_id, url, text, n_chars.
 
     Character references are decoded, white space inside a block is one space,
@@ -235,18 +246,14 @@ def main_text(pages: DataFrame, class_pages: int = CLASS_PAGES) -> DataFrame:
     the empty text. A null URL counts as a path of the empty host. Repeated rows
     stay repeated. An empty table gives no rows.
     """
-    prepare(pages)
+    spark = prepare(pages)
     parsed = written(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse, _PARSED), "pages")
     plain = parsed.filter(~F.col("marked"))
     mates = parsed.groupBy("host", "path", "content").agg(F.first("hashes").alias("hashes"))  # equal content, equal hashes
     hosts = plain.select("host").distinct()
     mates = mates.join(hosts, "host", "left_semi")
-    sizes = mates.groupBy("host").agg(F.count("*").alias("n"))
-    classes = F.pmod(F.xxhash64("path", "content"), F.ceil(F.col("n") / class_pages).cast("long"))
-    order = Window.partitionBy("host", "class").orderBy("path", "content")
-    near = F.struct("path", "content", "hashes")
-    paired = mates.join(sizes, "host").withColumn("class", classes).withColumns({"before": F.lag(near).over(order), "after": F.lead(near).over(order)})
-    joined = plain.drop("hashes").join(paired.select("host", "path", "content", "hashes", "before", "after"), ["host", "path", "content"])
+    paired = neighbours(mates, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    joined = plain.drop("hashes").join(paired, ["host", "path", "content"])
     differenced = joined.select("page_id", "url", "path", "content", "lines", "hashes", "before", "after").mapInArrow(_difference, "page_id long, url string, text string")
     found = parsed.filter("marked").select("page_id", "url", "text").unionByName(differenced)
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
