@@ -94,12 +94,11 @@ def _dominating(counts: dict[int, int], length: int, capacity: int) -> tuple[int
                 pair, pair_sum = (b, a), a + b
     if pair is None or best >= pair_sum:
         return (best,)
-    # The larger of the pair is also the best lone partner, and no other two fit beside each other better.
+    # The larger of the pair is also the best lone partner, and no two that fit are both longer than the smaller.
     if best == pair[0]:
-        between = sorted((x for x in others if pair[1] <= x <= pair[0]), reverse=True)
-        copies = sum(left(x) for x in between)
-        following = [x for x in between for _ in range(min(3, left(x)))]
-        if copies <= 3 or (len(following) > 2 and following[-1] + following[-2] > room):
+        longer = [x for x in others if x > pair[1]]
+        following = [x for x in longer[:2] for _ in range(min(2, left(x)))]
+        if sum(following[:2]) > room or len(following) < 2:
             return pair
     return None
 
