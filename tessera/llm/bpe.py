@@ -4,7 +4,8 @@ The tokenizer's pre-splitting never joins characters across the start of a
 white-space run that follows other characters. A text can therefore be cut
 there, and each piece encoded once and remembered: the ids are those of the
 whole text. Texts with white space other than blank and line feed are encoded
-as a whole. New words of some texts are encoded as one text and cut apart again,
+as a whole, as are texts that hold an added token of the vocabulary, such as an
+end mark: it becomes its own id, as in the library's plain call. New words of some texts are encoded as one text and cut apart again,
 which must agree with the tokens' lengths, or they are encoded one by one. Memory
 is bounded: the memo holds two generations of pieces.
 """
@@ -51,7 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # A byte-level token is written with one character for each of its bytes.
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -78,11 +80,13 @@ class Encoder:
             self.memo, self.aged = {}, self.memo
         memo, aged = self.memo, self.aged
         memo[""] = b""
-        parts = [pieces(text) for text in texts]
+        parts = [[text] if self.added(text) else pieces(text) for text in texts]
         words, marked, others = set(), [], []
         for x in set().union(*parts).difference(memo):
             if (known := aged.get(x)) is not None:
                 memo[x] = known
+            elif self.added(x):
+                others.append(x)
             elif found := _marked(x):
                 marked.append((x, *found.groups()))
             elif _word(x):

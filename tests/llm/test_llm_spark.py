@@ -187,7 +187,6 @@ def _ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(bpe.default_path())
-    tokenizer.encode_special_tokens = True
     return [[*x.ids, 2] for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 

@@ -85,14 +85,14 @@ def test_bpe_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(bpe.default_path())
-    tokenizer.encode_special_tokens = True
     enc = bpe.Encoder(bpe.default_path())
     rng = random.Random(3)
-    texts = ["", " ", "  a", "a  b\n\nc", "x\ty z", "\n", "it's  we'll\n'd", "foo, bar. baz!", "tail \n", "a <|endoftext|> b", "é" * 90 + " " + "z" * 300, "12 3.4, ok!!!", "a\x1fb c", "日本 語\n漢"]
+    texts = ["", " ", "  a", "a  b\n\nc", "x\ty z", "\n", "it's  we'll\n'd", "foo, bar. baz!", "tail \n", "a <|endoftext|> b", "hello <|endoftext|> world", " <|endoftext|>", "<|endoftext|><|endoftext|>\tx", "a <|endoftext|>, <|endoftext|", "é" * 90 + " " + "z" * 300, "12 3.4, ok!!!", "a\x1fb c", "日本 語\n漢"]
     for alphabet in (" \n\tab'sS1.,!é漢 \x1f", " ab,.é", "ab \nÀ,"):
         texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(800)]
     wanted = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert enc.encode(texts) == wanted
+    assert len(enc.encode(["hello <|endoftext|> world"])[0]) == 4 * 4
     enc.memo, enc.aged = {}, enc.memo  # a new generation
     assert enc.encode(texts) == wanted
 
