@@ -81,6 +81,44 @@ def row_key(doc_id: Column, content: Column) -> Column:
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), content.cast("string"))
 
 
+#: A side of at most so many narrow rows is broadcast (some tens of MB); a larger one is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a Parquet scan with nothing but projections and filters above it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and " parquet" in plan.toString().split("\n")[0]
+
+
+def identified(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two long columns that name a row for good, and their names.
+
+    For Parquet they are a hash of the file's path and the row's place in it, so
+    nothing is moved or written. Anything else is written once with numbers.
+    """
+    file, at = fresh(df, "__tessera_file"), fresh(df, "__tessera_at")
+    if "_metadata" not in (c.lower() for c in df.columns) and _is_scan(df):
+        return df.withColumns({file: F.xxhash64("_metadata.file_path"), at: F.col("_metadata.row_index")}), [file, at]
+    numbered = df.withColumns({file: F.lit(0).cast("long"), at: F.monotonically_increasing_id()})
+    return written(numbered, "rows"), [file, at]
+
+
+def matching(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``df`` joined to ``keys``, a written narrow table: wide rows stay in place while the keys are few, and are shuffled beyond that."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
 def first_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row of each ``key``; which one is open, so use it where rows of a key are equal."""
     from pyspark.sql import Window

@@ -1,24 +1,27 @@
 """Exact dedup on a cuckoo-filter index of text digests (operator 3).
 
 The index answers "is this digest live?" from 16-bit tags in buckets of four.
-A tag hit is only a candidate: it is verified against the stored key and its
-content length. Digests can be inserted and deleted; an overflow of the buckets
-resizes the table from the stored keys. In Spark, each scan partition runs its
-rows through an index of its own, which pre-aggregates copies before the shuffle
-(a group holding a third of all rows becomes one row a partition), and each hash
-partition of digests merges those partial groups through a second index.
+A tag hit is only a candidate: it is compared with the stored key. Digests can be
+inserted and deleted; an overflow of the buckets resizes the table from the stored
+keys. In Spark, each scan partition runs its rows through an index of its own,
+which pre-aggregates copies before the shuffle (a group holding a third of all
+rows becomes one row a partition), and each hash partition of digests merges
+those partial groups through a second index. Then hits are verified against
+content: the whole texts of groups of two rows or more, no others, are bucketed
+by digest and compared; rows that only share a digest are grouped by content.
+``SavedIndex`` keeps live digests in a table, with insertion and deletion.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, row_key, squeezed, text_or_empty, written
+from tessera.llm.common import identified, matching, prepare, squeezed, text_or_empty, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -127,101 +130,168 @@ class CuckooIndex:
         return ((k, v) for k, v in zip(self.keys, self.values, strict=True) if k is not None)
 
 
-GROUPS = pa.schema([("digest", pa.binary()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("row_id", pa.int64()), ("group_size", pa.int64())])
-GROUPS_DDL = "digest binary, n_chars long, doc_id long, row_id long, group_size long"
-_LAST = 1 << 63
-
-
-def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, n_chars, doc_id, row_id, group_size) rows merged by digest through an index."""
-    index = CuckooIndex()
-    for batch in batches:
-        for digest, n, doc_id, row, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rank = (-n, _LAST if doc_id is None else doc_id, row)
-            known = index.get(digest)
-            if known is None:
-                index.insert(digest, [rank, size])
-            else:
-                known[1] += size
-                if rank < known[0]:
-                    known[0] = rank
-    rows = [(k, -r[0], None if r[1] == _LAST else r[1], r[2], size) for k, (r, size) in index.items()]
-    for at in range(0, len(rows), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 50_000], strict=True), GROUPS.types, strict=True)], schema=GROUPS)
-
-
-def digests(docs: DataFrame) -> DataFrame:
-    """``(row_id, doc_id, n_chars, digest)`` of every row, written: row ids hold from here on."""
-    text = text_or_empty()
-    keys = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("n_chars"), F.unhex(F.sha2(squeezed(text), 256)).alias("digest")
+def _grouped(row: list[str]):
+    """A function that merges (digest, n_chars, doc_id, row..., group_size) rows by digest through an index."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CuckooIndex()
+        for batch in batches:
+            for digest, n, doc_id, file, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rank = (-n, doc_id is None, doc_id or 0, file, at)
+                known = index.get(digest)
+                if known is None:
+                    index.insert(digest, [rank, size])
+                else:
+                    known[1] += size
+                    if rank < known[0]:
+                        known[0] = rank
+        names = ["digest", "n_chars", "doc_id", *row, "group_size"]
+        types = [pa.binary(), *[pa.int64()] * 5]
+        found = index.items()
+        while rows := [(k, -r[0], None if r[1] else r[2], r[3], r[4], size) for k, (r, size) in itertools.islice(found, 50_000)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return run
+
+
+def sha256(content: Column) -> Column:
+    return F.unhex(F.sha2(content, 256))
+
+
+def _content() -> Column:
+    return squeezed(text_or_empty())
+
+
+def false_hits(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """``(digest)`` of those ``groups`` of two rows or more under which contents differ.
+
+    Only rows of such groups are looked at. Their whole contents meet in the
+    bucket of their digest, one row for each content and task.
+    """
+    shared = written(groups.filter("group_size > 1").select("digest"), "shared-digests")
+    rows = matching(docs.select(digest(_content()).alias("digest"), _content().alias("content")), shared, ["digest"], "left_semi")
+    return rows.groupBy("digest", "content").count().groupBy("digest").count().filter("count > 1").select("digest")
+
+
+def _by_content(docs: DataFrame, row: list[str], bad: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """Groups of the rows under digests with false hits, by their contents themselves."""
+    rows = matching(docs.select("doc_id", *row, F.char_length(text_or_empty()).cast("long").alias("n"), digest(_content()).alias("digest"), _content().alias("content")), bad, ["digest"], "left_semi")
+    rows = written(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "false-hits")
+    groups = rows.groupBy("digest", "content").agg(F.min(F.struct(-F.col("n"), F.col("doc_id").isNull(), "doc_id", *row)).alias("keep"), F.count("*").alias("group_size"))
+    return rows.join(groups, ["digest", "content"]).select(
+        "doc_id", *row, sha256(F.col("content")).alias("sha"), F.col("keep.doc_id").alias("keep_id"), *(F.col(f"keep.{x}").alias(f"{x}_keep") for x in row), "group_size"
     )
-    return written(keys, "digests")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, row: list[str], digest: Callable[[Column], Column]) -> DataFrame:
+    """``(doc_id, row..., sha, keep_id, row_keep..., group_size, kept)`` of every row of ``docs``."""
+    sums = [digest(_content()).alias("digest")] if digest is sha256 else [digest(_content()).alias("digest"), sha256(_content()).alias("sha")]
+    keys = written(docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text_or_empty()).cast("long").alias("n_chars"), *sums), "digests")
+    columns, ddl = ["digest", "n_chars", "doc_id", *row], "digest binary, n_chars long, doc_id long, " + "".join(f"{x} long, " for x in row) + "group_size long"
+    partial = keys.select(*columns, F.lit(1).cast("long").alias("group_size")).mapInArrow(_grouped(row), ddl)
+    groups = written(partial.repartition("digest").mapInArrow(_grouped(row), ddl), "digest-groups")
+    found = groups.select("digest", F.col("doc_id").alias("keep_id"), *(F.col(x).alias(f"{x}_keep") for x in row), "group_size")
+    sha = F.col("digest") if digest is sha256 else F.col("sha")
+    joined = keys.join(found, "digest").select("doc_id", *row, sha.alias("sha"), "keep_id", *(f"{x}_keep" for x in row), "group_size", "digest")
+    bad = written(false_hits(docs, groups, digest), "false-digests")
+    if bad.isEmpty():
+        joined = joined.drop("digest")
+    else:
+        joined = joined.join(bad, "digest", "left_anti").drop("digest").unionByName(_by_content(docs, row, bad, digest))
+    kept = F.lit(True)
+    for x in row:
+        kept = kept & (F.col(x) == F.col(f"{x}_keep"))
+    return joined.withColumn("kept", kept)
+
+
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Per row of ``docs (doc_id, text, ...)``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space (0x20, 0x09 to 0x0D); a
     null text counts as empty. Of equal texts the row with most code points
     stays, then the smallest doc_id, a null doc_id last; of rows that are equal
     in that as well exactly one stays. Other columns are ignored, whatever
-    their names. An empty table gives no rows.
+    their names. An empty table gives no rows. ``digest`` makes the key of a
+    content (16 bytes or more); contents that share one by chance are told apart.
     """
     prepare(docs)
-    keys = digests(docs)
-    partial = keys.select("digest", "n_chars", "doc_id", "row_id", F.lit(1).cast("long").alias("group_size")).mapInArrow(_grouped, GROUPS_DDL)
-    groups = partial.repartition("digest").mapInArrow(_grouped, GROUPS_DDL)
-    found = groups.select("digest", F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row"), "group_size")
-    return keys.join(found, "digest").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-
+    return _groups(*identified(docs), digest).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; all columns are kept."""
-    key = "__tessera_key"
-    kept = exact_groups(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(key))
-    keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.sha2(squeezed(text_or_empty()), 256)))
-    return longest_per_key(keyed.join(kept, key, "left_semi"), key).drop(key)
 
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """``docs`` without the rows that ``exact_groups`` drops; all columns are kept. An empty table stays empty."""
+    prepare(docs)
+    docs, row = identified(docs)
+    dropped = written(_groups(docs, row, digest).filter("not kept").select(*row), "dropped")
+    return matching(docs, dropped, row, "left_anti").drop(*row)
 
-def longest_per_key(df: DataFrame, key: str) -> DataFrame:
-    """Rows that share id and squeezed text: the one with most code points stays."""
-    from pyspark.sql import Window
 
-    rank = "__tessera_rank"
-    order = Window.partitionBy(key).orderBy(F.char_length(text_or_empty()).desc())
-    return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
+_LIVE = "bucket int, digest binary, n_bytes long, doc_id long, copies long"
 
 
-class LiveIndex:
-    """Digests of a growing and shrinking corpus, sharded by digest prefix, for one process.
+class SavedIndex:
+    """Live digests of a growing and shrinking corpus, as a Parquet table below ``path``.
 
-    The general form of the operator: feed texts, ask for the id that owns a
-    text, delete what left the corpus. A hit is verified against the stored digest.
+    A digest lies in the bucket of its hash. ``update`` runs each bucket through
+    a cuckoo index: stored keys, then deletions, then insertions, and writes the
+    next version; the last version that is complete counts, and a version that
+    exists is never written again. A row is ``(bucket, digest, n_bytes, doc_id, copies)``: the smallest id that was
+    inserted while the digest was live, and how many rows were.
     """
 
-    def __init__(self, shards: int = 16) -> None:
-        self.shards = [CuckooIndex() for _ in range(shards)]
-
-    @staticmethod
-    def digest(text: str | None) -> bytes:
-        return hashlib.sha256((text or "").translate(dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))).encode()).digest()
-
-    def _shard(self, digest: bytes) -> CuckooIndex:
-        return self.shards[digest[-1] % len(self.shards)]
-
-    def add(self, doc_id: int, text: str | None) -> int:
-        """The id that holds this text; it is ``doc_id`` if the text is new."""
-        digest = self.digest(text)
-        owner = self._shard(digest).get(digest)
-        if owner is None:
-            self._shard(digest).insert(digest, doc_id)
-            return doc_id
-        return owner
-
-    def remove(self, text: str | None) -> bool:
-        digest = self.digest(text)
-        return self._shard(digest).delete(digest)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _version(self) -> int:
+        """The last complete version, or 0."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        done = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
+        found = done.getFileSystem(conf).globStatus(done) or []
+        return max((int(x.getPath().getParent().getName()[1:]) for x in found), default=0)
+
+    def live(self) -> DataFrame:
+        version = self._version()
+        return self.spark.read.schema(_LIVE).parquet(f"{self.path}/v{version}") if version else self.spark.createDataFrame([], _LIVE)
+
+    def _keyed(self, docs: DataFrame) -> DataFrame:
+        key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(_content()).alias("digest"), F.octet_length(_content()).cast("long").alias("n_bytes"))
+        return key.groupBy("digest", "n_bytes").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).cast("int"))
+
+    def update(self, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
+        """Delete the digests of ``deleted (doc_id, text)``, then insert those of ``inserted``; null texts count as empty."""
+        prepare(self.live())
+        steps = [self.live().withColumn("step", F.lit(0))]
+        steps += [self._keyed(docs).withColumn("step", F.lit(step)) for step, docs in ((1, deleted), (2, inserted)) if docs is not None]
+        rows = steps[0]
+        for more in steps[1:]:
+            rows = rows.unionByName(more)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = CuckooIndex()
+            for batch in batches:
+                for bucket, digest, n_bytes, doc_id, copies, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    known = index.get(digest)
+                    if known is not None and known[1] != n_bytes:
+                        raise ValueError("two contents of different length share a digest")
+                    if step == 1:
+                        index.delete(digest)
+                    elif known is None:
+                        index.insert(digest, [bucket, n_bytes, doc_id, copies])
+                    else:
+                        known[2] = min((x for x in (known[2], doc_id) if x is not None), default=None)
+                        known[3] += copies
+            found = [(v[0], k, *v[1:]) for k, v in index.items()]
+            types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            for at in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[at : at + 50_000], strict=True), types, strict=True)], names=["bucket", "digest", "n_bytes", "doc_id", "copies"])
+
+        dealt = rows.select("bucket", "digest", "n_bytes", "doc_id", "copies", "step").repartition(self.buckets, "bucket").sortWithinPartitions("step")
+        dealt.mapInArrow(run, _LIVE).write.parquet(f"{self.path}/v{self._version() + 1}")
+
+    def owners(self, docs: DataFrame) -> DataFrame:
+        """Per row of ``docs (doc_id, text)``: doc_id and owner_id, the live id of its content, null where it is not live."""
+        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(_content()).alias("digest"), F.octet_length(_content()).cast("long").alias("n_bytes"))
+        return asked.join(self.live().select("digest", "n_bytes", F.col("doc_id").alias("owner_id")), ["digest", "n_bytes"], "left").select("doc_id", "owner_id")
 
 
 EXACT_SQL = r"""
