@@ -2,37 +2,38 @@
 
 A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ in
 at most r bits agree in at least 8 - r of those bytes: the guaranteed minimum of
-matches. The index posts every fingerprint under each set of 8 - r positions
-with their bytes, so that a posting list joins only fingerprints which already
-reach the minimum (five bytes, 40 bits, for r = 3: lists stay short at any size,
-where lists of one byte would hold a 256th of the corpus). For each pair that
-meets, shared positional bytes are tallied; the pair is kept where the tally
-reaches the minimum, in the list of its first matching positions only, and
-verified on the differing bits.
-
-Documents with equal fingerprints are one node. A posting list that is long (a
-dense group of near copies) is not paired: its members are linked through hubs,
-by flipping one bit on one side and up to two on the other inside the bytes that
-are free. Every edge made so is a true link and no component is lost, with rows
-in proportion to the members.
+matches (five for r = 3). The index posts every fingerprint under each set of one
+byte less than that, with their positions (four bytes, 32 bits: lists of single
+bytes would hold a 256th of the corpus each). The postings that a pair shares are
+tallied; m shared bytes make C(m, 4) of them. Pairs with fewer than the minimum
+of five shared bytes make, 5, are dropped, the rest is verified on the bits.
+
+Documents with equal fingerprints are one node. A posting list above
+``SHORT_LIST`` (a dense group of near copies) is not paired but refined by a
+further byte, which such a pair shares too; a refined list above ``LONG_LIST`` links
+its members through hubs, by flipping one bit on one side and up to two on the
+other inside the bytes that are free. Every edge made so is a true link and no
+component is lost, with rows in proportion to the members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import first_per_key, prepare, row_key, text_or_empty, written
+from tessera.llm.common import identified, matching, prepare, written
 from tessera.llm.components import components
 from tessera.llm.shingle_links import prefixes, shingle_links
 
 SEED = 42
-#: Posting lists above this length link through hubs instead of pairs; the result is the same.
+#: Posting lists above the first length are refined by a byte, refined lists above the second link through hubs; the result is the same.
+SHORT_LIST = 64
 LONG_LIST = 512
 
 _lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -60,68 +61,59 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id long, text_hash long, fp long)`` of every row."""
+def fingerprints(docs: DataFrame, row: list[str], shingle: int = 3) -> DataFrame:
+    """``(row..., doc_id long, fp long)`` of every row; ``row`` names the long columns that identify one."""
     prepare(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             out = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(out.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in (*row, "doc_id")), pa.array(out.view(np.int64))], names=[*row, "doc_id", "fp"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    ids = "".join(f"{x} long, " for x in row)
+    return docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ids + "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _position_sets(least: int) -> list[tuple[int, ...]]:
-    return list(combinations(range(8), least))
-
-
 def _first_sets(sets: list[tuple[int, ...]]) -> list[int]:
     """For each 8-bit map of matching positions, the first set inside it, or -1."""
     return [next((i for i, s in enumerate(sets) if all(m >> p & 1 for p in s)), -1) for m in range(256)]
 
 
-def links(nodes: DataFrame, max_bits: int = 3, long_list: int = LONG_LIST) -> DataFrame:
-    """Edges ``(a, b)`` between distinct fingerprints ``nodes (fp long)``.
+def _posted(nodes: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """``(positions, bytes, fp)``: every fingerprint under each set of positions."""
+    masks = F.array(*[F.lit(_signed(sum(0xFF << 8 * p for p in s))) for s in sets])
+    return nodes.select("fp", F.posexplode(masks).alias("positions", "mask")).select("positions", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp")
 
-    They are links (at most ``max_bits`` differing bits, 0 to 3), and their
-    components are those of all links.
-    """
-    if not 0 <= max_bits <= 3:
-        raise ValueError("max_bits must be 0 to 3")
-    least = 8 - max_bits
-    sets = _position_sets(least)
-    byte_masks = F.array(*[F.lit(_signed(sum(0xFF << 8 * p for p in s))) for s in sets])
-    posted = nodes.select("fp", F.posexplode(byte_masks).alias("positions", "mask")).select("fp", "positions", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"))
+
+def _listed(posted: DataFrame, name: str) -> DataFrame:
+    """Postings of lists with two members or more, with the list's length ``n``; written."""
     size = posted.groupBy("positions", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    listed = written(posted.join(size, ["positions", "bytes"]), "postings")
+    return written(posted.join(size, ["positions", "bytes"]), name)
+
+
+def _met(short: DataFrame) -> DataFrame:
+    pairs = short.withColumnRenamed("fp", "a").join(short.select("positions", "bytes", F.col("fp").alias("b")), ["positions", "bytes"])
+    return pairs.filter("a < b").withColumn("x", F.col("a").bitwiseXOR(F.col("b")))
 
-    short = listed.filter(F.col("n") <= long_list)
-    met = short.withColumnRenamed("fp", "a").join(short.select("positions", "bytes", F.col("fp").alias("b")), ["positions", "bytes"]).filter("a < b")
+
+def _dense_links(members: DataFrame, max_bits: int, long_list: int) -> DataFrame:
+    """Edges inside dense groups, over postings of the whole guaranteed minimum of bytes."""
+    sets = list(combinations(range(8), 8 - max_bits))
+    listed = _listed(_posted(members, sets), "dense-postings")
     matching = F.lit(0)
     for p in range(8):
         matching = matching + F.when(F.col("x").bitwiseAND(_signed(0xFF << 8 * p)) == 0, 1 << p).otherwise(0)
-    first = F.element_at(F.array(*map(F.lit, _first_sets(sets))), F.col("matching") + 1)
-    pairs = (
-        met.withColumn("x", F.col("a").bitwiseXOR(F.col("b")))
-        .withColumn("matching", matching)
-        .filter(F.bit_count("matching") >= least)
-        .filter(F.bit_count("x") <= max_bits)
-        .filter(F.col("positions") == first)
-        .select("a", "b")
-    )
+    first = F.element_at(F.array(*map(F.lit, _first_sets(sets))), matching + 1)
+    pairs = _met(listed.filter(F.col("n") <= long_list)).filter(F.bit_count("x") <= max_bits).filter(F.col("positions") == first).select("a", "b")
 
     flips = [0, *(1 << i for i in range(8 * max_bits))]
     reach = 1 if max_bits > 1 else 0  # of a hub; a member reaches the rest
-    if max_bits == 0:
-        flips = [0]
-    elif max_bits == 3:
+    if max_bits == 3:
         flips += [1 << i | 1 << j for i, j in combinations(range(8 * max_bits), 2)]
     moved = F.lit(0).cast("long")
     for k in range(max_bits):  # the k-th byte of a flip goes to the k-th free position
@@ -130,37 +122,62 @@ def links(nodes: DataFrame, max_bits: int = 3, long_list: int = LONG_LIST) -> Da
     flipped = listed.filter(F.col("n") > long_list).select("positions", "bytes", "fp", F.explode(F.array(*[F.lit(m).cast("long") for m in flips])).alias("flip")).withColumn("meet", F.col("fp").bitwiseXOR(moved))
     hubs = flipped.filter(F.bit_count("flip") <= reach).groupBy("positions", "bytes", "meet").agg(F.min("fp").alias("hub"))
     starred = flipped.join(hubs, ["positions", "bytes", "meet"]).filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    return pairs.unionByName(starred).distinct()
+    return pairs.unionByName(starred)
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, long_list: int = LONG_LIST) -> DataFrame:
-    """Per row of ``docs (doc_id, text, ...)``: doc_id, text_hash, fingerprint (16 hex digits), component_id.
+def links(nodes: DataFrame, max_bits: int = 3, short_list: int = SHORT_LIST, long_list: int = LONG_LIST) -> DataFrame:
+    """Edges ``(a, b)`` between distinct fingerprints ``nodes (fp long)``.
+
+    They are links (at most ``max_bits`` differing bits, 0 to 3), and their
+    components are those of all links.
+    """
+    if not 0 <= max_bits <= 3:
+        raise ValueError("max_bits must be 0 to 3")
+    least = 8 - max_bits
+    sets = list(combinations(range(8), least - 1))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = _listed(_posted(nodes.repartition(parts, "fp"), sets), "postings")  # narrow rows: dealt over all tasks before they are multiplied
+    tally = _met(listed.filter(F.col("n") <= short_list)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = tally.filter(F.col("shared") >= comb(least, least - 1)).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
+    dense = listed.filter(F.col("n") > short_list).select("fp").distinct()
+    return pairs.unionByName(_dense_links(dense.repartition(parts, "fp"), max_bits, long_list)).distinct()
+
+
+def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """Per row of ``docs (doc_id, text, ...)``: doc_id, fingerprint (16 hex digits), component_id, kept.
 
     Fingerprints link at ``max_bits`` or fewer differing bits; component_id is
     the smallest doc_id that links reach, itself included. Null and word-less
     texts have fingerprint zero and link like any other. A null doc_id takes
     part in links but is never a component_id unless the component has no other.
-    Repeated rows stay repeated. An empty table gives no rows.
+    ``kept`` is true for exactly one row of each component, one of the smallest
+    doc_id. Repeated rows stay repeated. An empty table gives no rows.
     """
-    found = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(nodes.select("fp"), max_bits, long_list), "simhash-components")
+    return _groups(*identified(docs), shingle, max_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
+
+
+def _groups(docs: DataFrame, row: list[str], shingle: int, max_bits: int) -> DataFrame:
+    found = written(fingerprints(docs, row, shingle), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", *row)
+    nodes = written(found.groupBy("fp").agg(F.min(place).alias("first")), "simhash-nodes")
+    roots = components(links(nodes.select("fp"), max_bits), "simhash-components")
     labelled = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = labelled.join(least, "root").select("fp", "component_id")
-    return found.join(of_fp, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = labelled.groupBy("root").agg(F.min("first").alias("first"))
+    of_fp = labelled.drop("first").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), *(F.col(f"first.{x}").alias(f"{x}_kept") for x in row))
+    kept = F.lit(True)
+    for x in row:
+        kept = kept & (F.col(x) == F.col(f"{x}_kept"))
+    return found.join(of_fp, "fp").withColumn("kept", kept)
 
 
-def simhash_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id; all columns are kept.
+def _without(docs: DataFrame, row: list[str], dropped: DataFrame) -> DataFrame:
+    return matching(docs, written(dropped.select(*row), "dropped"), row, "left_anti").drop(*row)
 
-    Where every doc_id of a component is null, one of its rows stays for each text.
-    """
-    key = "__tessera_key"
-    groups = simhash_groups(docs, shingle, max_bits)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_key(F.col("doc_id"), F.col("text_hash")).alias(key))
-    keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())))
-    return first_per_key(keyed.join(kept, key, "left_semi"), key).drop(key)
+
+def simhash_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id, nulls last; all columns are kept."""
+    docs, row = identified(docs)
+    return _without(docs, row, _groups(docs, row, shingle, max_bits).filter("not kept"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -168,20 +185,20 @@ def near_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
 
     Documents link by fingerprint, as in ``simhash_groups``, and by a Jaccard
     similarity of 0.8 or more of their five-word shingles, which three of 64
-    bits do not reach. The second links are exact: none is lost.
+    bits do not reach. The second links are exact: none is lost. Null and
+    word-less texts are one group; of repeated rows one stays; an empty table
+    stays empty.
     """
-    key = "__tessera_key"
-    found = written(fingerprints(docs, shingle), "fingerprints")
-    rows = written(prefixes(docs), "shingle-prefixes")
-    same = components(links(found.select("fp").distinct(), max_bits), "simhash-components")
-    rooted = found.join(same.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("of"))
-    nodes = rows.select("doc_id", "text_hash", "node").distinct()
-    row = row_key(F.col("doc_id"), F.col("text_hash")).alias(key)
-    held = written(nodes.select(row, "*").join(rooted.select(row, "of").distinct(), key), "near-rows")
+    docs, row = identified(docs)
+    rows = written(prefixes(docs, row, fingerprint=lambda text: fingerprint(text, shingle)), "shingle-prefixes")
+    same = components(links(rows.select("fp").distinct(), max_bits), "simhash-components")
+    held = written(rows.select(*row, "doc_id", "node", "fp").join(same.withColumnRenamed("node", "fp"), "fp", "left").withColumn("of", F.coalesce("root", "fp")).drop("fp", "root"), "near-rows")
     hubs = held.groupBy("of").agg(F.min("node").alias("b"))
     by_bits = held.join(hubs, "of").filter("node <> b").select(F.col("node").alias("a"), "b")
-    roots = components(by_bits.unionByName(shingle_links(rows, docs)), "near-components")
-    labelled = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", key)).alias("least")).select(f"least.{key}")
-    keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())))
-    return first_per_key(keyed.join(kept, key, "left_semi"), key).drop(key)
+    roots = components(by_bits.unionByName(shingle_links(rows, docs, row)), "near-components")
+    labelled = held.drop("of").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *row)).alias("least"))
+    stays = F.lit(True)
+    for x in row:
+        stays = stays & (F.col(x) == F.col(f"least.{x}"))
+    return _without(docs, row, labelled.join(least, "root").filter(~stays))
