@@ -9,9 +9,11 @@ that meet it, the smallest (most even) is taken for the limit.
 Weights become rows as budgeted block permutations. A source's documents fall
 into blocks of about ``block_docs`` by a hash; an epoch visits the blocks in
 hashed order and the documents of a block in hashed order. A source runs through
-whole epochs while its token budget lasts, and its last epoch ends with the last
-document that fits before the first that does not. Each epoch is another
-permutation. No task sees more than a block, or one total for each block.
+whole epochs while its token budget lasts; its last epoch ends where the budget
+does, with or without the document that lies across that end, whichever comes
+closer. So a source misses its budget by half a document at most (and may repeat
+half a document beyond the limit). Each epoch is another permutation. No task
+sees more than a block, or one total for each block.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WHITE_SPACE, WHITE_SPACE_CLASS, prepare, text_or_empty, written
+from tessera.llm.common import WHITE_SPACE, WHITE_SPACE_CLASS, fresh, identified, matching, prepare, text_or_empty, written
 
 MAX_REPETITION = 1.25
 BLOCK_DOCS = 4096
 STEPS = 60
+#: Share by which rounding may miss a target.
+SLACK = 1e-9
 
 
 def word_count(text: Column) -> Column:
@@ -47,7 +51,12 @@ def entropy(weights: dict) -> float:
 
 
 def find_exponent(tokens: dict, budget: int, max_repetition: float | None = None, target_entropy: float | None = None) -> float:
-    """The exponent by bisection; entropy falls and the largest repetition falls as it rises from 0 to 1."""
+    """The exponent by bisection; entropy falls and the largest repetition falls as it rises from 0 to 1.
+
+    A target that no exponent meets is a ValueError: a budget of more than
+    ``max_repetition`` times all tokens, or an entropy outside what the shares
+    allow. Without any token there is nothing to weigh, and the exponent is 1.
+    """
     if (max_repetition is None) == (target_entropy is None):
         raise ValueError("give either max_repetition or target_entropy")
     if not any(tokens.values()):
@@ -56,10 +65,13 @@ def find_exponent(tokens: dict, budget: int, max_repetition: float | None = None
     def too_low(exponent: float) -> bool:
         weights = weights_at(tokens, exponent)
         if target_entropy is not None:
-            return entropy(weights) > target_entropy
-        return any(weights[s] * budget > max_repetition * n for s, n in tokens.items() if n)
+            return entropy(weights) > target_entropy + SLACK
+        return any(weights[s] * budget > max_repetition * n * (1 + SLACK) for s, n in tokens.items() if n)
 
     low, high = 0.0, 1.0
+    if too_low(high) or (target_entropy is not None and entropy(weights_at(tokens, low)) < target_entropy - SLACK):
+        limits = f"repetition {max_repetition} of {budget} tokens out of {sum(tokens.values())}" if target_entropy is None else f"entropy {target_entropy}"
+        raise ValueError(f"no exponent from 0 to 1 meets the target: {limits}")
     if not too_low(low):
         return low
     for _ in range(STEPS):
@@ -76,8 +88,8 @@ def _block(draw: Column, blocks: Column) -> Column:
     return F.conv(F.substring(draw, 1, 8), 16, 10).cast("long") % blocks
 
 
-def mix_plan(docs: DataFrame, budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, tokens: Column | None = None) -> tuple[DataFrame, list[dict]]:
-    """Narrow rows of ``docs`` (written) and, per source, its tokens, weight and budget.
+def mix_plan(docs: DataFrame, row: list[str], budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, tokens: Column | None = None) -> tuple[DataFrame, list[dict]]:
+    """Narrow rows of ``docs`` (written), with the columns ``row`` that identify one, and, per source, its tokens, weight and budget.
 
     One total of each source comes to the driver: sources are a dimension of the
     mixture, not of the documents.
@@ -86,7 +98,7 @@ def mix_plan(docs: DataFrame, budget: int | None = None, max_repetition: float |
     text = text_or_empty()
     narrow = written(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.md5(text).alias("content"), (word_count(text) if tokens is None else tokens.cast("long")).alias("n_tokens")
+            *row, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.md5(text).alias("content"), (word_count(text) if tokens is None else tokens.cast("long")).alias("n_tokens")
         ),
         "mixing",
     )
@@ -105,17 +117,30 @@ def mix_plan(docs: DataFrame, budget: int | None = None, max_repetition: float |
 PLAN_DDL = "source string, n_docs long, source_tokens long, exponent double, target_weight double, source_budget long"
 
 
-def mix(docs: DataFrame, budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, block_docs: int = BLOCK_DOCS, seed: str = "mix", tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture as rows: doc_id, source, content (md5 of the text), n_tokens, epoch, block, source_start, target_weight.
 
-    ``budget`` is in tokens, by default those of the corpus; ``tokens`` counts a
-    row's, by default its words. A document occurs once for each epoch that
+    Options: ``budget`` in tokens, by default those of the corpus;
+    ``max_repetition`` or ``target_entropy``; ``tokens``, a column that counts a
+    row's, by default its words; ``block_docs``; ``seed``. A document occurs once for each epoch that
     reaches it; ``source_start`` is the number of tokens of its source before
     it. A null source is a source of its own. A source without tokens occurs
     whole, once. Rows that are repeated in ``docs`` count as often. An empty
     table gives no rows.
     """
-    narrow, rows = mix_plan(docs, budget, max_repetition, target_entropy, tokens)
+    docs, row = identified(docs)
+    return _placed(docs, row, **options).filter("__kept").drop("__kept", *row)
+
+
+def realised(mixed: DataFrame) -> DataFrame:
+    """Per source of a mixture: its rows, tokens, share of all tokens taken, and target_weight."""
+    found = mixed.groupBy("source", "target_weight").agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("tokens"))
+    return found.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))  # one row a source
+
+
+def _placed(docs: DataFrame, row: list[str], budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, block_docs: int = BLOCK_DOCS, seed: str = "mix", tokens: Column | None = None) -> DataFrame:
+    """The columns of ``mix`` and ``row`` for every row and epoch that begins, and whether it is taken."""
+    narrow, rows = mix_plan(docs, row, budget, max_repetition, target_entropy, tokens)
     spark = docs.sparkSession
     plan = spark.createDataFrame([tuple(r.values()) for r in rows], PLAN_DDL)
     whole = F.when(F.col("source_tokens") > 0, F.expr("source_budget div source_tokens")).otherwise(0)
@@ -129,28 +154,31 @@ def mix(docs: DataFrame, budget: int | None = None, max_repetition: float | None
     placed = epochs.withColumn("block", _block(_draw(seed, name, doc), F.col("blocks"))).withColumns(
         {"block_draw": _draw(seed, name, F.col("epoch").cast("string"), F.col("block").cast("string")), "doc_draw": _draw(seed, F.col("epoch").cast("string"), doc)}
     )
-    in_block = Window.partitionBy("source", "epoch", "block").orderBy("doc_draw", "doc_id", "content").rowsBetween(Window.unboundedPreceding, 0)
+    in_block = Window.partitionBy("source", "epoch", "block").orderBy("doc_draw", "doc_id", "content", *row).rowsBetween(Window.unboundedPreceding, 0)
     in_source = Window.partitionBy("source", "epoch").orderBy("block_draw", "block").rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy("source", "epoch", "block", "block_draw").agg(F.sum("n_tokens").alias("block_tokens"))
     starts = totals.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("block").alias("b"), (F.sum("block_tokens").over(in_source) - F.col("block_tokens")).alias("block_start"))
     ends = placed.withColumn("end", F.sum("n_tokens").over(in_block)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("block") == F.col("b")))
     end = F.col("block_start") + F.col("end")
-    kept = ends.filter((F.col("epoch") < F.col("whole")) | (end <= F.col("rest")))
-    return kept.select("doc_id", "source", "content", "n_tokens", "epoch", "block", (F.col("epoch") * F.col("source_tokens") + end - F.col("n_tokens")).alias("source_start"), "target_weight")
+    kept = (F.col("epoch") < F.col("whole")) | (2 * end - F.col("n_tokens") <= 2 * F.col("rest"))
+    return ends.withColumn("__kept", kept).select("__kept", *row, "doc_id", "source", "content", "n_tokens", "epoch", "block", (F.col("epoch") * F.col("source_tokens") + end - F.col("n_tokens")).alias("source_start"), "target_weight")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as the mixture takes it, all columns kept."""
-    key, times, rank = "__tessera_key", "__tessera_times", "__tessera_rank"
-    join_key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    taken = mix(docs, **options).groupBy(F.concat(join_key, F.lit("|"), F.col("content")).alias(key)).agg(F.count("*").alias(times))
-    order = Window.partitionBy(key).orderBy(key)
-    keyed = docs.withColumn(key, F.concat(join_key, F.lit("|"), F.md5(text_or_empty()))).join(taken, key)
-    # Rows that are equal share their occurrences: the first of k rows takes every k-th from the first on.
-    ranked = keyed.withColumns({rank: F.row_number().over(order), "__tessera_n": F.count("*").over(Window.partitionBy(key))})
-    own = F.expr(f"cast((`{times}` - `{rank}` + `__tessera_n`) div `__tessera_n` as int)")
-    copies = F.explode(F.array_repeat(F.lit(0), own))
-    return ranked.select(*docs.columns, copies.alias(rank)).drop(rank)
+    """``docs`` as mixed: each row as often as the mixture takes it, all columns kept.
+
+    Options are those of ``mix``, as is what happens to nulls and repeated rows.
+    An empty table stays empty. Only rows that do not occur exactly once are
+    joined, so the others stay where they lie.
+    """
+    docs, row = identified(docs)
+    times = fresh(docs, "__tessera_times")
+    placed = _placed(docs, row, **options)
+    changed = written(placed.groupBy(*row).agg(F.sum(F.col("__kept").cast("int")).alias(times)).filter(F.col(times) != 1), "mixed")
+    taken = matching(docs, changed, row, "left").drop(*row)
+    columns = [F.col(f"`{x}`") for x in docs.columns if x not in row]
+    copies = F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col(times), F.lit(1)).cast("int"))).alias(times)
+    return taken.select(*columns, copies).drop(times)
 
 
 MIX_SQL = rf"""
@@ -166,7 +194,7 @@ worst AS (
   SELECT step + 1, CASE WHEN bad THEN probe ELSE low END, CASE WHEN bad THEN high ELSE probe END,
          (CASE WHEN bad THEN probe ELSE low END + CASE WHEN bad THEN high ELSE probe END) / 2
   FROM (SELECT w.*, (SELECT max(power(t.source_tokens::DOUBLE / budget, w.probe) * budget / t.source_tokens)
-                            / sum(power(t.source_tokens::DOUBLE / budget, w.probe)) > {MAX_REPETITION}
+                            / sum(power(t.source_tokens::DOUBLE / budget, w.probe)) > {MAX_REPETITION} * (1 + {SLACK})
                      FROM t, b WHERE t.source_tokens > 0) AS bad FROM worst w)
   WHERE step <= {STEPS}),
 e AS (SELECT CASE WHEN (SELECT high FROM worst WHERE step = 1) = 0 THEN 0.0 ELSE (SELECT high FROM worst WHERE step = {STEPS} + 1) END AS a),
@@ -191,5 +219,5 @@ r AS (
 s AS (
   SELECT *, (sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY block_draw, block, doc_draw, doc_id, content ROWS UNBOUNDED PRECEDING))::BIGINT AS until FROM r)
 SELECT doc_id, source, content, n_tokens, epoch::INTEGER AS epoch, block, epoch * source_tokens + until - n_tokens AS source_start, round(target_weight, 9) AS target_weight
-FROM s WHERE epoch < whole OR until <= rest
+FROM s WHERE epoch < whole OR 2 * until - n_tokens <= 2 * rest
 """

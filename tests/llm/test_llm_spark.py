@@ -8,8 +8,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat_quotes, embedding_dedup, exact_dedup, html_extract, language_id, mixing, packing, simhash_dedup, token_counts, token_output
+from tessera.llm.common import identified
 from tessera.llm.components import Forest, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, fp int, rank string, component_id double"
@@ -73,6 +75,42 @@ def test_exact_groups_match_sql(spark):
     assert exact_dedup.exact_groups(documents(spark, ROWS[:0])).count() == 0
 
 
+def test_exact_groups_tell_contents_apart_that_share_a_digest(spark):
+    weak = lambda content: exact_dedup.sha256(F.substring(content, 1, 2))
+    names, wanted = from_sql(exact_dedup.EXACT_SQL, documents=pandas_docs(ROWS))
+    assert rows_of(exact_dedup.exact_groups(documents(spark, ROWS), weak).select(names)) == wanted
+    assert rows_of(exact_dedup.exact_dedup(documents(spark, ROWS), weak).select("text")) == rows_of(exact_dedup.exact_dedup(documents(spark, ROWS)).select("text"))
+
+
+def test_saved_index_inserts_and_deletes(spark, tmp_path):
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    index = exact_dedup.SavedIndex(spark, f"file://{tmp_path}/index", buckets=3)
+    asked = docs((9, "a b"), (8, "c"), (7, None), (6, "new"))
+    owners = lambda: {r.doc_id: r.owner_id for r in index.owners(asked).collect()}
+    assert owners() == {9: None, 8: None, 7: None, 6: None}
+    index.update(inserted=docs((2, "ab"), (1, "a\tb"), (3, "c"), (4, ""), (None, "c")))
+    assert owners() == {9: 1, 8: 3, 7: 4, 6: None}
+    index.update(deleted=docs((0, "c"), (0, "never held")), inserted=docs((5, " ab"), (6, "new")))
+    assert owners() == {9: 1, 8: None, 7: 4, 6: 6}
+    assert {(r.doc_id, r.copies) for r in index.live().collect()} == {(1, 3), (4, 1), (6, 1)}
+    index.update(inserted=docs((11, "c")))
+    assert owners()[8] == 11
+
+
+def test_rows_of_a_parquet_scan_keep_their_identity(spark, tmp_path):
+    rows = [(1, "same", 5), (1, "same", 5), (None, "same", None), (2, None, 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, __tessera_file long").repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for source in (df, df.filter("text = 'same'"), df.unionByName(df)):
+        known, row = identified(source)
+        assert known.select(*row).distinct().count() == source.count() and not set(row) & set(df.columns)
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns and sorted(r.text or "" for r in kept.collect()) == ["", "same"]
+    assert simhash_dedup.near_dedup(df).count() == 2
+    mixed = mixing.mixed_documents(df.withColumn("source", F.lit("s")))
+    assert mixed.count() == 4
+
+
 def test_exact_dedup_keeps_one_row_of_each_text(spark):
     kept = exact_dedup.exact_dedup(documents(spark, ROWS))
     assert kept.columns == documents(spark, ROWS).columns
@@ -93,9 +131,9 @@ def _components(ids, linked):
     return [min(least[forest.find(i)], default=None) for i in range(len(ids))]
 
 
-@pytest.mark.parametrize("long_list", [512, 2])
+@pytest.mark.parametrize(("short_list", "long_list"), [(64, 512), (2, 512), (1, 2)])
 @pytest.mark.parametrize("max_bits", [3, 2, 1, 0])
-def test_links_find_all_components(spark, long_list, max_bits):
+def test_links_find_all_components(spark, short_list, long_list, max_bits):
     rng = random.Random(max_bits)
     fps = {0, 2**64 - 1}
     for _ in range(12):
@@ -109,7 +147,7 @@ def test_links_find_all_components(spark, long_list, max_bits):
     fps |= {base | rng.getrandbits(6) for _ in range(15)}  # a dense group in one posting list
     fps = sorted(fps)
     signed = [x - 2**64 if x >> 63 else x for x in fps]
-    edges = [tuple(r) for r in simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), max_bits, long_list).collect()]
+    edges = [tuple(r) for r in simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), max_bits, short_list, long_list).collect()]
     back = {s: i for i, s in enumerate(signed)}
     assert all((fps[back[a]] ^ fps[back[b]]).bit_count() <= max_bits for a, b in edges)
     pairs = {frozenset((back[a], back[b])) for a, b in edges}
@@ -172,7 +210,7 @@ def test_mixing_budget_blocks_and_limit(spark):
     rows = [(i, "w " * (1 + i % 7), "en", "ab"[i % 5 == 0]) for i in range(400)]
     options = {"budget": 3000, "max_repetition": 3.0, "block_docs": 16}
     found = mixing.mix(documents(spark, rows), **options).toPandas()
-    plan = {r["source"]: r for r in mixing.mix_plan(documents(spark, rows), 3000, 3.0)[1]}
+    plan = {r["source"]: r for r in mixing.mix_plan(documents(spark, rows), [], 3000, 3.0)[1]}
     for source, part in found.groupby("source"):
         p = plan[source]
         assert p["source_budget"] - 7 < part.n_tokens.sum() <= p["source_budget"] and part.groupby("doc_id").size().max() <= 3

@@ -8,7 +8,7 @@ import pytest
 
 from tessera.llm import bpe
 from tessera.llm.components import Forest
-from tessera.llm.exact_dedup import CuckooIndex, LiveIndex
+from tessera.llm.exact_dedup import CuckooIndex
 from tessera.llm.html_extract import blocks, common_lines, host_and_path
 from tessera.llm.language_id import Profiler
 from tessera.llm.mixing import entropy, find_exponent, weights_at
@@ -50,11 +50,12 @@ def test_cuckoo_overflow_of_equal_homes():
     assert [index.get(k) for k in keys] == list(range(8))
 
 
-def test_live_index():
-    live = LiveIndex(4)
-    assert [live.add(1, "a b"), live.add(2, "ab"), live.add(3, None), live.add(4, " ")] == [1, 1, 3, 3]
-    assert live.remove("a\tb") and not live.remove("ab")
-    assert live.add(5, "ab") == 5
+def test_infeasible_mixing_targets_are_refused():
+    tokens = {"a": 100, "b": 50}
+    assert find_exponent(tokens, 187, 1.25) == 1.0 or find_exponent(tokens, 187, 1.25) <= 1
+    for options in ({"budget": 450, "max_repetition": 1.25}, {"budget": 150, "target_entropy": 0.1}, {"budget": 150, "target_entropy": 0.8}):
+        with pytest.raises(ValueError, match="no exponent"):
+            find_exponent(tokens, **options)
 
 
 def test_fingerprint_matches_the_definition():

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera.llm.common import identified, written
 from tessera.llm.shingle_links import prefixes, shingle_links
 from tessera.llm.simhash_dedup import fingerprint, near_dedup
 
@@ -53,11 +54,12 @@ def _texts():
 def test_shingle_links_find_all_components(spark, long_list):
     texts = _texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = prefixes(docs)
+    docs, row = identified(docs)
+    rows = written(prefixes(docs, row), "rows")
     node = {r.doc_id: r.node for r in rows.collect()}
     sets = [_shingles(t) for t in texts]
     wanted = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if _alike(sets[i], sets[j])}
-    found = {(r.a, r.b) for r in shingle_links(rows, docs, long_list=long_list).collect()}
+    found = {(r.a, r.b) for r in shingle_links(rows, docs, row, long_list=long_list).collect()}
     true_links = {tuple(sorted((node[i], node[j]))) for i, j in wanted if node[i] != node[j]}
     assert len(true_links) > 50 and found <= true_links
     nodes = sorted(set(node.values()))
