@@ -1,24 +1,30 @@
 """Main text of web pages: article zones, and differencing against the page of nearest URL (operator 7).
 
-A page is read into blocks, one line of text each. Elements that never hold the
-article (menus, headers, footers, sidebars, forms, scripts, notices, adverts,
-reader comments) are left out by tag, role, or class. Where a page marks its
-article (``article``, ``main``), the blocks inside are the text.
-
-Where it does not, the page is paired with the page of nearest URL path on its
-host, their lines are aligned by longest common subsequence, and shared lines go.
-Neighbours stand next to each other in path order; the one with the longer common
-path prefix is taken, a page with the very same lines never. The order is cut into
-ranges, which may split a host, so no task holds a whole large host; the first and
-last page of each range are handed to the ranges beside it, so the pairs are the same.
-
-Marked articles are not differenced: pages that carry the same article, or one
-line of it, would lose it.
+A page is read into blocks, one line of text each. Elements that HTML itself says
+hold no article (``nav``, ``footer``, ``aside``, ``form``, scripts, an ``article``
+inside an article, which is a reader's comment, and ARIA roles for the same) are
+not read, nor are those whose whole class or id is one of the plain names in KINDS.
+
+Every page is paired with the page of nearest URL path on its host, their lines
+are aligned by longest common subsequence, and shared lines go. Neighbours stand
+next to each other in path order; of the two on either side the one with the
+longest common path prefix comes first. A neighbour that shares more than
+``MIRROR`` of the page's characters is a copy of the page and no mate for it; then
+the next one is tried. The order is cut into ranges, which may split a host, so no
+task holds a whole large host; the pages at the ends of a range are handed to the
+ranges beside it, so the pairs are the same.
+
+Markup protects text from that: where a page marks its article (``article``,
+``main``), nothing else is text, and of the article's lines only those go that
+stand in a classed container (``div``, ``section``, lists, tables) of a kind that
+holds less than half of the article, since paragraphs are shared by pages that
+carry the same article, or one passage of it, and would be lost.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, written
+from tessera.llm.common import matching, prepare, written
 
 #: Elements whose content is no text of a page, and is not markup either.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -39,47 +45,45 @@ BLOCK = set(
 )
 #: Elements without content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class or id that name what surrounds an article.
-SURROUNDINGS = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
-)
+#: Whole names of a class or id that say what an element is, of the kinds which are no article. Never parts of a name.
+KINDS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "footer", "menu", "notice", "sidebar"}
 #: Roles of what surrounds an article.
-OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
+OUTSIDE_ROLES = {"navigation", "banner", "comment", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
+#: Elements whose class or id makes them a container of their own inside an article.
+CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "figure", "details"}
+#: A neighbour that shares more than this part of a page's characters is a copy of it.
+MIRROR = 0.8
+#: Neighbours that are tried on each side.
+SIDE = 2
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)""", re.S)
 _attribute = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_words = re.compile(r"[a-z]+")
-_camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _attribute.findall(text)}
 
 
-def _surrounds(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element holds no part of the article."""
-    if tag in OUTSIDE or tag == "header" and not in_article:
+def _surrounds(tag: str, attributes: dict[str, str], in_article: bool, in_tag: bool) -> bool:
+    """Whether an element holds no part of the article; ``in_tag``: it lies in an ``article`` element."""
+    if tag in OUTSIDE or tag == "header" and not in_article or tag == "article" and in_tag:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in OUTSIDE_ROLES:
         return True
-    for value in (attributes.get("class", ""), attributes.get("id", "")):
-        for name in value.split():
-            words = _words.findall(_camel.sub(" ", name).lower())
-            if words and (words[0] in SURROUNDINGS or words[-1] in SURROUNDINGS):
-                return True
-    return False
+    return tag != "article" and any(name.lower() in KINDS for key in ("class", "id") for name in attributes.get(key, "").split())
 
 
-def blocks(page: str | None) -> tuple[list[str], list[bool]]:
-    """Lines of a page in order, and for each whether it lies in a marked article."""
+def blocks(page: str | None) -> tuple[list[str], list[bool], list[str | None]]:
+    """Lines of a page in order, for each whether it lies in a marked article, and the kind of classed container around it there."""
     page = page or ""
     lines: list[str] = []
     inside: list[bool] = []
+    kinds: list[str | None] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, article
-    out = articles = at = 0
+    stack: list[tuple[str, bool, bool, str | None]] = []  # tag, left out, article, kind of container
+    out = articles = tagged = at = 0
 
     def close() -> None:
         if text:
@@ -88,12 +92,14 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
             if line:
                 lines.append(line)
                 inside.append(articles > 0)
+                kinds.append(next((x[3] for x in reversed(stack) if x[3]), None) if articles else None)
 
     def pop() -> None:
-        nonlocal out, articles
-        _, left_out, article = stack.pop()
+        nonlocal out, articles, tagged
+        tag, left_out, article, _ = stack.pop()
         out -= left_out
         articles -= article
+        tagged -= article and tag == "article"
 
     size = len(page)
     while at < size:
@@ -132,13 +138,28 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             pop()
         attributes = _attributes(found[3]) if found[3] else {}
-        left_out = not out and _surrounds(tag, attributes, articles > 0)
+        left_out = not out and _surrounds(tag, attributes, articles > 0, tagged > 0)
         article = not out and not left_out and (tag in ("article", "main") or attributes.get("role") == "main")
-        stack.append((tag, left_out, article))
+        kind = f"{tag} {attributes.get('class', '')} {attributes.get('id', '')}" if articles and tag in CONTAINER and (attributes.get("class") or attributes.get("id")) else None
+        stack.append((tag, left_out, article, kind))
         out += left_out
         articles += article
+        tagged += article and tag == "article"
     close()
-    return lines, inside
+    return lines, inside, kinds
+
+
+def shown_and_open(lines: list[str], inside: list[bool], kinds: list[str | None]) -> tuple[list[int], list[int]]:
+    """Positions of the lines that can be text, and of those among them that differencing may delete."""
+    if not any(inside):
+        every = list(range(len(lines)))
+        return every, every
+    shown = [i for i, x in enumerate(inside) if x]
+    held: dict[str | None, int] = {}
+    for i in shown:
+        held[kinds[i]] = held.get(kinds[i], 0) + len(lines[i])
+    whole = sum(held.values())
+    return shown, [i for i in shown if kinds[i] is not None and 2 * held[kinds[i]] < whole]
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
@@ -188,54 +209,70 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (found[1].lower(), found[2] or "/") if found else ("", url or "")
 
 
-_PARSED = "page_id long, url string, host string, path string, marked boolean, text string, lines array<string>, hashes array<long>, content long"
+_PARSED = "page_id long, url string, host string, path string, lines array<string>, places array<int>, hashes array<long>, sizes array<int>, open array<int>, content long"
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lines`` stand at ``places`` of the page, whose lines have ``hashes`` and ``sizes``; those at ``open`` may be deleted."""
     import xxhash
 
     names = [x.split()[0] for x in _PARSED.split(", ")]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), ints, longs, ints, ints, pa.int64()]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             rows = []
             part = batch.slice(at, 512)
             for page_id, url, page in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html"), strict=True):
-                lines, inside = blocks(page.as_py())
-                marked = any(inside)
-                text = "\n\n".join(x for x, i in zip(lines, inside, strict=True) if i) if marked else None
+                lines, inside, kinds = blocks(page.as_py())
+                shown, loose = shown_and_open(lines, inside, kinds)
                 hashes = [signed(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))) for x in lines]
-                content = signed(xxhash.xxh64_intdigest("\n".join(lines).encode("utf-8", "surrogatepass")))
-                rows.append((page_id, url, *host_and_path(url), marked, text, None if marked else lines, hashes, content))
+                content = signed(xxhash.xxh64_intdigest(repr((hashes, loose))))
+                rows.append((page_id, url, *host_and_path(url), [lines[i] for i in shown], shown, hashes, [len(x) for x in lines], loose, content))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def shared_lines(page: dict, near: list[dict]) -> set[int]:
+    """Lines of ``page`` that its mate has as well: of ``near``, by URL, the first that is no copy of it; none: empty."""
+    whole = sum(page["sizes"])
+    order = sorted(range(len(near)), key=lambda k: (-_prefix(near[k]["path"], page["path"]), k))
+    for k in order:
+        shared = common_lines(page["hashes"], near[k]["hashes"])
+        if sum(page["sizes"][i] for i in shared) <= MIRROR * whole and near[k]["content"] != page["content"]:
+            return shared
+    return set()
+
+
 def _difference(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, path, content, gone) of the pages that lose lines."""
+    names = ["host", "path", "content", "gone"]
     for batch in batches:
-        texts = []
+        rows = []
         for row in batch.to_pylist():
-            near = [x for x in (row["before"], row["after"]) if x and x["content"] != row["content"]]
-            if near:
-                mate = max(near, key=lambda x: (_prefix(x["path"], row["path"]), x["path"], x["content"]))
-                gone = common_lines(row["hashes"], mate["hashes"])
-                texts.append("\n\n".join(x for i, x in enumerate(row["lines"]) if i not in gone))
-            else:
-                texts.append("\n\n".join(row["lines"]))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            # Nearest first; between equally near pages the one before.
+            near = [x for pair in itertools.zip_longest(row["before"], row["after"]) for x in pair if x]
+            if gone := sorted(shared_lines(row, near).intersection(row["open"])):
+                rows.append((row["host"], row["path"], row["content"], gone))
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())], strict=True)], names=names)
 
 
-def neighbours(mates: DataFrame, ranges: int) -> DataFrame:
-    """``mates (host, path, content, hashes)``, distinct in the first three, with the pages ``before`` and ``after`` in that order on the host."""
+def neighbours(mates: DataFrame, ranges: int, side: int = SIDE) -> DataFrame:
+    """``mates (host, path, content, hashes, ...)``, distinct in the first three, with the ``side`` nearest pages ``before`` and ``after`` in that order on the host, nearest first."""
     keys = ["host", "path", "content"]
     ranged = written(mates.repartitionByRange(ranges, *keys).withColumn("range", F.spark_partition_id()), "page-ranges")
     page = F.struct(*keys, "hashes")
-    order, across = Window.partitionBy("range").orderBy(*keys), Window.orderBy("range")  # one row a range
-    ends = ranged.groupBy("range").agg(F.min_by(page, F.struct(*keys)).alias("first"), F.max_by(page, F.struct(*keys)).alias("last"))
-    ends = ends.select("range", F.lag("last").over(across).alias("range_before"), F.lead("first").over(across).alias("range_after"))
-    inside = ranged.withColumns({"before": F.lag(page).over(order), "after": F.lead(page).over(order)}).join(ends, "range")
-    same_host = lambda x: F.when(x["host"] == F.col("host"), x)
-    return inside.select(*keys, "hashes", *(same_host(F.coalesce(x, f"range_{x}")).alias(x) for x in ("before", "after")))
+    order, whole, across = Window.partitionBy("range").orderBy(*keys), Window.partitionBy("range"), Window.orderBy(*keys)
+    ranked = ranged.withColumns({"rank": F.row_number().over(order), "last": F.count("*").over(whole)})
+    edges = ranked.filter((F.col("rank") <= side) | (F.col("rank") > F.col("last") - side))  # 2 * side rows a range
+    edges = edges.withColumns({"range_before": F.collect_list(page).over(across.rowsBetween(-side, -1)), "range_after": F.collect_list(page).over(across.rowsBetween(1, side))})
+    ends = edges.filter("rank = 1").select("range", "range_before").join(edges.filter("rank = last").select("range", "range_after"), "range")
+    inside = ranked.withColumns({"before": F.collect_list(page).over(order.rowsBetween(-side, -1)), "after": F.collect_list(page).over(order.rowsBetween(1, side))}).join(ends, "range")
+    before = F.reverse(F.concat(F.when(F.col("rank") <= side, F.col("range_before")).otherwise(F.array()), "before"))
+    after = F.concat("after", F.when(F.col("rank") > F.col("last") - side, F.col("range_after")).otherwise(F.array()))
+    same_host = lambda x: F.filter(F.slice(x, 1, side), lambda y: y["host"] == F.col("host"))
+    return inside.select(*mates.columns, same_host(before).alias("before"), same_host(after).alias("after"))
 
 
 def main_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -244,16 +281,14 @@ def main_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     Character references are decoded, white space inside a block is one space,
     blocks are joined by two line feeds in page order. A null or empty page has
     the empty text. A null URL counts as a path of the empty host. Repeated rows
-    stay repeated. An empty table gives no rows.
+    stay repeated. An empty table gives no rows. Pages stay where they were read:
+    only hashes of lines are sorted, and only pages that lose lines are joined.
     """
     spark = prepare(pages)
     parsed = written(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse, _PARSED), "pages")
-    plain = parsed.filter(~F.col("marked"))
-    mates = parsed.groupBy("host", "path", "content").agg(F.first("hashes").alias("hashes"))  # equal content, equal hashes
-    hosts = plain.select("host").distinct()
-    mates = mates.join(hosts, "host", "left_semi")
+    mates = parsed.groupBy("host", "path", "content").agg(*(F.first(x).alias(x) for x in ("hashes", "sizes", "open")))  # equal content, equal lines
     paired = neighbours(mates, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    joined = plain.drop("hashes").join(paired, ["host", "path", "content"])
-    differenced = joined.select("page_id", "url", "path", "content", "lines", "hashes", "before", "after").mapInArrow(_difference, "page_id long, url string, text string")
-    found = parsed.filter("marked").select("page_id", "url", "text").unionByName(differenced)
-    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+    gone = written(paired.mapInArrow(_difference, "host string, path string, content long, gone array<int>"), "shared-lines")
+    found = matching(parsed.drop("hashes", "sizes", "open"), gone, ["host", "path", "content"], "left")
+    kept = F.filter("lines", lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", F.get("places", i)))
+    return found.select("page_id", "url", F.array_join(kept, "\n\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

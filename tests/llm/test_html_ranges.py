@@ -16,9 +16,9 @@ def test_neighbours_are_those_of_the_whole_order(spark, ranges):
     found = {(r.host, r.path, r.content): (r.before, r.after) for r in neighbours(mates, ranges).collect()}
     assert len(found) == len(keys)
     for at, key in enumerate(keys):
-        for mate, i in zip(found[key], (at - 1, at + 1), strict=True):
-            wanted = keys[i] if 0 <= i < len(keys) and keys[i][0] == key[0] else None
-            assert (mate and (mate.host, mate.path, mate.content)) == wanted
+        sides = [range(at - 1, at - 3, -1), range(at + 1, at + 3)]
+        for near, side in zip(found[key], sides, strict=True):
+            assert [(x.host, x.path, x.content) for x in near] == [keys[i] for i in side if 0 <= i < len(keys) and keys[i][0] == key[0]]
 
 
 def test_large_host_loses_the_menu_of_each_section(spark):

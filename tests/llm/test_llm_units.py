@@ -210,7 +210,7 @@ def test_common_lines_are_a_longest_common_subsequence():
     ],
 )
 def test_blocks(page, wanted):
-    assert list(zip(*blocks(page), strict=True)) == wanted
+    assert list(zip(*blocks(page)[:2], strict=True)) == wanted
 
 
 def test_host_and_path():
