@@ -20,7 +20,7 @@ import numpy as np
 
 #: Pieces longer than this, such as base64 blobs, are not remembered.
 LONGEST_REMEMBERED = 40
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 400_000
 
 _odd_space = re.compile(r"[^\S \n]")
 _word = re.compile(r"[ \n][^\s]{1,40}\Z").match
@@ -55,6 +55,7 @@ class Encoder:
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         # A byte-level token is written with one character for each of its bytes.
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.memo: dict[str, bytes] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 WHITE_SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _scratch: dict[str, str] = {}
+_made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -47,9 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``written(make(), name)``; the scratch tables written on the way are removed again."""
+    first = len(_made)
+    out = written(make(), name)
+    for path in _made[first:-1]:
+        delete_path(out.sparkSession, path)
+    del _made[first:-1]
+    return out
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of the scratch space through the cluster's own file system."""
     jvm = spark.sparkContext._jvm
@@ -76,11 +89,6 @@ def hash_draw(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) / float(1 << 31)
 
 
-def row_key(doc_id: Column, content: Column) -> Column:
-    """A join key that is never null: the id, or nothing for null, and a content hash."""
-    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), content.cast("string"))
-
-
 #: A side of at most so many narrow rows is broadcast (some tens of MB); a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -117,11 +125,3 @@ def identified(df: DataFrame) -> tuple[DataFrame, list[str]]:
 def matching(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
     """``df`` joined to ``keys``, a written narrow table: wide rows stay in place while the keys are few, and are shuffled beyond that."""
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
-
-
-def first_per_key(df: DataFrame, key: str) -> DataFrame:
-    """One row of each ``key``; which one is open, so use it where rows of a key are equal."""
-    from pyspark.sql import Window
-
-    rank = "__tessera_rank"
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(rank) == 1).drop(rank)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import identified, matching, prepare, squeezed, text_or_empty, written
+from tessera.llm.common import identified, matching, prepare, settled, squeezed, text_or_empty, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -222,7 +222,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     """``docs`` without the rows that ``exact_groups`` drops; all columns are kept. An empty table stays empty."""
     prepare(docs)
     docs, row = identified(docs)
-    dropped = written(_groups(docs, row, digest).filter("not kept").select(*row), "dropped")
+    dropped = settled(lambda: _groups(docs, row, digest).filter("not kept").select(*row), "dropped")
     return matching(docs, dropped, row, "left_anti").drop(*row)
 
 

@@ -56,7 +56,7 @@ class Profiler:
             if len(self._grams) > 20_000:
                 self._grams.clear()
             a, b, c = (self._letter(key >> shift & 0x1FFFFF) for shift in (42, 21, 0))
-            got = self._grams[key] = (np.roll(a, 2) * np.roll(b, 1) * c).astype(np.float32)
+            got = self._grams[key] = (np.roll(a, 2) * np.roll(b, 1) * c)
         return got
 
     def _codes(self, text: str) -> np.ndarray:
@@ -86,7 +86,7 @@ class Profiler:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for at in range(0, len(keys), 4096):
             part = keys[at : at + 4096]
-            grams = np.stack([self._gram(int(k)) for k in part])
+            grams = np.stack([self._gram(int(k)) for k in part]).astype(np.float32)
             weights = np.zeros((len(texts), len(part)), np.float32)
             for row, (k, n) in enumerate(each):
                 lo, hi = np.searchsorted(k, (part[0], part[-1] + 1))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WHITE_SPACE, WHITE_SPACE_CLASS, fresh, identified, matching, prepare, text_or_empty, written
+from tessera.llm.common import WHITE_SPACE, WHITE_SPACE_CLASS, fresh, identified, matching, prepare, settled, text_or_empty, written
 
 MAX_REPETITION = 1.25
 BLOCK_DOCS = 4096
@@ -173,8 +173,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     docs, row = identified(docs)
     times = fresh(docs, "__tessera_times")
-    placed = _placed(docs, row, **options)
-    changed = written(placed.groupBy(*row).agg(F.sum(F.col("__kept").cast("int")).alias(times)).filter(F.col(times) != 1), "mixed")
+    changed = settled(lambda: _placed(docs, row, **options).groupBy(*row).agg(F.sum(F.col("__kept").cast("int")).alias(times)).filter(F.col(times) != 1), "mixed")
     taken = matching(docs, changed, row, "left").drop(*row)
     columns = [F.col(f"`{x}`") for x in docs.columns if x not in row]
     copies = F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col(times), F.lit(1)).cast("int"))).alias(times)

@@ -18,7 +18,7 @@ component is lost, with rows in proportion to the members.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import identified, matching, prepare, written
+from tessera.llm.common import identified, matching, prepare, settled, written
 from tessera.llm.components import components
 from tessera.llm.shingle_links import prefixes, shingle_links
 
@@ -136,10 +136,14 @@ def links(nodes: DataFrame, max_bits: int = 3, short_list: int = SHORT_LIST, lon
     least = 8 - max_bits
     sets = list(combinations(range(8), least - 1))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = _listed(_posted(nodes.repartition(parts, "fp"), sets), "postings")  # narrow rows: dealt over all tasks before they are multiplied
-    tally = _met(listed.filter(F.col("n") <= short_list)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    posted = _posted(nodes.repartition(parts, "fp"), sets)  # narrow rows: dealt over all tasks before they are multiplied
+    lists = posted.groupBy("positions", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    lists = written(lists, "posting-lists")  # a list of two is a pair; members are gathered for longer ones only
+    longer = written(matching(posted, lists.filter("n > 2").select("positions", "bytes", "n"), ["positions", "bytes"], "inner"), "postings")
+    met = lists.filter("n = 2").select("a", "b").unionByName(_met(longer.filter(F.col("n") <= short_list)).select("a", "b"))
+    tally = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = tally.filter(F.col("shared") >= comb(least, least - 1)).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
-    dense = listed.filter(F.col("n") > short_list).select("fp").distinct()
+    dense = longer.filter(F.col("n") > short_list).select("fp").distinct()
     return pairs.unionByName(_dense_links(dense.repartition(parts, "fp"), max_bits, long_list)).distinct()
 
 
@@ -170,14 +174,14 @@ def _groups(docs: DataFrame, row: list[str], shingle: int, max_bits: int) -> Dat
     return found.join(of_fp, "fp").withColumn("kept", kept)
 
 
-def _without(docs: DataFrame, row: list[str], dropped: DataFrame) -> DataFrame:
-    return matching(docs, written(dropped.select(*row), "dropped"), row, "left_anti").drop(*row)
+def _without(docs: DataFrame, row: list[str], dropped: Callable[[], DataFrame]) -> DataFrame:
+    return matching(docs, settled(lambda: dropped().select(*row), "dropped"), row, "left_anti").drop(*row)
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id, nulls last; all columns are kept."""
     docs, row = identified(docs)
-    return _without(docs, row, _groups(docs, row, shingle, max_bits).filter("not kept"))
+    return _without(docs, row, lambda: _groups(docs, row, shingle, max_bits).filter("not kept"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -190,6 +194,11 @@ def near_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
     stays empty.
     """
     docs, row = identified(docs)
+    return _without(docs, row, lambda: _near_copies(docs, row, shingle, max_bits))
+
+
+def _near_copies(docs: DataFrame, row: list[str], shingle: int, max_bits: int) -> DataFrame:
+    """The rows of ``docs`` that ``near_dedup`` drops."""
     rows = written(prefixes(docs, row, fingerprint=lambda text: fingerprint(text, shingle)), "shingle-prefixes")
     same = components(links(rows.select("fp").distinct(), max_bits), "simhash-components")
     held = written(rows.select(*row, "doc_id", "node", "fp").join(same.withColumnRenamed("node", "fp"), "fp", "left").withColumn("of", F.coalesce("root", "fp")).drop("fp", "root"), "near-rows")
@@ -201,4 +210,4 @@ def near_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
     stays = F.lit(True)
     for x in row:
         stays = stays & (F.col(x) == F.col(f"least.{x}"))
-    return _without(docs, row, labelled.join(least, "root").filter(~stays))
+    return labelled.join(least, "root").filter(~stays)
