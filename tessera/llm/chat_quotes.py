@@ -19,6 +19,8 @@ from tessera.llm.common import prepare, text_or_empty, written
 
 #: Fixed value: quote marks at the start of a line.
 MARKS = r"^[ \t]*>[> \t]*"
+#: Turns of a stretch in which positions are counted at once.
+STRETCH = 1024
 
 
 def _lines(text: Column) -> Column:
@@ -99,7 +101,7 @@ def chat_threads(conversations: DataFrame) -> DataFrame:
     root's turn), depth (0 for a root), position (from 1, within the thread, by
     turn). Threads of a conversation follow each other by thread_turn. A null
     text counts as empty; a row whose conv_id or turn is null links to nothing
-    and is a thread of its own kind; repeated rows stay, at neighbouring
+    and is a thread of its own, at position 1; repeated rows stay, at neighbouring
     positions. An empty table gives no rows. No line of a text is dropped but
     quoted ones.
     """
@@ -109,8 +111,17 @@ def chat_threads(conversations: DataFrame) -> DataFrame:
     replies = _roots(reply_links(parsed.filter("conv_id is not null and turn is not null")))
     shown = parsed.select("conv_id", "turn", "role", F.col("own").alias("text"), F.array_max(F.transform("lines", lambda x: x["level"])).alias("quote_levels"))
     placed = shown.join(replies, ["conv_id", "turn"], "left").withColumns({"thread_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0).cast("long"))})
-    order = Window.partitionBy("conv_id", "thread_turn").orderBy("turn", "role", "text")
-    return placed.select("conv_id", "turn", "role", "text", "quote_levels", "parent_turn", "thread_turn", "depth", F.row_number().over(order).cast("long").alias("position"))
+    columns = ["conv_id", "turn", "role", "text", "quote_levels", "parent_turn", "thread_turn", "depth"]
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    alone = placed.filter(~known).select(*columns, F.lit(1).cast("long").alias("position"))
+    # Positions in two steps: within a stretch of turns, and the rows of the stretches before; so no task holds a long thread.
+    part = ["conv_id", "thread_turn", "stretch"]
+    dealt = placed.filter(known).withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    before = Window.partitionBy("conv_id", "thread_turn").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*part).agg(F.count("*").alias("rows")).select(*part, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy("turn", "role", "text"))
+    ranked = dealt.withColumn("inside", inside).join(starts, part)
+    return ranked.select(*columns, (F.col("start") + F.col("inside")).alias("position")).unionByName(alone)
 
 
 CHAT_SQL = r"""
@@ -144,6 +155,7 @@ c AS (
 r AS (SELECT conv_id, turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM c GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role, coalesce(own.own, '') AS text, own.quote_levels::INTEGER AS quote_levels, p.parent_turn, coalesce(r.root_turn, m.turn) AS thread_turn,
        coalesce(r.depth, 0)::BIGINT AS depth,
-       row_number() OVER (PARTITION BY m.conv_id, coalesce(r.root_turn, m.turn) ORDER BY m.turn NULLS FIRST, m.role NULLS FIRST, coalesce(own.own, '')) AS position
+       CASE WHEN m.conv_id IS NULL OR m.turn IS NULL THEN 1
+            ELSE row_number() OVER (PARTITION BY m.conv_id, coalesce(r.root_turn, m.turn) ORDER BY m.turn NULLS FIRST, m.role NULLS FIRST, coalesce(own.own, '')) END AS position
 FROM m JOIN own USING (id) LEFT JOIN p ON m.conv_id = p.conv_id AND m.turn = p.turn LEFT JOIN r ON m.conv_id = r.conv_id AND m.turn = r.turn
 """

@@ -2,9 +2,11 @@
 
 Vectors are scaled to length 1 and turned so that leading dimensions carry most
 (principal axes of a bounded sample; the choice of axes changes speed, never
-results). They are dealt into tiles of about ``TILE`` vectors by splits along the
-leading axes. Two tiles are compared only if their boxes in the leading axes come
-close enough. Inside a comparison the products of the first axes are summed, and
+results). They are dealt into tiles by splits along the leading axes: about
+``TILE`` vectors each, fewer where the vectors are too few to occupy all cores.
+Two tiles are compared only if their boxes in the leading axes come close enough.
+A tile travels to one side of about half of its comparisons, so bytes moved are
+vectors x tiles / 2, and tiles are as large as a task's memory allows. Inside a comparison the products of the first axes are summed, and
 a pair goes on only while that sum plus the product of the norms of what is left
 (the largest the rest can add) reaches the threshold; survivors are verified on
 the original vectors in double precision.
@@ -28,7 +30,7 @@ from tessera.llm.common import hash_draw, prepare, written
 from tessera.llm.components import components
 
 THRESHOLD = 0.95
-TILE = 4096
+TILE = 16_384
 #: About so many vectors, by hash, give the principal axes.
 SAMPLE = 10_000
 #: Axes summed before each test.
@@ -67,10 +69,16 @@ def _leaf(tree: list, points: np.ndarray, rows: np.ndarray, out: np.ndarray, cod
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    """Rows as they are stored, in single or double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _unpacked(raw: bytes, width: int, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * width * rows else np.float64).reshape(-1, width)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     scale = np.abs(x).max(1, keepdims=True)  # so that no square is out of range
     x = x / scale
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -129,7 +137,7 @@ def _compare(axes: dict[int, np.ndarray], threshold: float):
                 i, j, width = (batch.column(c)[row].as_py() for c in ("i", "j", "width"))
                 ids_a, ids_b = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in ("ids", "ids_2"))
                 n_a, n_b = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in ("copies", "copies_2"))
-                a, b = (_unit(np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(-1, width)) for c in ("vectors", "vectors_2"))
+                a, b = (_unit(_unpacked(batch.column(c)[row].as_py(), width, len(ids))) for c, ids in (("vectors", ids_a), ("vectors_2", ids_b)))
                 count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
                 root = np.arange(len(a) + (0 if i == j else len(b)))
                 for x, y in linked_pairs(a, b, axes[width], threshold, i == j):
@@ -174,6 +182,7 @@ _TILES = "tile string, width int, ids binary, copies binary, vectors binary, low
 
 def _tiles(nodes: DataFrame, tile: int, sample: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """Tiles of ``nodes (node, vector, n)`` and the axes for each vector length."""
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
     lengths = {r["width"]: r["count"] for r in nodes.groupBy(F.size("vector").alias("width")).count().collect()}
     axes: dict[int, np.ndarray] = {}
     trees: dict[int, list] = {}
@@ -184,7 +193,8 @@ def _tiles(nodes: DataFrame, tile: int, sample: int) -> tuple[DataFrame, dict[in
             chosen = same.limit(1).toArrow()
         points = _unit(_matrix(chosen.column("vector").combine_chunks()))
         axes[width] = _axes(points)
-        trees[width] = _splits(points @ axes[width], math.ceil(count / tile))
+        size = min(tile, max(1, math.ceil(count / (2 * math.sqrt(cores)))))  # pairs of tiles are then a few for each core
+        trees[width] = _splits(points @ axes[width], math.ceil(count / size))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +207,8 @@ def _tiles(nodes: DataFrame, tile: int, sample: int) -> tuple[DataFrame, dict[in
                 lead = points[:, :BOX_AXES]
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("vector"), part.column("n"), pa.array([f"{width}.{x}" for x in leaf]), pa.array(lead.tolist(), pa.list_(pa.float64()))], names=["node", "vector", "n", "leaf", "lead"])
 
-    dealt = written(nodes.mapInArrow(deal, "node long, vector array<double>, n long, leaf string, lead array<double>"), "dealt")
+    kind = dict(nodes.dtypes)["vector"]
+    dealt = written(nodes.mapInArrow(deal, f"node long, vector {kind}, n long, leaf string, lead array<double>"), "dealt")
     sizes = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / tile).cast("long").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
     tiled = dealt.join(sizes, "leaf").withColumn("tile", F.concat_ws("/", "leaf", chunk))
@@ -213,7 +224,9 @@ def _tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
     near = boxes.select(F.col("tile").alias("j"), "width", F.col("low").alias("low_2"), F.col("high").alias("high_2"), F.explode(F.sequence(cell(F.col("low")[0]) - 1, cell(F.col("high")[0]) + 1)).alias("cell"))
     gap = F.zip_with(F.zip_with("low", "high_2", lambda x, y: x - y), F.zip_with("low_2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     met = own.withColumnRenamed("tile", "i").join(near, ["width", "cell"]).filter("i <= j")
-    return met.filter(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= reach * reach).select("i", "j").distinct()
+    close = met.filter(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= reach * reach).select("i", "j").distinct()
+    swap = F.pmod(F.xxhash64("i"), F.lit(2)) != F.pmod(F.xxhash64("j"), F.lit(2))  # so that each tile is the right one of about half of its pairs
+    return close.select(F.when(swap, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(swap, F.col("i")).otherwise(F.col("j")).alias("j"))
 
 
 def embedding_groups(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
@@ -231,7 +244,7 @@ def embedding_groups(embeddings: DataFrame, threshold: float = THRESHOLD, tile:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     prepare(embeddings)
-    vector = F.col("embedding").cast("array<double>")
+    vector = F.col("embedding") if dict(embeddings.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(~bad & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).withColumn("usable", usable)
@@ -240,7 +253,7 @@ def embedding_groups(embeddings: DataFrame, threshold: float = THRESHOLD, tile:
     tiles, axes = _tiles(nodes.select("node", "vector", "n"), tile, sample)
     left = tiles.select(F.col("tile").alias("i"), "width", "ids", "copies", "vectors")
     right = tiles.select(F.col("tile").alias("j"), F.col("ids").alias("ids_2"), F.col("copies").alias("copies_2"), F.col("vectors").alias("vectors_2"))
-    paired = _tile_pairs(tiles, threshold).repartition("i", "j").join(left, "i").join(right, "j")
+    paired = _tile_pairs(tiles, threshold).join(left, "i").join(right, "j")
     found = written(paired.mapInArrow(_compare(axes, threshold), "node long, links long, other long"), "links")
     links = found.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("links = 0").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector-components")

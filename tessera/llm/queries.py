@@ -11,6 +11,10 @@ from tessera.llm import chat_quotes, embedding_dedup, exact_dedup, html_extract,
 from tessera.session import table
 
 
+#: Context limits that op8 answers besides every length that occurs.
+CONTEXT_LIMITS = tuple(512 << k for k in range(9))
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
@@ -40,7 +44,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.length_histogram(table(spark, sf_dir, "documents"))
+    return token_counts.length_histogram(table(spark, sf_dir, "documents"), limits=CONTEXT_LIMITS)
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,15 +45,24 @@ def _suffix(df: DataFrame, column: str, total: str) -> DataFrame:
     return stretched.withColumn(total, F.sum(column).over(inside)).join(above, "__stretch").withColumn(total, F.col(total) + F.col("__above")).drop("__stretch", "__above")
 
 
-def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per distinct length: length, n_docs, n_tokens, docs_at_least, tokens_at_least, truncated_total, share_at_most.
+def length_histogram(docs: DataFrame, path: str | None = None, limits: tuple[int, ...] = ()) -> DataFrame:
+    """Per distinct length, and per context limit of ``limits``: length, n_docs, n_tokens, docs_at_least, tokens_at_least, truncated_total, share_at_most.
 
     ``docs_at_least`` and ``tokens_at_least`` cover documents of this length and
     longer; ``truncated_total`` is the tokens left when every document is cut to
     this length; ``share_at_most`` is the share of documents that it holds
-    whole. Rows count as often as they occur. An empty table gives no rows.
+    whole. A limit at which no document ends has n_docs 0. Between two lengths
+    both sums stay and ``truncated_total`` is linear, so these rows answer every
+    limit. Rows count as often as they occur. An empty table gives no rows.
     """
-    counts = written(length_counts(docs, path), "lengths").withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+    return _histogram(written(length_counts(docs, path), "lengths"), limits)
+
+
+def _histogram(counts: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    if limits and not counts.isEmpty():
+        asked = counts.sparkSession.createDataFrame([(x, 0) for x in sorted(set(limits))], "length long, n_docs long")
+        counts = counts.unionByName(asked).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    counts = counts.withColumn("n_tokens", F.col("length") * F.col("n_docs"))
     sums = _suffix(_suffix(counts, "n_docs", "docs_at_least"), "n_tokens", "tokens_at_least")
     whole = counts.agg(F.sum("n_docs").alias("__docs"), F.sum("n_tokens").alias("__tokens"))
     return sums.join(F.broadcast(whole)).select(
@@ -73,16 +82,8 @@ def quantile(histogram: DataFrame, share: float) -> DataFrame:
 
 
 def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents and tokens that it keeps whole, documents it cuts, tokens left after the cut."""
-    spark = histogram.sparkSession
-    limit = spark.createDataFrame([(x,) for x in sorted(set(limits))], "context_limit long")
-    fits = F.col("length") <= F.col("context_limit")
-    return (
-        histogram.crossJoin(F.broadcast(limit))  # a short list of limits against the histogram
-        .groupBy("context_limit")
-        .agg(
-            F.sum(F.when(fits, F.col("n_docs")).otherwise(0)).alias("docs_whole"),
-            F.sum(F.when(fits, 0).otherwise(F.col("n_docs"))).alias("docs_cut"),
-            F.sum(F.least("length", "context_limit") * F.col("n_docs")).alias("tokens_left"),
-        )
-    )
+    """For each context limit, from the suffix sums: documents and tokens that it keeps whole, documents it cuts, tokens left after the cut."""
+    found = _histogram(histogram.select("length", "n_docs"), tuple(limits)).filter(F.col("length").isin(*limits))
+    cut = F.col("docs_at_least") - F.col("n_docs")
+    whole = histogram.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("__docs"))
+    return found.join(F.broadcast(whole)).select(F.col("length").alias("context_limit"), (F.col("__docs") - cut).alias("docs_whole"), cut.alias("docs_cut"), F.col("truncated_total").alias("tokens_left"))

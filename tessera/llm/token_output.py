@@ -8,8 +8,9 @@ offset index: per document its id, the frame's offset and length, and the number
 of tokens; a single short document is read with two seeks. Shards are ranges of
 the document id in ascending order.
 
-The dictionary is trained on the serialised ids of about ``SAMPLE_DOCS``
-documents (by id hash); it changes sizes, never contents.
+The dictionary is trained on the first ``SAMPLE_BYTES`` of the serialised ids of
+about ``SAMPLE_DOCS`` documents (by a hash of id and text, at most twice as many);
+it changes sizes, never contents.
 """
 
 from __future__ import annotations
@@ -34,17 +35,24 @@ from tessera.llm.common import hash_draw, prepare, scratch_path, written
 #: Fixed values of the format.
 MAGIC = b"TSRTOK01"
 HEADER = struct.Struct("<8sI4x32s")
+ENTRY = struct.Struct("<qBQII")  # a row of INDEX
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<u1"), ("offset", "<u8"), ("bytes", "<u4"), ("n_tokens", "<u4")])
 
 END_ID = 2
 SAMPLE_DOCS = 500
+SAMPLE_BYTES = 64 * 1024
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 
 
 def serialised(ids: bytes, width: int) -> bytes:
-    """Little-endian 32-bit ids as ids of ``width`` bytes."""
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    """Little-endian 32-bit ids as ids of ``width`` bytes; an id that needs more is a ValueError."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"id {wide.max()} does not fit 2 bytes")
+    return wide.astype("<u2").tobytes()
 
 
 def widened(raw: bytes, width: int) -> bytes:
@@ -88,24 +96,30 @@ def _load(uri: str, name: str) -> bytes:
         return source.read()
 
 
-def write_tokens(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None, id_width: int = 2) -> DataFrame:
+def write_tokens(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None, id_width: int | None = None) -> DataFrame:
     """Write ``docs (doc_id, text, ...)`` below ``uri``, a folder that all executors reach.
 
     Returns ``(shard, n_docs, n_tokens, start)``, one row a shard; ``start``
     counts the tokens of all shards before. A null text is empty, so its only
     token is ``end_id``; null ids come first; repeated rows are written as often
-    as they occur. ``id_width`` is 2 or 4 bytes; 2 holds ids below 65,536.
+    as they occur. ``id_width`` is 2 or 4 bytes, by default what the vocabulary
+    and ``end_id`` need; an id that does not fit is an error, never cut. Rows of
+    one id are dealt on by their text's hash, so none fills a shard.
     """
     spark = prepare(docs)
     path = path or bpe.default_path()
+    if id_width is None:
+        id_width = 2 if max(end_id, bpe.encoder(path).largest_id) <= 0xFFFF else 4
+    if id_width not in (2, 4):
+        raise ValueError("id_width must be 2 or 4")
     end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sample_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array([serialised(x + end, id_width) for x in bpe.encoded(batch.column("text"), path)], pa.binary())], names=["ids"])
+            yield pa.record_batch([pa.array([serialised(x + end, id_width)[:SAMPLE_BYTES] for x in bpe.encoded(batch.column("text"), path)], pa.binary())], names=["ids"])
 
-    chosen = rows.filter(hash_draw("doc_id") < SAMPLE_DOCS / max(1, docs.count())).select("text")
+    chosen = rows.filter(hash_draw("doc_id", "text") < SAMPLE_DOCS / max(1, docs.count())).select("text").limit(2 * SAMPLE_DOCS)
     raw = train([bytes(r["ids"]) for r in chosen.mapInArrow(sample_ids, "ids binary").collect()])
     files, base = _files(uri)
     files.create_dir(base, recursive=True)
@@ -120,25 +134,27 @@ def write_tokens(docs: DataFrame, uri: str, path: str | None = None, end_id: int
             return
         shard = TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_content_size=True)
-        index: list[tuple[int, int, int, int, int]] = []
+        index, tokens = bytearray(), 0
 
         def frames() -> Iterator[bytes]:
+            nonlocal tokens
             yield head
             at = len(head)
             for batch in itertools.chain([first], batches):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encoded(batch.column("text"), path), strict=True):
                     frame = press.compress(serialised(ids + end, id_width))
-                    index.append((doc_id or 0, doc_id is not None, at, len(frame), len(ids) // 4 + 1))
+                    index.extend(ENTRY.pack(doc_id or 0, doc_id is not None, at, len(frame), len(ids) // 4 + 1))
+                    tokens += len(ids) // 4 + 1
                     at += len(frame)
                     yield frame
 
         _store(uri, f"shard-{shard}.tok", frames())
-        table = np.array(index, INDEX)
-        _store(uri, f"shard-{shard}.idx", [table.tobytes()])
-        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([len(table)], pa.int64()), pa.array([int(table["n_tokens"].sum())], pa.int64())], names=["shard", "n_docs", "n_tokens"])
+        _store(uri, f"shard-{shard}.idx", [bytes(index)])
+        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([len(index) // ENTRY.size], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     made = written(ranged.mapInArrow(write, "shard long, n_docs long, n_tokens long"), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return made.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -191,7 +207,7 @@ def read_tokens(spark: SparkSession, uri: str, shards: DataFrame, with_ids: bool
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return shards.select("shard", "start").repartition(count, "shard").mapInArrow(read, ddl)
+    return shards.select("shard", "start").repartitionByRange(count, "shard").mapInArrow(read, ddl)
 
 
 def token_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
