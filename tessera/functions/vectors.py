@@ -51,6 +51,7 @@ class Metric:
 
     name: str
     largest_first: bool = True
+    by_norm: bool = False  # a dot product divided by both norms
 
     def score(self, a: Column, b: Column) -> Column:
         return {"cosine": cosine, "dot": dot, "euclidean": euclidean}[self.name](a, b)
@@ -62,4 +63,4 @@ class Metric:
         return score >= threshold if self.largest_first else score <= threshold
 
 
-METRICS = {"cosine": Metric("cosine"), "dot": Metric("dot"), "euclidean": Metric("euclidean", largest_first=False)}
+METRICS = {"cosine": Metric("cosine", by_norm=True), "dot": Metric("dot"), "euclidean": Metric("euclidean", largest_first=False)}

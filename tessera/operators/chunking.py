@@ -118,17 +118,18 @@ def chunk_token(sources: DataFrame, config: ChunkerConfig | None = None) -> Data
     step = max(1, config.chunk_size - config.chunk_overlap)
     split = sources.select(F.col("source_id").cast("long").alias("source_id"), F.filter(F.split(F.coalesce("content", F.lit("")), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "").alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - config.chunk_size) / step)).cast("int")
-    chunks = split.select("source_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
-    text = F.slice("w", F.col("pos") * step + 1, F.lit(config.chunk_size))
-    start = (F.col("pos") * step).alias("start_index")
+    # Each chunk carries its own words, never the whole text's.
+    slices = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("w", k * step + 1, F.lit(config.chunk_size)))
+    chunks = split.select("source_id", F.posexplode(slices).alias("pos", "own"))
+    start = F.col("pos") * step
     return chunks.select(
         F.concat_ws("-", "source_id", "pos").alias("chunk_id"),
         "source_id",
         "pos",
-        start,
-        (F.col("pos") * step + F.size(text)).alias("end_index"),
-        F.size(text).alias("token_count"),
-        F.array_join(text, " ").alias("text"),
+        start.alias("start_index"),
+        (start + F.size("own")).alias("end_index"),
+        F.size("own").alias("token_count"),
+        F.array_join("own", " ").alias("text"),
     )
 
 

@@ -75,21 +75,31 @@ def available_rerankers() -> list[str]:
     return sorted(_rerankers)
 
 
-def rerank(results: DataFrame, top_k: int = 10, score_threshold: float | None = None, scorer: Scorer = overlap_score, by: str = "query_id", rank: str = "result_rank", query: str = "query_text", contents: str = "contents") -> DataFrame:
+def rerank(results: DataFrame, top_k: int = 10, score_threshold: float | None = None, scorer: Scorer = overlap_score, by: str = "query_id", rank: str = "result_rank", query: str = "query_text", contents: str = "contents", isolate: bool = False) -> DataFrame:
     """Results by the scorer's value: adds reranker_score and new_rank; similarity_score stays.
 
     The order is score, then the present rank; the threshold applies before the
-    cut. Any number of queries is reranked at once.
+    cut. Any number of queries is reranked at once; with ``isolate``, a query of
+    which any score is null (its scorer failed) keeps its results as they were.
     """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
     if score_threshold is not None and not 0 <= score_threshold <= 1:
         raise ValueError("score_threshold must be 0 to 1")
     scored = results.withColumn("reranker_score", scorer(F.col(query), F.col(contents)))
+    if isolate:
+        failed = F.max(F.col("reranker_score").isNull()).over(Window.partitionBy(by))
+        scored = scored.withColumn("__failed", failed).withColumn("reranker_score", F.when(~F.col("__failed"), F.col("reranker_score")))
+        if score_threshold is not None:
+            scored = scored.filter(F.col("__failed") | (F.col("reranker_score") >= score_threshold))
+            score_threshold = None
+        order = Window.partitionBy(by).orderBy(F.col("reranker_score").desc(), rank)
+        scored = scored.withColumn("new_rank", F.row_number().over(order) - 1)
+        return scored.filter(F.col("__failed") | (F.col("new_rank") < top_k)).drop("__failed")
     if score_threshold is not None:
         scored = scored.filter(F.col("reranker_score") >= score_threshold)
     order = Window.partitionBy(by).orderBy(F.col("reranker_score").desc(), rank)
-    return scored.withColumn("new_rank", F.row_number().over(order) - 1).filter(F.col("new_rank") < top_k)
+    return scored.withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= top_k).withColumn("new_rank", F.col("new_rank") - 1)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, top_k: int | None = None, k: int = RRF_K, by: str = "query_id") -> DataFrame:
@@ -110,9 +120,10 @@ def reciprocal_rank_fusion(lists: DataFrame, top_k: int | None = None, k: int =
     alone = keyed.join(counts, by).filter("__a = __b").select(by, "id", F.lit(None).cast("double").alias("rrf_score"), F.struct("list_idx", "rank", *payload).alias("f"))
     several = fused.join(counts.filter("__a <> __b").select(by), by, "left_semi")
     order = Window.partitionBy(by).orderBy(F.col("rrf_score").desc_nulls_last(), "f.list_idx", "f.rank", "id")
-    ranked = several.unionByName(alone).withColumn("fused_rank", F.row_number().over(order) - 1)
+    ranked = several.unionByName(alone).withColumn("fused_rank", F.row_number().over(order))
     if top_k:
-        ranked = ranked.filter(F.col("fused_rank") < top_k)
+        ranked = ranked.filter(F.col("fused_rank") <= top_k)
+    ranked = ranked.withColumn("fused_rank", F.col("fused_rank") - 1)
     return ranked.select(by, "id", "rrf_score", "fused_rank", *[F.col(f"f.{c}").alias(c) for c in payload])
 
 

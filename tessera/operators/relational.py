@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import scratch_base
+
 
 def with_child_count(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, name: str) -> DataFrame:
     """``parents`` plus the number of their children; counted before the join, so nothing fans out."""
@@ -76,22 +78,39 @@ def branches(messages: DataFrame) -> DataFrame:
     return messages.withColumns({"branch_index": F.row_number().over(by.orderBy("message_id")) - 1, "branch_count": F.count("*").over(by)})
 
 
-def ancestors(messages: DataFrame, start: DataFrame, max_depth: int = 100) -> DataFrame:
+def ancestors(messages: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All ancestors of the messages in ``start (message_id)``: (message_id, ancestor_id, distance).
 
-    A recursive query over ``messages (message_id, parent_id)``; a cycle ends at ``max_depth``.
+    Over ``messages (message_id, parent_id)``, at any depth, by doubling: round r
+    joins what is up to 2^r steps above, so rounds are as many as the depth has
+    binary digits. A round is cut with ``checkpoint``, which writes to the shared
+    folder. A message that is its own ancestor is a ValueError, unless
+    ``max_depth`` says where to stop.
     """
-    return messages.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(message_id, ancestor_id, distance) MAX RECURSION LEVEL {max_depth + 2} AS (
-          SELECT s.message_id, m.parent_id, 1 FROM {{start}} s JOIN {{messages}} m ON s.message_id = m.message_id WHERE m.parent_id IS NOT NULL
-          UNION ALL
-          SELECT u.message_id, m.parent_id, u.distance + 1 FROM up u JOIN {{messages}} m ON u.ancestor_id = m.message_id
-          WHERE m.parent_id IS NOT NULL AND u.distance < {max_depth})
-        SELECT * FROM up""",
-        messages=messages,
-        start=start,
-    )
+    spark = messages.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch_base(spark))
+    jump = messages.filter("parent_id is not null").select("message_id", F.col("parent_id").alias("ancestor_id")).distinct().withColumn("distance", F.lit(1).cast("long"))
+    size = messages.select("message_id").distinct().count()
+    step = jump  # 2^r steps up
+    found = start.select("message_id").distinct().withColumns({"ancestor_id": F.col("message_id"), "distance": F.lit(0).cast("long")})
+    reach = 1
+    while True:
+        up = step.select(F.col("message_id").alias("ancestor_id"), F.col("ancestor_id").alias("above"), F.col("distance").alias("more"))
+        higher = found.join(up, "ancestor_id").select("message_id", F.col("above").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
+        found = found.unionByName(higher).checkpoint()
+        if max_depth is None and reach > size:
+            if not found.filter(F.col("distance") > size).isEmpty():
+                raise ValueError("a message is its own ancestor")
+            break
+        if max_depth is not None and reach > max_depth:
+            break
+        step = step.join(up.withColumnsRenamed({"above": "above_2", "more": "more_2"}), "ancestor_id").select("message_id", F.col("above_2").alias("ancestor_id"), (F.col("distance") + F.col("more_2")).alias("distance")).checkpoint()
+        reach *= 2
+        if step.isEmpty():
+            break
+    found = found.filter("distance > 0")
+    return found if max_depth is None else found.filter(F.col("distance") <= max_depth)
 
 
 def last_of_role(messages: DataFrame, role: str, by: str, order: str) -> DataFrame:

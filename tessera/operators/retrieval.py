@@ -2,21 +2,23 @@
 
 Queries are a stated set. They go to the executors in blocks of at most
 ``QUERY_BLOCK`` vectors, so what is broadcast is bounded whatever their number;
-points are scanned where they lie, and only the best of each query are shuffled
-(Spark prunes ranks before the exchange).
+points are scanned where they lie. Ranks are cut as ``row_number() <= k``, the
+form that Spark prunes before the exchange (``WindowGroupLimit``; tests read the
+plans), so each task sends the best of each query only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import words
-from tessera.functions.vectors import METRICS
+from tessera.functions.text import expanded, words
+from tessera.functions.vectors import METRICS, dot, norm
+from tessera.operators.post import reciprocal_rank_fusion
 
 QUERY_BLOCK = 1024
 
@@ -70,27 +72,38 @@ def metadata_filter(df: DataFrame, filters: dict[str, Filter] | None) -> DataFra
 
 
 def retrieval_filters(df: DataFrame, config: RetrievalConfig, file_type: str = "file_type", source_id: str = "source_id", date: str = "uploaded_at") -> DataFrame:
-    """The declared filters of a retrieval: file types, sources, dates (both ends included)."""
+    """The declared filters of a retrieval: file types, sources, dates (both ends included), then ``filters``.
+
+    As with ``metadata_filter``, a field that does not exist, or is null, keeps none.
+    """
+    declared: list[tuple[str, Filter]] = []
     if config.file_types:
-        df = df.filter(F.col(file_type).isin(*config.file_types))
+        declared.append((file_type, config.file_types))
     if config.source_ids:
-        df = df.filter(F.col(source_id).isin(*config.source_ids))
+        declared.append((source_id, config.source_ids))
     if config.date_from:
-        df = df.filter(F.col(date) >= F.lit(config.date_from).cast("timestamp"))
+        declared.append((date, lambda c: c >= F.lit(config.date_from).cast("timestamp")))
     if config.date_to:
-        df = df.filter(F.col(date) <= F.lit(config.date_to).cast("timestamp"))
+        declared.append((date, lambda c: c <= F.lit(config.date_to).cast("timestamp")))
+    for name, wanted in declared:
+        df = metadata_filter(df, {name: wanted})
     return metadata_filter(df, config.filters)
 
 
+def first_ranks(df: DataFrame, k: int, by: str, order: list[Column], name: str) -> DataFrame:
+    """The first ``k`` rows of each ``by``, with their rank from 0 as ``name``."""
+    number = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return df.withColumn(name, number).filter(F.col(name) <= k).withColumn(name, F.col(name) - 1)
+
+
 def _best(scored: DataFrame, config: RetrievalConfig) -> DataFrame:
     metric = METRICS[config.metric]
     score = F.col("similarity_score")
     limited = config.min_score > 0
-    scored = scored.filter(score.isNotNull())
     if limited and config.threshold_stage == "before":
         scored = scored.filter(metric.passes(score, config.min_score))
-    order = Window.partitionBy("query_id").orderBy(metric.order(score), F.col("chunk_id"))
-    ranked = scored.withColumn("result_rank", F.row_number().over(order) - 1).filter(F.col("result_rank") < config.top_k)
+    # Null scores come last, so they can be dropped after the cut and are not computed twice.
+    ranked = first_ranks(scored, config.top_k, "query_id", [metric.order(score), F.col("chunk_id")], "result_rank").filter(score.isNotNull())
     if limited and config.threshold_stage == "after":
         ranked = ranked.filter(metric.passes(score, config.min_score))
     return ranked
@@ -101,12 +114,17 @@ def vector_search(points: DataFrame, queries: DataFrame, config: RetrievalConfig
 
     ``points`` has chunk_id, vector and any payload; ``queries`` has query_id
     and query_vector. Adds similarity_score and result_rank (from 0); equal
-    scores are ordered by chunk_id. Filters apply before the cut. Points with a
-    null score (a vector of length 0 under cosine) are no results.
+    scores are ordered by chunk_id. All filters of the config apply before the
+    cut; dates are those of ``uploaded_at``. Points with a null score (a vector
+    of length 0 under cosine) are no results.
     """
     config = config or RetrievalConfig()
-    candidates = metadata_filter(points, config.filters)
+    metric = METRICS[config.metric]
+    candidates = retrieval_filters(points, config)
     queries = queries.select("query_id", "query_vector")
+    if metric.by_norm:  # once a vector, not once a pair
+        candidates = candidates.withColumn("__norm", norm(F.col("vector")))
+        queries = queries.withColumn("__query_norm", norm(F.col("query_vector")))
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     if blocks > 1:  # several blocks of about half the bound, so that uneven hashing stays below it
@@ -118,8 +136,8 @@ def vector_search(points: DataFrame, queries: DataFrame, config: RetrievalConfig
         pairs = candidates.crossJoin(F.broadcast(block))  # a stated query set against all points
         if exclude_self:
             pairs = pairs.filter(F.col("chunk_id") != F.col("query_id"))
-        score = METRICS[config.metric].score(F.col("vector"), F.col("query_vector"))
-        found.append(_best(pairs.withColumn("similarity_score", score).drop("vector", "query_vector"), config))
+        score = F.try_divide(dot(F.col("vector"), F.col("query_vector")), F.col("__norm") * F.col("__query_norm")) if metric.by_norm else metric.score(F.col("vector"), F.col("query_vector"))
+        found.append(_best(pairs.withColumn("similarity_score", score).drop("vector", "query_vector", "__norm", "__query_norm"), config))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -165,5 +183,87 @@ def sparse_search(documents: DataFrame, queries: DataFrame, top_k: int = 10) ->
     """
     met = documents.join(queries.withColumnRenamed("weight", "asked"), "term")
     scored = met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return scored.withColumn("result_rank", F.row_number().over(order) - 1).filter(F.col("result_rank") < top_k)
+    return first_ranks(scored, top_k, "query_id", [F.col("score").desc(), F.col("chunk_id")], "result_rank")
+
+
+#: Distinct terms of a query set that are sent to all tasks; more are joined by shuffle.
+BROADCAST_TERMS = 100_000
+
+
+def keyword_search_many(docs: DataFrame, queries: DataFrame, top_k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of ``docs (chunk_id, text)`` for every query of ``queries (query_id, query_text)``: query_id, chunk_id, keyword_score, result_rank.
+
+    Texts are split once for all queries; only (document, term) counts of terms
+    that some query holds leave the scan. Scores are rounded to six places, so
+    that the order does not hang on the order of sums. Null texts count as empty,
+    a query without a word has no results.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.lower(F.coalesce("query_text", F.lit("")))))).alias("term"))
+    terms = asked.select("term").distinct()
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    split = docs.select("chunk_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens")).withColumn("length", F.size("tokens"))
+    postings = split.select("chunk_id", "length", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    whole = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = postings.join(frequency, "term").crossJoin(F.broadcast(whole)).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("keyword_score"))  # whole: one row
+    return first_ranks(scored, top_k, "query_id", [F.col("keyword_score").desc(), F.col("chunk_id")], "result_rank")
+
+
+def _ranked_list(found: DataFrame, index: int) -> DataFrame:
+    return found.select("query_id", F.lit(index).alias("list_idx"), F.col("result_rank").alias("rank"), F.col("chunk_id").alias("id"), F.lit("").alias("content"))
+
+
+def hybrid_search(points: DataFrame, docs: DataFrame, queries: DataFrame, config: RetrievalConfig | None = None, candidates: int = 20) -> DataFrame:
+    """Each query's vector list and its own keyword list, ``candidates`` long, fused by rank: query_id, id, rrf_score, fused_rank.
+
+    ``queries`` has query_id, query_vector and query_text; filters of the config
+    apply to the points, ``top_k`` to the fused list.
+    """
+    config = config or RetrievalConfig()
+    vector = vector_search(points, queries, replace(config, top_k=candidates))
+    keyword = keyword_search_many(docs, queries, candidates).filter("chunk_id <> query_id")
+    return reciprocal_rank_fusion(_ranked_list(vector, 0).unionByName(_ranked_list(keyword, 1)), top_k=config.top_k).select("query_id", "id", "rrf_score", "fused_rank")
+
+
+def multi_query_search(points: DataFrame, variants: DataFrame, config: RetrievalConfig | None = None, candidates: int = 20) -> DataFrame:
+    """One list for each variant of a query, fused by rank: query_id, id, rrf_score, fused_rank.
+
+    ``variants`` has query_id, variant (0 for the query itself) and query_vector,
+    such as ``expand`` and an embedder give.
+    """
+    config = config or RetrievalConfig()
+    named = variants.select(F.struct("query_id", "variant").alias("query_id"), "query_vector")
+    found = vector_search(points, named, replace(config, top_k=candidates), exclude_self=False)
+    lists = found.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variant").alias("list_idx"), F.col("result_rank").alias("rank"), F.col("chunk_id").alias("id"), F.lit("").alias("content"))
+    return reciprocal_rank_fusion(lists.filter("id <> query_id"), top_k=config.top_k).select("query_id", "id", "rrf_score", "fused_rank")
+
+
+def search(strategy: str, points: DataFrame, docs: DataFrame, queries: DataFrame, config: RetrievalConfig | None = None) -> DataFrame:
+    """Search by strategy: vector_only, keyword_only, hybrid or multi_query (then ``queries`` has variants)."""
+    config = config or RetrievalConfig()
+    strategies = {
+        "vector_only": lambda: vector_search(points, queries, config),
+        "keyword_only": lambda: keyword_search_many(docs, queries, config.top_k),
+        "hybrid": lambda: hybrid_search(points, docs, queries, config),
+        "multi_query": lambda: multi_query_search(points, queries, config),
+    }
+    if strategy not in strategies:
+        raise ValueError(f"strategy must be one of {sorted(strategies)}")
+    return strategies[strategy]()
+
+
+#: A plug-in that writes other forms of a query: text column to array<string> column.
+Generator = Callable[[Column], Column]
+
+
+def expand(queries: DataFrame, generate: Generator) -> DataFrame:
+    """``queries (query_id, query_text)`` with their variants, the query itself first: query_id, variant, query_text.
+
+    ``generate`` stands for expansion, decomposition or a hypothetical answer; a
+    null from it leaves the query alone.
+    """
+    text = F.coalesce("query_text", F.lit(""))
+    return queries.select("query_id", F.posexplode(expanded(text, F.coalesce(generate(text), F.array().cast("array<string>")))).alias("variant", "query_text"))

@@ -28,7 +28,7 @@ def hits(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
 def hits_with_text(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
     """Search results with contents and source_name of the document of the same id, and the query's own text."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("contents"), F.col("source").alias("source_name"))
-    asked = docs.select(F.col("chunk_id").alias("query_id"), F.substring("contents", 1, 200).alias("query_text"))
+    asked = docs.select(F.col("chunk_id").alias("query_id"), F.col("contents").alias("query_text"))
     return hits(spark, sf_dir, **config).join(docs, "chunk_id", "left").join(asked, "query_id", "left")
 
 
@@ -74,7 +74,7 @@ def texted_cte(k: int = 10) -> str:
         hits_cte(k)
         + """,
 texted AS (
-  SELECT h.*, d.text AS contents, d.source AS source_name, substr(a.text, 1, 200) AS query_text
+  SELECT h.*, d.text AS contents, d.source AS source_name, a.text AS query_text
   FROM hits h LEFT JOIN documents d ON d.doc_id = h.chunk_id LEFT JOIN documents a ON a.doc_id = h.query_id)"""
     )
 

@@ -40,7 +40,33 @@ _search("vector_search_euclidean", hits_cte(metric="euclidean"), metric="euclide
 _search("vector_search_min_score", hits_cte(where="similarity_score >= 0.2"), min_score=0.2)
 _search("vector_search_post_filter", hits_cte(after="similarity_score >= 0.25"), min_score=0.25, threshold_stage="after")
 _search("vector_search_filtered", hits_cte(where="source_id IN (1, 3, 5) AND chunk_id >= 50"), filters={"source_id": [1, 3, 5], "chunk_id": lambda c: c >= 50})
-_search("multi_query_search", hits_cte(k=25), top_k=25)
+
+
+@query(f"WITH {hits_cte(where='chunk_id % 3 = 0 AND source_id IN (1, 3, 5, 7) AND chunk_id % 60 BETWEEN 9 AND 50')} SELECT {COLUMNS} FROM hits")
+def vector_search_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File types, sources and dates of the config; a point's day and type follow from its id."""
+    day = F.timestamp_seconds(F.lit(1704067200) + F.col("chunk_id") % 60 * 86400)
+    stored = base.points(spark, sf_dir).withColumns({"uploaded_at": day, "file_type": F.when(F.col("chunk_id") % 3 == 0, "pdf").otherwise("md")})
+    config = retrieval.RetrievalConfig(file_types=("pdf",), source_ids=(1, 3, 5, 7), date_from="2024-01-10", date_to="2024-02-20")
+    return _shown(retrieval.vector_search(stored, base.query_points(spark, sf_dir), config).select("query_id", "chunk_id", "source_id", "similarity_score", "result_rank"))
+
+
+VARIANTS = 3
+
+
+@query(f"""WITH p AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings),
+q AS (SELECT a.chunk_id AS query_id, b.chunk_id - a.chunk_id AS variant, b.v AS qv FROM p a JOIN p b ON b.chunk_id - a.chunk_id BETWEEN 0 AND {VARIANTS - 1} WHERE a.chunk_id % 100 = 0),
+s AS (SELECT query_id, variant, chunk_id, {base.SCORES["cosine"]} AS similarity_score FROM p, q),
+l AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY similarity_score DESC, chunk_id) - 1 AS rank FROM s WHERE similarity_score IS NOT NULL),
+f AS (SELECT query_id, chunk_id::VARCHAR AS id, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf, min(variant * 1000 + rank) AS first FROM l WHERE rank < 20 AND chunk_id <> query_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first, id) - 1 AS fused_rank FROM f)
+SELECT query_id, id, round(rrf, 9) AS rrf_score FROM r WHERE fused_rank < 10""")
+def multi_query_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three variants of each query (its own vector and those of the next two ids), one list each, fused."""
+    stored = base.points(spark, sf_dir)
+    asked = base.query_points(spark, sf_dir).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant"))
+    variants = asked.join(stored.select(F.col("chunk_id").alias("other"), F.col("vector").alias("query_vector")), F.col("other") == F.col("query_id") + F.col("variant")).drop("other")
+    return retrieval.multi_query_search(stored, variants).select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 @query(f"""WITH {hits_cte()}, g AS (
@@ -107,20 +133,40 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(_rounded(retrieval.keyword_search(docs, KEYWORDS).drop("text"), "keyword_score"))
 
 
-@query(f"""WITH {hits_cte(20)}, {_bm25_cte(k=20)},
-l AS (SELECT query_id, 0 AS list_idx, result_rank AS rank, chunk_id AS id FROM hits
-      UNION ALL SELECT query_id, 1, result_rank, kw.chunk_id FROM kw, hits_q),
+MANY_SQL = f"""kq AS (SELECT doc_id AS query_id, unnest(list_distinct({words_sql("lower(coalesce(text, ''))")})) AS term FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+dw AS (SELECT doc_id AS chunk_id, {words_sql("lower(coalesce(text, ''))")} AS w FROM documents),
+tf AS (SELECT chunk_id, length, term, count(*) AS tf FROM (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM dw) WHERE term IN (SELECT term FROM kq) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dw),
+ks AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
+       FROM kq JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS result_rank FROM ks) WHERE result_rank < 20)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set with the whole text of the document of the same id."""
+    texts = base.documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    return base.query_points(spark, sf_dir).join(texts, "query_id")
+
+
+@query(f"WITH {MANY_SQL} SELECT query_id, chunk_id, score AS keyword_score, result_rank FROM kw")
+def keyword_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the query set as a keyword query."""
+    docs = base.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    return _ranks(retrieval.keyword_search_many(docs, _asked(spark, sf_dir), 20))
+
+
+@query(f"""WITH {hits_cte(20)}, {MANY_SQL},
+l AS (SELECT query_id, 0 AS list_idx, result_rank AS rank, chunk_id AS id FROM hits WHERE query_id IN (SELECT query_id FROM kq)
+      UNION ALL SELECT query_id, 1, result_rank, chunk_id FROM kw WHERE chunk_id <> query_id),
 f AS (SELECT query_id, id::VARCHAR AS id, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf, min(list_idx * 1000 + rank) AS first FROM l GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, id) - 1 AS fused_rank FROM f)
 SELECT query_id, id, round(rrf, 9) AS rrf_score FROM r WHERE fused_rank < 10""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's vector list and the keyword list, fused."""
+    """Each query's vector list and the keyword list of its own text, fused."""
     docs = base.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    vector = base.hits(spark, sf_dir, top_k=20).select("query_id", F.lit(0).alias("list_idx"), F.col("result_rank").alias("rank"), F.col("chunk_id").alias("id"), F.lit("").alias("content"))
-    keyword = retrieval.keyword_search(docs, KEYWORDS, 20).crossJoin(base.query_points(spark, sf_dir).select("query_id"))  # twenty rows for each query of the set
-    keyword = keyword.select("query_id", F.lit(1).alias("list_idx"), F.col("result_rank").alias("rank"), F.col("chunk_id").alias("id"), F.lit("").alias("content"))
-    fused = post.reciprocal_rank_fusion(vector.unionByName(keyword), top_k=10)
-    return fused.select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"))
+    found = retrieval.hybrid_search(base.points(spark, sf_dir), docs, _asked(spark, sf_dir))
+    return found.select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,10 +221,10 @@ def egress_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def index_and_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files to points; the beginning of every hundredth as a question."""
+    """Documents as files to points; the text of every hundredth as a question."""
     docs = base.documents(spark, sf_dir)
     uploads = docs.select(F.col("doc_id").alias("source_id"), F.md5("text").alias("source_hash"), F.lit("text/plain").alias("media_type"), F.col("text").alias("content"))
-    questions = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 100).alias("query_text"))
+    questions = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
     found = pipeline.answer(pipeline.index_files(uploads), questions)
     return found.select("query_id", "chunk_id", "source_id", F.round("similarity_score", 6).alias("similarity_score"), "new_rank")
 
@@ -349,11 +349,11 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.documents(spark, sf_dir).select("doc_id", files.content_hash(name, F.lit("text/plain"), F.col("text")).alias("file_hash"))
 
 
-@query("SELECT doc_id, decode(from_base64(to_base64(encode(text)))) = text AS same, to_base64(encode(left(text, 60))) AS head FROM documents")
+@query("SELECT doc_id, decode(from_base64(to_base64(encode(text)))) = text AS same, md5(to_base64(encode(text))) AS encoded FROM documents")
 def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     back = F.unbase64(F.base64(text.cast("binary"))).cast("string")
-    return base.documents(spark, sf_dir).select("doc_id", (back == text).alias("same"), F.regexp_replace(F.base64(F.substring(text, 1, 60).cast("binary")), r"\s", "").alias("head"))  # without the line ends of MIME
+    return base.documents(spark, sf_dir).select("doc_id", (back == text).alias("same"), F.md5(F.regexp_replace(F.base64(text.cast("binary")), r"\s", "")).alias("encoded"))  # without the line ends of MIME
 
 
 _EXTENSION = "CASE doc_id % 6 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'dir.x/b.md' WHEN 2 THEN 'c.tar.docx' WHEN 3 THEN 'noext' WHEN 4 THEN 'd.Html' ELSE 'e.bin' END"

@@ -163,11 +163,11 @@ def latest_message_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("user_id", "event_id", "event_type", F.lit(1).cast("long").alias("n"))
 
 
-@query("""SELECT a.conv_id || '-' || a.turn AS message_id, b.conv_id || '-' || b.turn AS ancestor_id, (a.turn - b.turn)::INTEGER AS distance
+@query("""SELECT a.conv_id || '-' || a.turn AS message_id, b.conv_id || '-' || b.turn AS ancestor_id, (a.turn - b.turn)::BIGINT AS distance
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn
 WHERE a.turn = (SELECT max(turn) FROM conversations c WHERE c.conv_id = a.conv_id)""")
 def message_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain above the last message of every conversation, by a recursive query."""
+    """The chain above the last message of every conversation, at any depth."""
     rows = base.messages(spark, sf_dir)
     last = rows.groupBy("convo_id").agg(F.max_by("message_id", "turn").alias("message_id")).select("message_id")
     return R.ancestors(rows.select("message_id", "parent_id"), last)
@@ -230,24 +230,29 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.event_time(S.read_stream(spark, f"{sf_dir}/events.parquet"), delay="1 hour")
 
 
+#: Windows that the watermark (an hour behind the latest event) has passed; the others are still open.
+_CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
 def _totals(windows: DataFrame) -> DataFrame:
-    return S.run_to_table(windows, "complete").withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "window_end": F.col("window_end").cast("timestamp_ntz"), "total": F.round("total", 4)})
+    """Closed windows, as the stream appends them; their state is dropped."""
+    return S.run_to_table(windows).withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "window_end": F.col("window_end").cast("timestamp_ntz"), "total": F.round("total", 4)})
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query(f"SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) WHERE {_CLOSED}")
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(S.tumbling(_events(spark, sf_dir), "1 hour", "event_type"))
 
 
-@query("""SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total
-FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS w FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY ALL""")
+@query(f"""SELECT * FROM (SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS w FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY ALL) WHERE {_CLOSED}""")
 def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(S.sliding(_events(spark, sf_dir), "1 hour", "30 minutes", "event_type"))
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+@query(f"""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
-SELECT min(ts) AS window_start, max(ts) + INTERVAL 2 HOUR AS window_end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session""")
+SELECT * FROM (SELECT min(ts) AS window_start, max(ts) + INTERVAL 2 HOUR AS window_end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session) WHERE {_CLOSED}""")
 def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(S.sessions(_events(spark, sf_dir), "2 hours", "user_id"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -40,6 +41,22 @@ def share_code(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
 
 
+_local: dict[str, str] = {}
+
+
+def scratch_base(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share; a temporary one in local mode where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _local[app]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

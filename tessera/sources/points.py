@@ -25,9 +25,12 @@ def prepare_points(chunks: DataFrame) -> DataFrame:
 
 
 def upsert_points(stored: DataFrame, new: DataFrame, mode: str = "overwrite") -> DataFrame:
-    """The table after an upsert of ``new``; of new points of equal id one stays under ``overwrite``."""
+    """The table after an upsert of ``new``: ``append`` gives each a new id, of new points of equal id one stays under ``overwrite``.
+
+    New ids are random, so write the result once and read what was written.
+    """
     if mode == "append":
-        return stored.unionByName(new)
+        return stored.unionByName(new.withColumn("id", F.expr("uuid()")))
     if mode != "overwrite":
         raise ValueError("mode must be append or overwrite")
     return stored.join(new.select("id"), "id", "left_anti").unionByName(new.dropDuplicates(["id"]))
@@ -45,7 +48,12 @@ def collection_info(stored: DataFrame, name: str) -> DataFrame:
 
 
 class PointsStore:
-    """A named collection below ``root``, any file system Spark writes to."""
+    """A named collection below ``root``, any file system Spark writes to.
+
+    Its dimension and metric are stored with it; opening it with others is a
+    ValueError. A write goes to the version after the last complete one and never
+    over one that is there: of two writers that begin together one fails.
+    """
 
     METRICS = ("cosine", "euclidean", "dot")
 
@@ -53,6 +61,16 @@ class PointsStore:
         if metric not in self.METRICS:
             raise ValueError(f"metric must be one of {self.METRICS}")
         self.spark, self.base, self.name, self.dimension, self.metric = spark, f"{root.rstrip('/')}/{name}", name, dimension, metric
+        if self._has("properties/_SUCCESS"):
+            stored = spark.read.schema("dimension int, metric string").parquet(f"{self.base}/properties").first()
+            if tuple(stored) != (dimension, metric):
+                raise ValueError(f"collection {name} has dimension {stored.dimension} and metric {stored.metric}")
+        else:
+            spark.createDataFrame([(dimension, metric)], "dimension int, metric string").coalesce(1).write.parquet(f"{self.base}/properties")
+
+    def _has(self, path: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{path}")
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
     def _versions(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
@@ -81,7 +99,8 @@ class PointsStore:
         wrong = points.filter(F.size("vector") != self.dimension).limit(1)
         if not wrong.isEmpty():
             raise ValueError(f"vectors of collection {self.name} have {self.dimension} parts")
-        self._write(upsert_points(self.read(), points, mode) if self.exists() else points)
+        stored = self.read() if self.exists() else points.limit(0)
+        self._write(upsert_points(stored, points, mode))
 
     def delete(self, ids: DataFrame) -> None:
         self._write(delete_points(self.read(), ids))

@@ -7,11 +7,15 @@ gives its result as a table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tessera.session import scratch_base
 
 #: Progress of the stages of an answer.
 STAGES = {"fetching": 0.1, "processing": 0.25, "chunking": 0.35, "embedding": 0.45, "storing vectors": 0.55, "searching": 0.75, "complete": 1.0}
@@ -44,6 +48,27 @@ def carry_tails(chunks: DataFrame, by: str, order: str, text: str = "text") -> D
     return whole.select(by, F.substring("__all", F.lit(1), cut).alias(text), F.substring("__all", cut + 1, F.length("__all")).alias("tail"))
 
 
+def carry_tails_stream(chunks: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:
+    """As ``carry_tails`` on a stream: the tail of each stream waits in the state for what completes it.
+
+    ``by`` and ``order`` are long columns; chunks of a stream must arrive in
+    order between micro-batches and may come in any order inside one. Emits
+    (by, text) whenever whole events are there; the state is one tail a stream.
+    """
+
+    def whole(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail = state.get[0] if state.exists else ""
+        found = pd.concat(list(parts)).sort_values(order)
+        joined = tail + "".join(x for x in found[text] if x)
+        cut = joined.rfind("\n\n")
+        state.update((joined[cut + 2 :] if cut >= 0 else joined,))
+        if cut >= 0:
+            yield pd.DataFrame({by: [key[0]], text: [joined[: cut + 2]]})
+
+    narrow = chunks.select(F.col(by).cast("long").alias(by), F.col(order).cast("long").alias(order), F.col(text).alias(text))
+    return narrow.groupBy(by).applyInPandasWithState(whole, f"{by} long, {text} string", "tail string", "append", GroupStateTimeout.NoTimeout)
+
+
 def assemble_text(deltas: DataFrame, by: str, order: str, delta: str) -> DataFrame:
     """(by, full_text, n_deltas): non-empty deltas of each message in order. A group is one message's tokens."""
     some = deltas.filter(F.coalesce(delta, F.lit("")) != "")
@@ -90,12 +115,7 @@ def first_seen(events: DataFrame, *keys: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, or a temporary one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return f"{scratch_base(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -25,9 +25,9 @@ def test_fusion(spark):
     two = fused(spark, [["1", "2"], ["2", "3"]])
     assert [r.id for r in two] == ["2", "1", "3"]
     assert fused(spark, [["1"], ["1"]])[0].rrf_score == pytest.approx(2 / 61)
-    assert len(fused(spark, [[(None, "doc1", None)], [("", "doc1", None)]])) == 1
+    assert len(fused(spark, [[(None, "same body", None)], [("", "same body", None)]])) == 1
     assert len(fused(spark, [[str(i) for i in range(10)], [str(i) for i in range(5, 15)]], top_k=5)) == 5
-    assert fused(spark, [[("1", "", "data1")], [("1", "", "data2")]])[0].extra == "data1"
+    assert fused(spark, [[("1", "", "first")], [("1", "", "second")]])[0].extra == "first"
     scores = [r.rrf_score for r in fused(spark, [["1", "2"], ["2", "1"], ["2"]])]
     assert scores == sorted(scores, reverse=True)
     assert [r.id for r in fused(spark, [["1"], ["2"]])] == ["1", "2"]
@@ -71,6 +71,60 @@ def test_vector_search(spark, monkeypatch):
             retrieval.RetrievalConfig(**bad)
 
 
+def test_search_honours_every_declared_filter(spark):
+    rows = [(i, [1.0, i / 10], f"{'pdf' if i % 2 else 'md'}", i % 3, f"2024-01-{i + 1:02d} 00:00:00") for i in range(12)]
+    pts = spark.createDataFrame(rows, "chunk_id long, vector array<double>, file_type string, source_id long, uploaded_at string").withColumn("uploaded_at", F.to_timestamp("uploaded_at"))
+    asked = spark.createDataFrame([(100, [1.0, 0.0])], "query_id long, query_vector array<double>")
+
+    def top(**c):
+        return [r.chunk_id for r in retrieval.vector_search(pts, asked, retrieval.RetrievalConfig(**c)).orderBy("result_rank").collect()]
+
+    assert top(file_types=("pdf",)) == [1, 3, 5, 7, 9, 11] and top(source_ids=(0,)) == [0, 3, 6, 9]
+    assert top(date_from="2024-01-05", date_to="2024-01-07") == [4, 5, 6]
+    assert top(file_types=("pdf",), source_ids=(0, 1), date_from="2024-01-03", filters={"chunk_id": lambda c: c < 9}) == [3, 7]
+    assert retrieval.vector_search(pts.drop("uploaded_at"), asked, retrieval.RetrievalConfig(date_from="2024-01-05")).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_are_cut_before_the_exchange(spark):
+    pts = spark.createDataFrame([(i, [float(i), 1.0], "a b") for i in range(9)], "chunk_id long, vector array<double>, text string")
+    asked = spark.createDataFrame([(100, [1.0, 0.0], "a")], "query_id long, query_vector array<double>, query_text string")
+    results = spark.createDataFrame(DOCS, RESULTS)
+    terms = spark.createDataFrame([(1, "a", 1.0)], "chunk_id long, term string, weight double")
+    plans = [retrieval.vector_search(pts, asked), retrieval.sparse_search(terms, terms.withColumnRenamed("chunk_id", "query_id")), retrieval.keyword_search_many(pts, asked), post.rerank(results)]
+    for df in plans:
+        assert plan_of(df).count("WindowGroupLimit") >= 2, plan_of(df)  # below and above the exchange
+
+
+def test_keyword_hybrid_and_multi_query_search(spark):
+    docs = spark.createDataFrame([(1, "red apple"), (2, "red red car"), (3, "blue sky"), (4, None)], "chunk_id long, text string")
+    pts = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0])], "chunk_id long, vector array<double>")
+    asked = spark.createDataFrame([(100, "red car", [1.0, 0.1]), (101, "sky", [0.0, 1.0]), (102, None, [0.0, 1.0])], "query_id long, query_text string, query_vector array<double>")
+    one = {r.chunk_id: r.keyword_score for r in retrieval.keyword_search(docs, "red car").collect()}
+    many = retrieval.keyword_search_many(docs, asked).collect()
+    assert {r.chunk_id: r.keyword_score for r in many if r.query_id == 100} == pytest.approx(one, abs=1e-6) and {(r.query_id, r.chunk_id) for r in many if r.query_id > 100} == {(101, 3)}
+    config = retrieval.RetrievalConfig(top_k=2)
+    both = {(r.query_id, r.fused_rank): (r.id, r.rrf_score) for r in retrieval.search("hybrid", pts, docs, asked, config).collect()}
+    assert both[100, 0] == ("1", pytest.approx(1 / 61 + 1 / 62)) and both[101, 0] == ("3", pytest.approx(1 / 62 + 1 / 61)) and both[102, 0] == ("2", None)
+    variants = retrieval.expand(asked.filter("query_id = 100"), lambda q: F.array(F.lit("sky"), q)).orderBy("variant").collect()
+    assert [(r.variant, r.query_text) for r in variants] == [(0, "red car"), (1, "sky")]
+    vectors = spark.createDataFrame([(100, 0, [1.0, 0.1]), (100, 1, [0.0, 1.0])], "query_id long, variant int, query_vector array<double>")
+    fused = retrieval.search("multi_query", pts, docs, vectors, retrieval.RetrievalConfig(top_k=1)).collect()
+    assert [(r.query_id, r.id, r.rrf_score) for r in fused] == [(100, "3", pytest.approx(2 / 62))]
+    with pytest.raises(ValueError):
+        retrieval.search("none", pts, docs, asked)
+
+
+def test_rerank_isolates_a_failed_set(spark):
+    df = spark.createDataFrame([*DOCS, (1, "1", None, 0.5, 0, "x"), (1, "2", "x", 0.4, 1, "x")], RESULTS)
+    scorer = lambda q, c: F.when(c.isNotNull(), post.overlap_score(q, c))
+    found = {(r.query_id, r.new_rank): r.chunk_id for r in post.rerank(df, top_k=1, scorer=scorer, isolate=True).collect()}
+    assert found == {(0, 0): "1", (1, 0): "1", (1, 1): "2"}
+
+
 def test_filter_reaches_the_scan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = retrieval.metadata_filter(docs, {"lang": ["fr", "es"]}).select("doc_id")._jdf.queryExecution().executedPlan().toString()
@@ -99,7 +153,8 @@ def test_vector_functions(spark):
 # --- after retrieval ---------------------------------------------------------------
 
 RESULTS = "query_id int, chunk_id string, contents string, similarity_score double, result_rank int, query_text string"
-DOCS = [(0, "1", "Python is a programming language", 0.8, 0, "python language"), (0, "2", "JavaScript runs in browsers", 0.7, 1, "python language"), (0, "3", "Python has great libraries", 0.6, 2, "python language"), (0, "4", "Machine learning with Python", None, 3, "python language")]
+QUESTION = "river stone"
+DOCS = [(0, "1", "a river stone is smooth", 0.8, 0, QUESTION), (0, "2", "clouds drift over hills", 0.7, 1, QUESTION), (0, "3", "the river runs fast", 0.6, 2, QUESTION), (0, "4", "paths along a river bank", None, 3, QUESTION)]
 
 
 def test_post_retrieval(spark):
@@ -133,7 +188,7 @@ def test_dedup_and_group(spark):
 
 # --- text -------------------------------------------------------------------------
 
-ROUTED = [("Python and JavaScript", True, None), ("React or Vue", True, None), ("compare frameworks", True, None), ("Python vs Ruby", True, None), ("word " * 20, True, None), ("Python basics", False, None), ("What is Python?", None, True), ("Why use async?", None, True), ("How to learn coding?", None, True), ("Explain decorators", None, True), ("Describe the process", None, True), ("Python tutorial", None, False), ("sort", True, None)]
+ROUTED = [("oats and barley", True, None), ("tea or coffee", True, None), ("compare two kettles", True, None), ("bike vs tram", True, None), ("leaf " * 20, True, None), ("bread recipes", False, None), ("What is rye?", None, True), ("Why do leaves fall?", None, True), ("How to sharpen knives?", None, True), ("Explain tides", None, True), ("Describe a lighthouse", None, True), ("garden notes", None, False), ("sort", True, None)]
 
 
 def test_router(spark):
@@ -145,15 +200,15 @@ def test_router(spark):
 
 
 def test_expansion(spark):
-    df = spark.createDataFrame([("q", "alt1\nalt2\nalt3"), ("test", "test\ntest\ntest"), ("q", "\n".join(map(str, range(20)))), ("q", " \n\t")], "q string, t string")
+    df = spark.createDataFrame([("q", "x one\nx two\nx three"), ("again", "again\nagain\nagain"), ("q", "\n".join(map(str, range(20)))), ("q", " \n\t")], "q string, t string")
     found = [r[0] for r in df.select(T.expanded(F.col("q"), T.split_lines(F.col("t")))).collect()]
-    assert found[0] == ["q", "alt1", "alt2", "alt3"] and found[1] == ["test"] and len(found[2]) == 15 and found[3] == ["q"]
+    assert found[0] == ["q", "x one", "x two", "x three"] and found[1] == ["again"] and len(found[2]) == 15 and found[3] == ["q"]
 
 
 def test_formatting(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x
-    assert value(T.context_line(F.lit(1), F.lit("source_one.txt"), F.lit("c"))) == "[#1 RANKED CHUNK: FILE NAME: source_one.txt CHUNK CONTENT: c]"
+    assert value(T.context_line(F.lit(1), F.lit("notes_a.txt"), F.lit("c"))) == "[#1 RANKED CHUNK: FILE NAME: notes_a.txt CHUNK CONTENT: c]"
     assert value(T.context_line(F.lit(None).cast("int"), F.lit("f"), F.lit("c"))).startswith("[#N/A RANKED")
     assert value(T.cdata(F.lit("a]]>b"))) == "<![CDATA[a]]]]><![CDATA[>b]]>"
     assert value(T.json_string(F.lit('a "b"\n\\'))) == '"a \\"b\\"\\n\\\\"'
@@ -177,8 +232,8 @@ def chunks_of(spark, chunker, content, size, overlap):
 def test_chunkers(spark, chunker):
     for empty in ("", "   \n\t  ", None):
         assert chunks_of(spark, chunker, empty, 512, 128) == []
-    assert len(chunks_of(spark, chunker, "Hello world. This is a test.", 100, 20)) == 1
-    for content, size, overlap in [("aaaa " + "b" * 200, 5, 1), ("word1 word2 word3. word4 word5 word6 word7 word8", 5, 1), ("x y. " * 500, 5, 5)]:
+    assert len(chunks_of(spark, chunker, "Rain fell all night. Roads are wet.", 100, 20)) == 1
+    for content, size, overlap in [("aaaa " + "b" * 200, 5, 1), ("ash birch cedar. elm fir hazel larch maple", 5, 1), ("x y. " * 500, 5, 5)]:
         found = chunks_of(spark, chunker, content, size, overlap)
         assert found and [r.pos for r in found] == list(range(len(found)))
         for r in found:
@@ -197,12 +252,12 @@ def test_chunk_rules(spark):
 
 
 def test_embedding(spark):
-    chunks = spark.createDataFrame([("s", "First chunk of text about AI."), ("s", ""), ("t", " ")], "source_id string, text string")
+    chunks = spark.createDataFrame([("s", "Tides follow the moon."), ("s", ""), ("t", " ")], "source_id string, text string")
     found = embedding.embed_chunks(chunks)
     assert [r.dense_vector is None for r in found.collect()] == [False, True, True]
     coverage = {r.source_id: (r.status, r.message) for r in embedding.embedding_coverage(found).collect()}
     assert coverage == {"s": ("partial", "1/2 chunks embedded"), "t": ("failed", "0/1 chunks embedded")}
-    vector = embedding.embed_query(spark, "What is machine learning?")
+    vector = embedding.embed_query(spark, "when do tides turn")
     assert len(vector) == 32 and sum(x * x for x in vector) == pytest.approx(1)
     with pytest.raises(ValueError):
         embedding.embed_query(spark, "  ")
@@ -214,12 +269,12 @@ def test_embedding(spark):
 
 
 def test_ingest_and_parse(spark, tmp_path):
-    md = "# Test Document\n\nThis is *test* **content** & more.\n\n## Section 1\n\n- a\n- b"
-    (tmp_path / "test_document.md").write_text(md)
+    md = "# Garden guide\n\nWater *early* **daily** & sparsely.\n\n## Beds\n\n- a\n- b"
+    (tmp_path / "guide.md").write_text(md)
     read = files.read_files(spark, str(tmp_path), "*.md").first()
     assert bytes(read.content).decode() == md
     html = spark.createDataFrame([(md,)], "c string").select(files.markdown_to_html(F.col("c")).alias("h")).first().h
-    assert html == "<h1>Test Document</h1>\n<p>This is <em>test</em> <strong>content</strong> &amp; more.</p>\n<h2>Section 1</h2>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>"
+    assert html == "<h1>Garden guide</h1>\n<p>Water <em>early</em> <strong>daily</strong> &amp; sparsely.</p>\n<h2>Beds</h2>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>"
     parts = spark.createDataFrame([("a", "t", "aGk="), ("b", "t", "***"), ("c", "t", "/w==")], "file_name string, media_type string, data string")
     assert [r.content for r in files.ingest(parts).collect()] == ["hi", None, None]
     kinds = spark.createDataFrame([("text/plain", "x"), ("text/html", "<p>y</p>"), ("text/html", "<p></p>"), ("application/pdf", "z")], "media_type string, content string")
@@ -241,9 +296,13 @@ def test_points_store(spark, tmp_path):
     store.upsert(spark.createDataFrame([("p2", [0.0, 0.0, 1.0], "new"), ("p3", [1.0, 0.0, 0.0], "new")], schema))
     assert sorted((r.id, r.payload) for r in store.read().collect()) == [("p1", "old"), ("p2", "new"), ("p3", "new")]
     store.upsert(spark.createDataFrame(rows[:1], schema), mode="append")
-    assert store.info().first()[:] == ("c", 4, 3, "ok")
+    assert store.info().first()[:] == ("c", 4, 3, "ok") and store.read().select("id").distinct().count() == 4  # a new identity
     store.delete(spark.createDataFrame([("p1",), ("none",)], "id string"))
-    assert store.read().count() == 2
+    assert store.read().count() == 3
+    assert points.PointsStore(spark, f"file://{tmp_path}", "c", 3).read().count() == 3
+    for other in ((4, "cosine"), (3, "dot")):
+        with pytest.raises(ValueError):
+            points.PointsStore(spark, f"file://{tmp_path}", "c", *other)
     with pytest.raises(ValueError):
         store.upsert(spark.createDataFrame([("p", [1.0], "x")], schema))
 
@@ -278,6 +337,11 @@ def test_message_tree(spark):
     assert roots == {"0001": None, "0002": "0001", "0003": "0001", "0004": "0002", "0005": None}
     cycle = spark.createDataFrame([("a", "b"), ("b", "a")], "message_id string, parent_id string")
     assert relational.ancestors(cycle, cycle.select("message_id").limit(1), max_depth=5).count() == 5
+    with pytest.raises(ValueError):
+        relational.ancestors(cycle, cycle.select("message_id").limit(1))
+    chain = spark.range(150).select(F.col("id").cast("string").alias("message_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"))
+    above = relational.ancestors(chain, chain.filter("message_id = '149'").select("message_id"))
+    assert sorted((int(r.ancestor_id), r.distance) for r in above.collect()) == [(149 - k, k) for k in range(149, 0, -1)]
     rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("a", 2, 2), (None, 9, 3)], "id string, t int, p int")
     assert [(r.id, r.p) for r in relational.latest_per_id(rows, "id", "t", "p").collect()] == [("a", 1)]
 
@@ -302,12 +366,23 @@ def test_tokens_progress_and_errors(spark):
     assert S.error_events(stages, F.col("s") == "other", F.col("s")).first().event == '{"type":"error","error":"other"}'
 
 
-def test_stream_equals_batch(spark):
-    path = "/root/testdata/sf0.001/events.parquet"
-    batch = S.tumbling(S.event_time(spark.read.parquet(path)), "1 hour", "event_type")
-    stream = S.run_to_table(S.tumbling(S.event_time(S.read_stream(spark, path), delay="1 hour"), "1 hour", "event_type"), "complete")
-    rounded = lambda df: sorted((str(r.window_start), r.event_type, r.n, round(r.total, 6)) for r in df.collect())
-    assert rounded(batch) == rounded(stream)
+def test_stream_appends_closed_windows_and_drops_late_rows(spark, tmp_path):
+    batches = [[(1, "2024-01-01 00:10:00", 1.0), (2, "2024-01-01 03:00:00", 1.0)], [(3, "2024-01-01 00:20:00", 1.0), (4, "2024-01-01 02:30:00", 1.0), (5, "2024-01-01 09:00:00", 1.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "id int, ts string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    files = spark.readStream.schema("id int, ts string, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = S.run_to_table(S.tumbling(S.event_time(files, delay="1 hour"), "1 hour"))
+    # Row 3 comes after the watermark (02:00) has passed its window; row 4 is in time; the window of 09:00 is open.
+    assert sorted((str(r.window_start)[11:16], r.n) for r in found.collect()) == [("00:00", 1), ("02:00", 1), ("03:00", 1)]
+
+
+def test_stream_carries_tails_between_batches(spark, tmp_path):
+    batches = [[(1, 0, "data: {}\n\nda"), (2, 0, "no end")], [(1, 2, "tail"), (1, 1, "ta: 1\n\n"), (2, 1, None)], [(1, 3, "\n\n")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "s long, i long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    files = spark.readStream.schema("s long, i long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = S.run_to_table(S.carry_tails_stream(files, "s", "i"))
+    assert sorted((r.s, r.text) for r in found.collect()) == [(1, "data: 1\n\n"), (1, "data: {}\n\n"), (1, "tail\n\n")]
 
 
 # --- end to end -------------------------------------------------------------------------
