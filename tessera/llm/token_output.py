@@ -59,6 +59,11 @@ def widened(raw: bytes, width: int) -> bytes:
     return raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
+def index_entry(doc_id: int | None, offset: int, size: int, n_tokens: int) -> bytes:
+    """A row of INDEX."""
+    return ENTRY.pack(doc_id or 0, doc_id is not None, offset, size, n_tokens)
+
+
 def train(samples: list[bytes]) -> bytes:
     """Dictionary bytes; a raw-content dictionary where there is too little to train on."""
     import zstandard
@@ -143,14 +148,14 @@ def write_tokens(docs: DataFrame, uri: str, path: str | None = None, end_id: int
             for batch in itertools.chain([first], batches):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encoded(batch.column("text"), path), strict=True):
                     frame = press.compress(serialised(ids + end, id_width))
-                    index.extend(ENTRY.pack(doc_id or 0, doc_id is not None, at, len(frame), len(ids) // 4 + 1))
+                    index.extend(index_entry(doc_id, at, len(frame), len(ids) // 4 + 1))
                     tokens += len(ids) // 4 + 1
                     at += len(frame)
                     yield frame
 
         _store(uri, f"shard-{shard}.tok", frames())
         _store(uri, f"shard-{shard}.idx", [bytes(index)])
-        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([len(index) // ENTRY.size], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "n_docs", "n_tokens"])
+        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([len(index) // INDEX.itemsize], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]

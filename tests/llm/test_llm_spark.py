@@ -301,6 +301,17 @@ def test_lengths_far_apart(spark, monkeypatch):
     assert all(r.docs_at_least == sum(x >= r.length for x in lengths) for r in found)
 
 
+def test_limits_of_the_length_histogram(spark):
+    lengths = [len(x) - 1 for x in _ids([r[1] for r in ROWS])]
+    found = {r.length: r for r in token_counts.length_histogram(documents(spark, ROWS), limits=(3, 100_000)).collect()}
+    assert set(found) == {*lengths, 3, 100_000} and found[100_000].n_docs == 0
+    for limit in (3, 100_000):
+        assert found[limit].truncated_total == sum(min(x, limit) for x in lengths)
+    kept = {r.context_limit: r for r in token_counts.totals_at(token_counts.length_histogram(documents(spark, ROWS)), [3, 4, 100_000]).collect()}
+    for limit, r in kept.items():
+        assert (r.docs_whole, r.docs_cut, r.tokens_left) == (sum(x <= limit for x in lengths), sum(x > limit for x in lengths), sum(min(x, limit) for x in lengths))
+
+
 PAGES = "page_id long, url string, html string, text int, host string, lines double"
 
 

@@ -50,6 +50,17 @@ def test_cuckoo_overflow_of_equal_homes():
     assert [index.get(k) for k in keys] == list(range(8))
 
 
+def test_ids_that_do_not_fit_are_refused():
+    from tessera.llm.token_output import serialised, widened
+
+    ids = np.array([3, 65_535], "<u4").tobytes()
+    assert widened(serialised(ids, 2), 2) == ids
+    wide = np.array([70_000], "<u4").tobytes()
+    assert widened(serialised(wide, 4), 4) == wide
+    with pytest.raises(ValueError):
+        serialised(wide, 2)
+
+
 def test_infeasible_mixing_targets_are_refused():
     tokens = {"a": 100, "b": 50}
     assert find_exponent(tokens, 187, 1.25) == 1.0 or find_exponent(tokens, 187, 1.25) <= 1
