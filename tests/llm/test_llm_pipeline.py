@@ -39,3 +39,21 @@ def test_pipeline_stages(spark, tmp_path):
     packed = stage["packing"](spark, mixed, str(tmp_path))
     assert ids(packed.filter("piece = 0")) == ids(mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_pipeline_on_empty_null_and_repeated_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __tessera_file string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    text = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
+    rows = [(1, text, "aa", "s", 1, "x"), (1, text, "aa", "s", 1, "x"), (None, text + " more", "aa", None, None, None), (2, None, "aa", "s", 0, ""), (3, "", None, None, None, None), (4, text.replace(" ", "\n"), "aa", "s", 1, "x"), (5, "other words " * 50, "aa", "t", 1, "x"), (6, "1 2 3", None, None, None, None), (7, "zzz qqq", "aa", "t", 1, "x")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/some/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    for name in ("language_id", "exact_dedup", "simhash_dedup"):
+        found = stage[name](spark, read, str(tmp_path))
+        assert found.columns == read.columns
+        found.write.parquet(f"{tmp_path}/{name}")
+        read = spark.read.parquet(f"{tmp_path}/{name}")
+    assert sorted((r.doc_id or 0) for r in read.collect()) in ([1, 5, 7], [0, 1, 5, 7])
+    assert set(r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()) <= {1, 5, 7, None}
