@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import identified, matching, prepare, settled, written
+from tessera.llm.common import identified, matching, prepare, settled, text_batches, written
 from tessera.llm.components import components
 from tessera.llm.shingle_links import prefixes, shingle_links
 
@@ -194,7 +194,8 @@ def near_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
     stays empty.
     """
     docs, row = identified(docs)
-    return _without(docs, row, lambda: _near_copies(docs, row, shingle, max_bits))
+    with text_batches(docs.sparkSession):
+        return _without(docs, row, lambda: _near_copies(docs, row, shingle, max_bits))
 
 
 def _near_copies(docs: DataFrame, row: list[str], shingle: int, max_bits: int) -> DataFrame:
