@@ -102,6 +102,11 @@ def squeezed(text: Column) -> Column:
     return F.translate(text, WHITE_SPACE, "")
 
 
+def translate_lower(text: Column) -> Column:
+    """``text`` with A-Z in lower case, and no other letter."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def hash_draw(*columns: str) -> Column:
     """A number from 0 to below 1 for each row, from a hash: rows below a share are a sample that repeats exactly."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) / float(1 << 31)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_quotes, embedding_dedup, exact_dedup, html_extract, language_id, mixing, packing, simhash_dedup, token_counts, token_output
+from tessera.llm import chat_quotes, embedding_dedup, exact_dedup, html_extract, language_id, merkle, mixing, packing, phrases, quality, simhash_dedup, token_counts, token_output
 from tessera.session import table
 
 
@@ -55,6 +55,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_embedding_dedup,
@@ -67,9 +79,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_chat_formatting,
         op10_language_id,
+        op11_phrase_collocations,
+        op12_quality_classifier,
+        op13_merkle_manifest,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_temperature_mixing": mixing.MIX_SQL, "op3_exact_dedup": exact_dedup.EXACT_SQL, "op9_chat_formatting": chat_quotes.CHAT_SQL}
+    return {
+        "op2_temperature_mixing": mixing.MIX_SQL,
+        "op3_exact_dedup": exact_dedup.EXACT_SQL,
+        "op9_chat_formatting": chat_quotes.CHAT_SQL,
+        "op11_phrase_collocations": phrases.PHRASES_SQL,
+        "op13_merkle_manifest": merkle.MERKLE_SQL,
+    }
