@@ -125,18 +125,23 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def _is_scan(df: DataFrame) -> bool:
-    """Whether ``df`` is a Parquet scan with nothing but projections and filters above it."""
+    """Whether ``df`` is a Parquet scan, with nothing but projections and filters above it, that reads no file twice."""
     plan = df._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation" and " parquet" in plan.toString().split("\n")[0]
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    relation = plan.relation()
+    parquet = relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+    return parquet and len(relation.location().inputFiles()) == len(df._jdf.inputFiles())  # the second has no repeats
 
 
 def identified(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with two long columns that name a row for good, and their names.
 
     For Parquet they are a hash of the file's path and the row's place in it, so
-    nothing is moved or written. Anything else is written once with numbers.
+    nothing is moved or written. Anything else, also a scan that lists a file twice,
+    is written once with numbers.
     """
     file, at = fresh(df, "__tessera_file"), fresh(df, "__tessera_at")
     if "_metadata" not in (c.lower() for c in df.columns) and _is_scan(df):

@@ -25,6 +25,8 @@ from tessera.llm.common import identified, matching, prepare, settled, squeezed,
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Digests that one task's index holds: a scan hands on what it has and begins again, a merge is dealt over more tasks.
+MAX_ENTRIES = 400_000
 
 
 class CuckooIndex:
@@ -130,8 +132,16 @@ class CuckooIndex:
         return ((k, v) for k, v in zip(self.keys, self.values, strict=True) if k is not None)
 
 
-def _grouped(row: list[str]):
-    """A function that merges (digest, n_chars, doc_id, row..., group_size) rows by digest through an index."""
+def _grouped(row: list[str], most: int = 0):
+    """A function that merges (digest, n_chars, doc_id, row..., group_size) rows by digest through an index; from ``most`` digests on, in parts."""
+
+    names = ["digest", "n_chars", "doc_id", *row, "group_size"]
+    types = [pa.binary(), *[pa.int64()] * 5]
+
+    def handed_on(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+        found = index.items()
+        while rows := [(k, -r[0], None if r[1] else r[2], r[3], r[4], size) for k, (r, size) in itertools.islice(found, 50_000)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
@@ -145,11 +155,10 @@ def _grouped(row: list[str]):
                     known[1] += size
                     if rank < known[0]:
                         known[0] = rank
-        names = ["digest", "n_chars", "doc_id", *row, "group_size"]
-        types = [pa.binary(), *[pa.int64()] * 5]
-        found = index.items()
-        while rows := [(k, -r[0], None if r[1] else r[2], r[3], r[4], size) for k, (r, size) in itertools.islice(found, 50_000)]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            if most and len(index) > most:
+                yield from handed_on(index)
+                index = CuckooIndex()
+        yield from handed_on(index)
 
     return run
 
@@ -188,8 +197,9 @@ def _groups(docs: DataFrame, row: list[str], digest: Callable[[Column], Column])
     sums = [digest(_content()).alias("digest")] if digest is sha256 else [digest(_content()).alias("digest"), sha256(_content()).alias("sha")]
     keys = written(docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text_or_empty()).cast("long").alias("n_chars"), *sums), "digests")
     columns, ddl = ["digest", "n_chars", "doc_id", *row], "digest binary, n_chars long, doc_id long, " + "".join(f"{x} long, " for x in row) + "group_size long"
-    partial = keys.select(*columns, F.lit(1).cast("long").alias("group_size")).mapInArrow(_grouped(row), ddl)
-    groups = written(partial.repartition("digest").mapInArrow(_grouped(row), ddl), "digest-groups")
+    partial = keys.select(*columns, F.lit(1).cast("long").alias("group_size")).mapInArrow(_grouped(row, MAX_ENTRIES), ddl)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // MAX_ENTRIES))
+    groups = written(partial.repartition(tasks, "digest").mapInArrow(_grouped(row), ddl), "digest-groups")
     found = groups.select("digest", F.col("doc_id").alias("keep_id"), *(F.col(x).alias(f"{x}_keep") for x in row), "group_size")
     sha = F.col("digest") if digest is sha256 else F.col("sha")
     joined = keys.join(found, "digest").select("doc_id", *row, sha.alias("sha"), "keep_id", *(f"{x}_keep" for x in row), "group_size", "digest")
@@ -226,21 +236,22 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     return matching(docs, dropped, row, "left_anti").drop(*row)
 
 
-_LIVE = "bucket int, digest binary, n_bytes long, doc_id long, copies long"
+_LIVE = "digest binary, content string, doc_id long, copies long"
 
 
 class SavedIndex:
-    """Live digests of a growing and shrinking corpus, as a Parquet table below ``path``.
-
-    A digest lies in the bucket of its hash. ``update`` runs each bucket through
-    a cuckoo index: stored keys, then deletions, then insertions, and writes the
-    next version; the last version that is complete counts, and a version that
-    exists is never written again. A row is ``(bucket, digest, n_bytes, doc_id, copies)``: the smallest id that was
-    inserted while the digest was live, and how many rows were.
+    """Live documents of a growing and shrinking corpus by digest, as a Parquet table below ``path``.
+
+    A row of ``live`` is (digest, content, doc_id, copies): how often a document of
+    that content and id was inserted and not deleted. ``update`` deals stored and changed rows to
+    ``buckets`` by digest. In each, the changed digests fill a cuckoo index and the
+    stored rows pass by it: a hit is verified against the content, what hits nothing goes on
+    as it is, so memory follows the change and not the corpus. The next version is written
+    beside the last; the last complete one counts, and none is written twice.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, digest: Callable[[Column], Column] = sha256) -> None:
+        self.spark, self.path, self.buckets, self.digest = spark, path.rstrip("/"), buckets, digest
 
     def _version(self) -> int:
         """The last complete version, or 0."""
@@ -254,44 +265,56 @@ class SavedIndex:
         return self.spark.read.schema(_LIVE).parquet(f"{self.path}/v{version}") if version else self.spark.createDataFrame([], _LIVE)
 
     def _keyed(self, docs: DataFrame) -> DataFrame:
-        key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(_content()).alias("digest"), F.octet_length(_content()).cast("long").alias("n_bytes"))
-        return key.groupBy("digest", "n_bytes").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).cast("int"))
+        keyed = docs.select(self.digest(_content()).alias("digest"), _content().alias("content"), F.col("doc_id").cast("long").alias("doc_id"))
+        return keyed.groupBy("digest", "content", "doc_id").agg(F.count("*").alias("copies"))
 
     def update(self, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
-        """Delete the digests of ``deleted (doc_id, text)``, then insert those of ``inserted``; null texts count as empty."""
+        """Delete the documents ``deleted (doc_id, text)``, then insert ``inserted``; null texts count as empty.
+
+        A deletion takes one copy of that content and id, and nothing where none is
+        live. A content is live while any copy of it is.
+        """
         prepare(self.live())
-        steps = [self.live().withColumn("step", F.lit(0))]
-        steps += [self._keyed(docs).withColumn("step", F.lit(step)) for step, docs in ((1, deleted), (2, inserted)) if docs is not None]
-        rows = steps[0]
-        for more in steps[1:]:
-            rows = rows.unionByName(more)
+        rows = self.live().withColumn("step", F.lit(2))
+        for step, docs in ((0, deleted), (1, inserted)):
+            if docs is not None:
+                rows = rows.unionByName(self._keyed(docs).withColumn("step", F.lit(step)))
+        types = [pa.binary(), pa.string(), pa.int64(), pa.int64()]
+        names = ["digest", "content", "doc_id", "copies"]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = CuckooIndex()
+            index = CuckooIndex()  # digest -> {(content, doc_id): [deleted, inserted]}
             for batch in batches:
-                for bucket, digest, n_bytes, doc_id, copies, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    known = index.get(digest)
-                    if known is not None and known[1] != n_bytes:
-                        raise ValueError("two contents of different length share a digest")
-                    if step == 1:
-                        index.delete(digest)
-                    elif known is None:
-                        index.insert(digest, [bucket, n_bytes, doc_id, copies])
-                    else:
-                        known[2] = min((x for x in (known[2], doc_id) if x is not None), default=None)
-                        known[3] += copies
-            found = [(v[0], k, *v[1:]) for k, v in index.items()]
-            types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            for at in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[at : at + 50_000], strict=True), types, strict=True)], names=["bucket", "digest", "n_bytes", "doc_id", "copies"])
-
-        dealt = rows.select("bucket", "digest", "n_bytes", "doc_id", "copies", "step").repartition(self.buckets, "bucket").sortWithinPartitions("step")
+                out = []
+                for digest, content, doc_id, copies, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    changes = index.get(digest)
+                    if step == 2:
+                        gone, come = (changes or {}).pop((content, doc_id), (0, 0))
+                        if (left := max(0, copies - gone) + come) > 0:
+                            out.append((digest, content, doc_id, left))
+                        continue
+                    if changes is None:
+                        index.insert(digest, changes := {})
+                    changes.setdefault((content, doc_id), [0, 0])[step] += copies
+                if out:
+                    yield packed(out)
+            new = ((digest, content, doc_id, come) for digest, changes in index.items() for (content, doc_id), (_, come) in changes.items() if come)
+            while out := list(itertools.islice(new, 1000)):
+                yield packed(out)
+
+        bucket = F.pmod(F.xxhash64("digest"), F.lit(self.buckets))
+        dealt = rows.select(*names, "step").repartition(self.buckets, bucket).sortWithinPartitions("step")
         dealt.mapInArrow(run, _LIVE).write.parquet(f"{self.path}/v{self._version() + 1}")
 
     def owners(self, docs: DataFrame) -> DataFrame:
-        """Per row of ``docs (doc_id, text)``: doc_id and owner_id, the live id of its content, null where it is not live."""
-        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(_content()).alias("digest"), F.octet_length(_content()).cast("long").alias("n_bytes"))
-        return asked.join(self.live().select("digest", "n_bytes", F.col("doc_id").alias("owner_id")), ["digest", "n_bytes"], "left").select("doc_id", "owner_id")
+        """Per row of ``docs (doc_id, text)``: doc_id and owner_id, the smallest live id of its content, null where none is live or has an id."""
+        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), self.digest(_content()).alias("digest"), _content().alias("content"))
+        digests = written(asked.select("digest").distinct(), "asked-digests")
+        held = matching(self.live(), digests, ["digest"], "left_semi").groupBy("digest", "content").agg(F.min("doc_id").alias("owner_id"))
+        return asked.join(held, ["digest", "content"], "left").select("doc_id", "owner_id")
 
 
 EXACT_SQL = r"""

@@ -3,16 +3,20 @@
 A page is read into blocks, one line of text each. Elements that HTML itself says
 hold no article (``nav``, ``footer``, ``aside``, ``form``, scripts, an ``article``
 inside an article, which is a reader's comment, and ARIA roles for the same) are
-not read, nor are those whose whole class or id is one of the plain names in KINDS.
+not read, nor are containers whose whole class or id is one of the plain names in
+KINDS; headings and paragraphs never go by name, and no form or named container
+that holds more than half of the page's text does.
 
 Every page is paired with the page of nearest URL path on its host, their lines
 are aligned by longest common subsequence, and shared lines go. Neighbours stand
 next to each other in path order; of the two on either side the one with the
-longest common path prefix comes first. A neighbour that shares more than
-``MIRROR`` of the page's characters is a copy of the page and no mate for it; then
-the next one is tried. The order is cut into ranges, which may split a host, so no
-task holds a whole large host; the pages at the ends of a range are handed to the
-ranges beside it, so the pairs are the same.
+longest common path prefix comes first. A copy of the page is no mate for it, then
+the next one is tried. What tells a copy is what the pages share beside the lines that
+nearly all of the host's pages hold (``WIDE_SHARE``): more than ``MIRROR`` of the page's other characters. A page
+whose ``SIDE`` neighbours are all copies tries those 4, 8, 16 ... pages away on either
+side, up to the ends of the host. The order is cut into ranges, which may split a
+host, so no task holds a whole large host; the pages at the ends of a range are
+handed to the ranges beside it, so the pairs are the same.
 
 Markup protects text from that: where a page marks its article (``article``,
 ``main``), nothing else is text, and of the article's lines only those go that
@@ -49,10 +53,15 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 KINDS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "footer", "menu", "notice", "sidebar"}
 #: Roles of what surrounds an article.
 OUTSIDE_ROLES = {"navigation", "banner", "comment", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
+#: Elements that never go by their name alone.
+NAMELESS = {"html", "body", "main", "article", "p", "h1", "h2", "h3", "h4", "h5", "h6", "a", "b", "i", "em", "strong", "span", "td", "th", "tr", "li"}
 #: Elements whose class or id makes them a container of their own inside an article.
 CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "figure", "details"}
-#: A neighbour that shares more than this part of a page's characters is a copy of it.
+#: A neighbour that shares more than this part of a page's characters, beside lines of nearly all the host, is a copy of it.
 MIRROR = 0.8
+#: A line belongs to the host, not to a page, if this share of its distinct pages hold it, and so many at least.
+WIDE_SHARE = 0.75
+WIDE = 3
 #: Neighbours that are tried on each side.
 SIDE = 2
 
@@ -64,26 +73,40 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _attribute.findall(text)}
 
 
-def _surrounds(tag: str, attributes: dict[str, str], in_article: bool, in_tag: bool) -> bool:
-    """Whether an element holds no part of the article; ``in_tag``: it lies in an ``article`` element."""
+def _surrounds(tag: str, attributes: dict[str, str], in_article: bool, in_tag: bool) -> int:
+    """2 if an element holds no part of the article, 1 if so unless it holds most of the page, else 0; ``in_tag``: it lies in an ``article`` element."""
+    if tag == "form":
+        return 1
     if tag in OUTSIDE or tag == "header" and not in_article or tag == "article" and in_tag:
-        return True
+        return 2
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return 0
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in OUTSIDE_ROLES:
-        return True
-    return tag != "article" and any(name.lower() in KINDS for key in ("class", "id") for name in attributes.get(key, "").split())
+        return 2
+    return int(tag not in NAMELESS and any(name.lower() in KINDS for key in ("class", "id") for name in attributes.get(key, "").split()))
 
 
 def blocks(page: str | None) -> tuple[list[str], list[bool], list[str | None]]:
     """Lines of a page in order, for each whether it lies in a marked article, and the kind of classed container around it there."""
-    page = page or ""
+    spared: set[int] = set()
+    while True:
+        lines, inside, kinds, whole, held = _blocks(page or "", spared)
+        largest = max(held, key=held.get, default=None)
+        if largest is None or 2 * held[largest] <= whole:
+            return lines, inside, kinds
+        spared.add(largest)  # a form or named container around the page itself
+
+
+def _blocks(page: str, spared: set[int]) -> tuple[list[str], list[bool], list[str | None], int, dict[int, int]]:
+    """As ``blocks``, with the page's characters, and those inside of each form and named container that was left out, by its place among the tags."""
     lines: list[str] = []
     inside: list[bool] = []
     kinds: list[str | None] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool, str | None]] = []  # tag, left out, article, kind of container
-    out = articles = tagged = at = 0
+    held: dict[int, int] = {}
+    stack: list[tuple[str, int, bool, str | None]] = []  # tag, left out, article, kind of container
+    out = articles = tagged = at = whole = opened = 0
+    outer: int | None = None  # the form or named container that is left out here
 
     def close() -> None:
         if text:
@@ -97,21 +120,29 @@ def blocks(page: str | None) -> tuple[list[str], list[bool], list[str | None]]:
     def pop() -> None:
         nonlocal out, articles, tagged
         tag, left_out, article, _ = stack.pop()
-        out -= left_out
+        out -= left_out > 0
         articles -= article
         tagged -= article and tag == "article"
 
+    def read(part: str) -> None:
+        nonlocal whole
+        size = len(part) - part.count(" ") - part.count("\n") - part.count("\t")
+        whole += size
+        if not out:
+            text.append(entities.unescape(part))
+        elif outer is not None:
+            held[outer] += size
+
     size = len(page)
     while at < size:
         found = _token.search(page, at)
         if found is None:
-            if not out:
-                rest = page[at:]
-                cut = re.search(r"<[/!?A-Za-z][^>]*\Z", rest)  # a tag that the end of the page cuts off
-                text.append(entities.unescape(rest[: cut.start()] if cut else rest))
+            rest = page[at:]
+            cut = re.search(r"<[/!?A-Za-z][^>]*\Z", rest)  # a tag that the end of the page cuts off
+            read(rest[: cut.start()] if cut else rest)
             break
-        if not out and found.start() > at:
-            text.append(entities.unescape(page[at : found.start()]))
+        if found.start() > at:
+            read(page[at : found.start()])
         at = found.end()
         tag = found[2]
         if tag is None:
@@ -137,16 +168,23 @@ def blocks(page: str | None) -> tuple[list[str], list[bool], list[str | None]]:
             pop()
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             pop()
+        opened += 1
         attributes = _attributes(found[3]) if found[3] else {}
-        left_out = not out and _surrounds(tag, attributes, articles > 0, tagged > 0)
+        left_out = 0 if out else _surrounds(tag, attributes, articles > 0, tagged > 0)
+        if left_out == 1 and opened in spared:
+            left_out = 0
+        if left_out:
+            outer = opened if left_out == 1 else None
+            if outer is not None:
+                held[outer] = 0
         article = not out and not left_out and (tag in ("article", "main") or attributes.get("role") == "main")
         kind = f"{tag} {attributes.get('class', '')} {attributes.get('id', '')}" if articles and tag in CONTAINER and (attributes.get("class") or attributes.get("id")) else None
         stack.append((tag, left_out, article, kind))
-        out += left_out
+        out += left_out > 0
         articles += article
         tagged += article and tag == "article"
     close()
-    return lines, inside, kinds
+    return lines, inside, kinds, whole, held
 
 
 def shown_and_open(lines: list[str], inside: list[bool], kinds: list[str | None]) -> tuple[list[int], list[int]]:
@@ -233,31 +271,68 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def shared_lines(page: dict, near: list[dict]) -> set[int]:
-    """Lines of ``page`` that its mate has as well: of ``near``, by URL, the first that is no copy of it; none: empty."""
-    whole = sum(page["sizes"])
+def is_copy(page: dict, near: dict, shared: set[int]) -> bool:
+    """Whether ``shared``, lines of ``page``, are more than ``MIRROR`` of it beside lines of nearly all its host; where it has no others, of the whole page."""
+    if near["content"] == page["content"]:
+        return True
+    wide = set(page["wide"] or ())
+    own = [i for i, x in enumerate(page["hashes"]) if x not in wide] or range(len(page["hashes"]))
+    return sum(page["sizes"][i] for i in own if i in shared) > MIRROR * sum(page["sizes"][i] for i in own)
+
+
+def shared_lines(page: dict, near: list[dict]) -> set[int] | None:
+    """Lines of ``page`` that its mate has as well: of ``near``, by URL, the first that is no copy of it; None without such a page."""
     order = sorted(range(len(near)), key=lambda k: (-_prefix(near[k]["path"], page["path"]), k))
     for k in order:
         shared = common_lines(page["hashes"], near[k]["hashes"])
-        if sum(page["sizes"][i] for i in shared) <= MIRROR * whole and near[k]["content"] != page["content"]:
+        if not is_copy(page, near[k], shared):
             return shared
-    return set()
+    return None
+
+
+_GONE = "host string, path string, content long, gone array<int>"
 
 
 def _difference(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, content, gone) of the pages that lose lines."""
+    """(host, path, content, gone) of the pages that can lose lines: those lines, or null without a mate among ``before`` and ``after``."""
     names = ["host", "path", "content", "gone"]
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
             # Nearest first; between equally near pages the one before.
             near = [x for pair in itertools.zip_longest(row["before"], row["after"]) for x in pair if x]
-            if gone := sorted(shared_lines(row, near).intersection(row["open"])):
-                rows.append((row["host"], row["path"], row["content"], gone))
+            shared = shared_lines(row, near)
+            if row["open"]:
+                rows.append((row["host"], row["path"], row["content"], None if shared is None else sorted(shared.intersection(row["open"]))))
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())], strict=True)], names=names)
 
 
+def wide_lines(mates: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``(host, wide array<long>)``: lines that ``WIDE_SHARE`` of the distinct pages of a host of ``hosts`` hold, and ``WIDE`` at least."""
+    own = mates.join(hosts, "host", "left_semi")
+    pages = own.groupBy("host").agg(F.count("*").alias("pages"))
+    lines = own.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    held = lines.join(pages, "host").filter((F.col("n") >= WIDE) & (F.col("n") >= WIDE_SHARE * F.col("pages")))
+    return held.groupBy("host").agg(F.collect_list("line").alias("wide"))  # hardly more than the lines of a page
+
+
+def farther(mates: DataFrame, left: DataFrame, distance: int) -> DataFrame:
+    """The pages of ``left``, rows of ``mates`` with their ``place`` in the order of all, with those ``distance`` places before and after on their host."""
+    other = lambda name, step: mates.select("host", (F.col("place") + step).alias("place"), F.struct("host", "path", "content", "hashes").alias(name))
+    found = left.join(other("before", distance), ["host", "place"], "left").join(other("after", -distance), ["host", "place"], "left")
+    listed = lambda x: F.filter(F.array(x), lambda y: y.isNotNull()).alias(x)
+    return found.select(*left.columns, listed("before"), listed("after"))
+
+
+def in_order(mates: DataFrame, keys: list[str], ranges: int) -> DataFrame:
+    """``mates`` with their ``place`` in the order of ``keys`` from 0, counted range by range."""
+    ranged = written(mates.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)), "page-ranges")
+    first = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # one row a range
+    first = first.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n") - F.col("first")).alias("begin"))
+    return ranged.join(F.broadcast(first), "range").select(*mates.columns, (F.col("begin") + F.col("at")).alias("place"))
+
+
 def neighbours(mates: DataFrame, ranges: int, side: int = SIDE) -> DataFrame:
     """``mates (host, path, content, hashes, ...)``, distinct in the first three, with the ``side`` nearest pages ``before`` and ``after`` in that order on the host, nearest first."""
     keys = ["host", "path", "content"]
@@ -287,8 +362,30 @@ def main_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = prepare(pages)
     parsed = written(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse, _PARSED), "pages")
     mates = parsed.groupBy("host", "path", "content").agg(*(F.first(x).alias(x) for x in ("hashes", "sizes", "open")))  # equal content, equal lines
-    paired = neighbours(mates, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    gone = written(paired.mapInArrow(_difference, "host string, path string, content long, gone array<int>"), "shared-lines")
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["host", "path", "content"]
+    loose = written(parsed.filter(F.size("open") > 0).select("host").distinct(), "open-hosts")
+    wide = None
+    if not loose.isEmpty():  # else no page can lose a line
+        mates = written(mates, "mates")
+        wide = written(wide_lines(mates, loose), "wide-lines")
+    paired = neighbours(mates, ranges)
+    paired = paired.withColumn("wide", F.lit(None).cast("array<long>")) if wide is None else paired.join(wide, "host", "left")
+    gone = tried = written(paired.mapInArrow(_difference, _GONE), "shared-lines")
+    if wide is not None:
+        placed = written(in_order(mates, keys, ranges), "places")
+        size = placed.groupBy("host").agg((F.max("place") - F.min("place")).alias("span"))
+        farthest = size.join(loose, "host", "left_semi").agg(F.max("span")).first()[0]
+        distance = 2 * SIDE
+        while distance <= farthest:  # rounds are as many as the number of pages of a host has binary digits
+            left = tried.filter("gone is null").select(*keys)
+            if left.isEmpty():
+                break
+            again = placed.join(left, keys, "left_semi").join(wide, "host", "left")
+            tried = written(farther(placed, again, distance).mapInArrow(_difference, _GONE), "shared-lines")
+            gone = gone.unionByName(tried)
+            distance *= 2
+    gone = written(gone.filter(F.size("gone") > 0), "gone-lines")
     found = matching(parsed.drop("hashes", "sizes", "open"), gone, ["host", "path", "content"], "left")
     kept = F.filter("lines", lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", F.get("places", i)))
     return found.select("page_id", "url", F.array_join(kept, "\n\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_draw, prepare
+from tessera.llm.common import fresh, hash_draw, prepare
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 600
@@ -110,6 +111,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _drawn(docs: DataFrame, per_language: int, held: bool) -> DataFrame | None:
+    """``(doc_id, lang, text)``: about ``per_language`` rows of each language, held out or not; None if there is none."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    known = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (held_out(F.col("doc_id")) == held))
+    counts = known.groupBy("lang").count().collect()
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])  # one entry a language
+    return known.filter(F.col("text").isNotNull() & (hash_draw("doc_id") < F.element_at(share, F.col("lang"))))
+
+
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from ``docs (doc_id, text, lang)``.
 
@@ -117,13 +129,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = D
     and of those about ``per_language`` of each language (id hash below their share).
     """
     prepare(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    teach = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = teach.groupBy("lang").count().collect()
-    if not counts:
+    sample = _drawn(docs, per_language, False)
+    if sample is None:
         return [], np.zeros((0, dimensions), np.float32)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])  # one entry a language
-    sample = teach.filter(F.col("text").isNotNull() & (hash_draw("doc_id") < F.element_at(share, F.col("lang"))))
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -189,14 +197,85 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: i
     return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), predict(F.col("text")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.08, least_letters: int = 40, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> DataFrame:
+#: Ends of the classes of letters that have a threshold each, and texts a class needs for one.
+LETTER_CLASSES = (16, 64, 256, 1024)
+LEAST_TEXTS = 30
+#: Steps that scores from 0 to 1 are counted in.
+_STEPS = 1000
+
+
+def thresholds(docs: DataFrame, names: list[str], prototypes: np.ndarray, per_language: int = PER_LANGUAGE, own_loss: float = 0.001, foreign_loss: float = 0.99) -> tuple[list[float], list[dict]]:
+    """Least scores by class of letters, and what they rest on: per class texts, threshold, and shares rejected of both kinds.
+
+    About ``per_language`` held-out texts of each language are scored twice: against all
+    prototypes, and against those of other languages, as if theirs had never been learned. The threshold
+    rejects ``foreign_loss`` of the second scores but never more than ``own_loss`` of
+    the first. It is 0 in a class of fewer than ``LEAST_TEXTS`` texts, and where a single language is known.
+    """
+    sample = _drawn(docs, per_language, True)
+    nothing = [0.0] * (len(LETTER_CLASSES) + 1)
+    if sample is None or len(names) < 2:
+        return nothing, []
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = profiler(prototypes.shape[1])
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                texts, langs = part.column("text").to_pylist(), part.column("lang").to_pylist()
+                cosines = made.vectors(texts) @ prototypes.T
+                others = cosines.copy()
+                for row, lang in enumerate(langs):
+                    if lang in names:
+                        others[row, names.index(lang)] = -1
+                letters = [letter_count(t) for t in texts]
+                yield pa.record_batch([pa.array(letters, pa.int64()), pa.array(cosines.max(1).astype(float)), pa.array(others.max(1).astype(float))], names=["letters", "own", "foreign"])
+
+    found = sample.select("lang", "text").mapInArrow(score, "letters long, own double, foreign double").filter("letters > 0")
+    of = sum((F.when(F.col("letters") >= end, 1).otherwise(0) for end in LETTER_CLASSES), F.lit(0)).alias("of")
+    steps = lambda x: F.floor(F.greatest(F.col(x), F.lit(0.0)) * _STEPS).cast("int").alias("at")
+    counted = reduce(DataFrame.unionByName, [found.select(of, F.lit(x).alias("kind"), steps(x)) for x in ("own", "foreign")])
+    held = np.zeros((len(nothing), 2, _STEPS + 1), np.int64)
+    for r in counted.groupBy("of", "kind", "at").count().collect():  # at most classes x 2 x steps rows
+        held[r["of"], int(r["kind"] == "foreign"), min(r["at"], _STEPS)] = r["count"]
+    least, facts = nothing, []
+    for k, (own, foreign) in enumerate(held):
+        if own.sum() >= LEAST_TEXTS:
+            below = lambda counts: np.concatenate(([0], np.cumsum(counts)[:-1])) / counts.sum()  # noqa: E731  share of texts under each step
+            step = min(int(np.flatnonzero(below(own) <= own_loss)[-1]), int(np.flatnonzero(below(foreign) >= foreign_loss)[0]) if (below(foreign) >= foreign_loss).any() else _STEPS)
+            least[k] = step / _STEPS
+            facts.append({"letters_from": (0, *LETTER_CLASSES)[k], "texts": int(own.sum()), "least_score": least[k], "own_rejected": float(below(own)[step]), "foreign_rejected": float(below(foreign)[step])})
+    return least, facts
+
+
+def letter_count(text: str | None) -> int:
+    return sum(map(str.isalpha, text or ""))
+
+
+def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> DataFrame:
     """``docs`` without rows that are undetermined or resemble no learned language; all columns are kept.
 
-    A text resembles none if its best cosine is below ``least_score``. Texts of
-    fewer than ``least_letters`` letters say too little for that and stay.
+    A text resembles none if its best cosine is below the threshold of its class
+    of letters (``thresholds``). Null texts and texts without a letter are
+    undetermined. Where nothing could be learned (no row with an id, a text and a language), all rows stay. Repeated rows
+    stay repeated, a null doc_id changes nothing, an empty table stays empty, and
+    columns may have any names.
     """
-    predict = predictor(*learn(docs, per_language, dimensions))
-    mark = "__tessera_language"
-    letters = F.length(F.regexp_replace("text", r"\P{L}", ""))
-    marked = docs.withColumn(mark, predict(F.col("text")))
-    return marked.filter((F.col(f"{mark}.lang_pred") != UNDETERMINED) & ((F.col(f"{mark}.score") >= least_score) | (letters < least_letters))).drop(mark)
+    names, prototypes = learn(docs, per_language, dimensions)
+    if not names:
+        return docs
+    least, _ = thresholds(docs, names, prototypes, per_language)
+
+    @F.pandas_udf("boolean")
+    def known(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            kept: list[bool] = []
+            for at in range(0, len(part), _SLICE):
+                texts = list(part.iloc[at : at + _SLICE])
+                langs, scores = classify(texts, names, prototypes)
+                of = np.searchsorted(LETTER_CLASSES, [letter_count(t) for t in texts], side="right")
+                kept += [lang != UNDETERMINED and score >= least[k] for lang, score, k in zip(langs, scores, of, strict=True)]
+            yield pd.Series(kept)
+
+    mark = fresh(docs, "__tessera_language")
+    return docs.withColumn(mark, known(F.col("text"))).filter(F.col(mark)).drop(mark)

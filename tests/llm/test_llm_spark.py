@@ -90,13 +90,67 @@ def test_saved_index_inserts_and_deletes(spark, tmp_path):
     assert owners() == {9: None, 8: None, 7: None, 6: None}
     index.update(inserted=docs((2, "ab"), (1, "a\tb"), (3, "c"), (4, ""), (None, "c")))
     assert owners() == {9: 1, 8: 3, 7: 4, 6: None}
-    index.update(deleted=docs((0, "c"), (0, "never held")), inserted=docs((5, " ab"), (6, "new")))
-    assert owners() == {9: 1, 8: None, 7: 4, 6: 6}
-    assert {(r.doc_id, r.copies) for r in index.live().collect()} == {(1, 3), (4, 1), (6, 1)}
+    index.update(deleted=docs((3, "c"), (None, "c"), (0, "ab"), (0, "never held")), inserted=docs((5, " ab"), (6, "new")))
+    assert owners() == {9: 1, 8: None, 7: 4, 6: 6}  # no document 0 was held
+    assert {(r.content, r.doc_id, r.copies) for r in index.live().collect()} == {("ab", 1, 1), ("ab", 2, 1), ("ab", 5, 1), ("", 4, 1), ("new", 6, 1)}
     index.update(inserted=docs((11, "c")))
     assert owners()[8] == 11
 
 
+def test_saved_index_deletes_one_copy_at_a_time_and_verifies_content(spark, tmp_path):
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    same = lambda content: F.unhex(F.lit("00" * 16))  # noqa: E731  every content shares this digest
+    for name, options in (("own", {}), ("one", {"digest": same})):
+        index = exact_dedup.SavedIndex(spark, f"file://{tmp_path}/{name}", buckets=2, **options)
+        owner = lambda text: index.owners(docs((0, text))).first().owner_id  # noqa: B023, E731
+        index.update(inserted=docs((1, "a b"), (2, "ab"), (2, "a  b"), (3, "longer")))
+        index.update(deleted=docs((1, "a b")))
+        assert (owner("ab"), owner("longer")) == (2, 3)
+        index.update(deleted=docs((2, "ab")))
+        assert owner("ab") == 2  # the other copy
+        index.update(deleted=docs((2, "ab"), (3, "other text")), inserted=docs((4, "x")))
+        assert (owner("ab"), owner("longer"), owner("x")) == (None, 3, 4)
+
+
+def test_saved_index_against_a_plain_one(spark, tmp_path):
+    rng = random.Random(12)
+    index, held = exact_dedup.SavedIndex(spark, f"file://{tmp_path}/index", buckets=3), Counter()
+    for _ in range(4):
+        gone, come = ([(rng.randint(0, 4), rng.choice("abc ")) for _ in range(n)] for n in (12, 15))
+        for key in gone:
+            held[key] = max(0, held[key] - 1)
+        held.update(come)
+        index.update(*(spark.createDataFrame(rows, "doc_id long, text string") for rows in (come, gone)))
+        wanted = Counter()
+        for (i, text), n in held.items():
+            wanted[i, text.strip()] += n
+        assert {(r.doc_id, r.content): r.copies for r in index.live().collect()} == {k: n for k, n in wanted.items() if n}
+
+
+def test_rows_of_files_that_are_listed_twice(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.createDataFrame([(i, f"text {i // 2} of some words and more", "s") for i in range(6)], "doc_id long, text string, source string").coalesce(1).write.parquet(path)
+    twice = spark.read.parquet(path, path)
+    inside = spark.read.parquet(path, *spark.read.parquet(path).inputFiles())
+    for df in (twice, inside):
+        assert df.count() == 12
+        known, row = identified(df)
+        assert known.select(*row).distinct().count() == 12
+        groups = exact_dedup.exact_groups(df).collect()
+        assert sum(r.kept for r in groups) == 3 and {r.group_size for r in groups} == {4}
+        assert exact_dedup.exact_dedup(df).count() == 3 and simhash_dedup.simhash_dedup(df).count() <= 3
+    assert mixing.mixed_documents(twice).count() == mixing.mix(twice).count()
+    once = spark.read.parquet(path)
+    assert "__tessera_file" in identified(once)[0].columns and not identified(once)[0].inputFiles()[0].count("rows-")
+
+
+def test_grouping_by_parts_of_an_index(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_ENTRIES", 3)
+    wanted = rows_of(exact_dedup.exact_groups(documents(spark, ROWS)))
+    monkeypatch.setattr(exact_dedup, "MAX_ENTRIES", 10**6)
+    assert wanted == rows_of(exact_dedup.exact_groups(documents(spark, ROWS)))
+
+
 def test_rows_of_a_parquet_scan_keep_their_identity(spark, tmp_path):
     rows = [(1, "same", 5), (1, "same", 5), (None, "same", None), (2, None, 7)]
     spark.createDataFrame(rows, "doc_id long, text string, __tessera_file long").repartition(3).write.parquet(f"{tmp_path}/t")
@@ -256,7 +310,7 @@ def test_token_round_trip(spark):
     rows = sorted(ROWS, key=lambda r: -1 if r[0] is None else r[0])
     found = token_output.token_round_trip(documents(spark, ROWS).repartition(3)).collect()
     ids = _ids([r[1] for r in rows])
-    assert len(found) == len(rows) and [r.n_tokens for r in sorted(found, key=lambda r: r.start)] is not None
+    assert len(found) == len(rows) and [r.n_tokens for r in sorted(found, key=lambda r: r.start)] == [len(x) for x in ids]
     starts = np.cumsum([0, *map(len, ids)])
     ordered = sorted(found, key=lambda r: r.start)
     assert [r.start for r in ordered][0] == 0 and sum(r.n_tokens for r in ordered) == starts[-1]
