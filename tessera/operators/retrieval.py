@@ -96,17 +96,18 @@ def first_ranks(df: DataFrame, k: int, by: str, order: list[Column], name: str)
     return df.withColumn(name, number).filter(F.col(name) <= k).withColumn(name, F.col(name) - 1)
 
 
-def _best(scored: DataFrame, config: RetrievalConfig) -> DataFrame:
+def ranked(scored: DataFrame, config: RetrievalConfig) -> DataFrame:
+    """The results of each query among ``scored (query_id, chunk_id, similarity_score, ...)``, with result_rank."""
     metric = METRICS[config.metric]
     score = F.col("similarity_score")
     limited = config.min_score > 0
     if limited and config.threshold_stage == "before":
         scored = scored.filter(metric.passes(score, config.min_score))
     # Null scores come last, so they can be dropped after the cut and are not computed twice.
-    ranked = first_ranks(scored, config.top_k, "query_id", [metric.order(score), F.col("chunk_id")], "result_rank").filter(score.isNotNull())
+    best = first_ranks(scored, config.top_k, "query_id", [metric.order(score), F.col("chunk_id")], "result_rank").filter(score.isNotNull())
     if limited and config.threshold_stage == "after":
-        ranked = ranked.filter(metric.passes(score, config.min_score))
-    return ranked
+        best = best.filter(metric.passes(score, config.min_score))
+    return best
 
 
 def vector_search(points: DataFrame, queries: DataFrame, config: RetrievalConfig | None = None, exclude_self: bool = True) -> DataFrame:
@@ -137,7 +138,7 @@ def vector_search(points: DataFrame, queries: DataFrame, config: RetrievalConfig
         if exclude_self:
             pairs = pairs.filter(F.col("chunk_id") != F.col("query_id"))
         score = F.try_divide(dot(F.col("vector"), F.col("query_vector")), F.col("__norm") * F.col("__query_norm")) if metric.by_norm else metric.score(F.col("vector"), F.col("query_vector"))
-        found.append(_best(pairs.withColumn("similarity_score", score).drop("vector", "query_vector", "__norm", "__query_norm"), config))
+        found.append(ranked(pairs.withColumn("similarity_score", score).drop("vector", "query_vector", "__norm", "__query_norm"), config))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -9,9 +9,11 @@ from tessera.functions.text import expanded, split_lines
 from tessera.functions.vectors import doubles, l2_normalised, max_sim
 from tessera.operators import post, retrieval
 from tessera.operators.embedding import sparse_terms
+from tessera.operators.vector_index import build_vector_index
 from tessera.plans import base
 from tessera.plans.base import hits_cte, texted_cte, words_sql
 from tessera.plans.registry import query
+from tessera.scratch import scratch_path
 
 ROUNDED = "round(similarity_score, 6) AS similarity_score"
 COLUMNS = f"query_id, chunk_id, source_id, {ROUNDED}, result_rank"
@@ -42,6 +44,19 @@ _search("vector_search_post_filter", hits_cte(after="similarity_score >= 0.25"),
 _search("vector_search_filtered", hits_cte(where="source_id IN (1, 3, 5) AND chunk_id >= 50"), filters={"source_id": [1, 3, 5], "chunk_id": lambda c: c >= 50})
 
 
+def _indexed(metric: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = build_vector_index(base.points(spark, sf_dir), scratch_path(spark, "vector-index"))
+        found = index.search(base.query_points(spark, sf_dir), retrieval.RetrievalConfig(metric=metric))
+        return _shown(found.select("query_id", "chunk_id", "source_id", "similarity_score", "result_rank"))
+
+    query(f"WITH {hits_cte(metric=metric)} SELECT {COLUMNS} FROM hits", f"vector_index_{metric}")(run)
+
+
+for _metric in ("cosine", "dot", "euclidean"):
+    _indexed(_metric)
+
+
 @query(f"WITH {hits_cte(where='chunk_id % 3 = 0 AND source_id IN (1, 3, 5, 7) AND chunk_id % 60 BETWEEN 9 AND 50')} SELECT {COLUMNS} FROM hits")
 def vector_search_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File types, sources and dates of the config; a point's day and type follow from its id."""
