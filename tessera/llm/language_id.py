@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, hash_draw, prepare
+from tessera.llm.common import hash_draw, identified, matching, prepare, settled, text_batches
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 600
@@ -277,5 +277,7 @@ def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE, dimension
                 kept += [lang != UNDETERMINED and score >= least[k] for lang, score, k in zip(langs, scores, of, strict=True)]
             yield pd.Series(kept)
 
-    mark = fresh(docs, "__tessera_language")
-    return docs.withColumn(mark, known(F.col("text"))).filter(F.col(mark)).drop(mark)
+    docs, row = identified(docs)
+    with text_batches(docs.sparkSession):  # only ids and verdicts leave the tasks; the rows themselves stay where they are
+        dropped = settled(lambda: docs.select(*row, known(F.col("text")).alias("known")).filter("not known").select(*row), "unidentified")
+    return matching(docs, dropped, row, "left_anti").drop(*row)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import prepare, written
+from tessera.llm.common import prepare, text_batches, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -219,7 +219,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
     a null doc_id stays null. Planned sequences count from 0, those that one
     full piece fills have negative numbers. An empty table gives no rows.
     """
-    made = written(pieces(docs, capacity, path, end_id), "pieces")
+    with text_batches(docs.sparkSession):
+        made = written(pieces(docs, capacity, path, end_id), "pieces")
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
     short = made.filter(F.col("length") < capacity).withColumn("part", part)
     found = short.groupBy("length", "part").count().collect()
