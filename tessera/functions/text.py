@@ -31,6 +31,29 @@ MEDIA_TYPES = {
     "text": "text/plain",
 }
 UNKNOWN_TYPE = "unknown"
+#: All known media types.
+DOCUMENT_TYPES = [
+    "application/pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "application/msword",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "application/manifest+json",
+    "application/xml",
+    "text/html",
+    "text/markdown",
+    "text/plain",
+    "text/css",
+    "text/csv",
+    "text/javascript",
+    "text/x-python",
+    "text/x-rst",
+    "application/rtf",
+    "text/richtext",
+    "text/tab-separated-values",
+    "text/vtt",
+    "text/x-vcard",
+]
 
 #: Provider name to the prefix of its models.
 MODEL_PREFIXES = {
@@ -127,6 +150,12 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.element_at(table, extension), F.lit(UNKNOWN_TYPE))
 
 
+def known_type(kind: Column) -> Column:
+    """A declared media type without parameters, in lower case, if it is one of DOCUMENT_TYPES, else unknown."""
+    plain = F.lower(F.btrim(F.substring_index(kind, ";", 1)))
+    return F.when(plain.isin(*DOCUMENT_TYPES), plain).otherwise(UNKNOWN_TYPE)
+
+
 def model_string(provider: Column, model: Column, custom: Column) -> Column:
     """``prefix/model``; null where provider or model is missing."""
     table = F.create_map(*[F.lit(x) for pair in MODEL_PREFIXES.items() for x in pair])

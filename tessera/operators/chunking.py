@@ -2,7 +2,8 @@
 
 Every chunker returns chunk_id, source_id, pos, start_index, end_index,
 token_count, text. A null or blank content gives no chunk. Chunking is local to
-a row; nothing is shuffled.
+a row; nothing is shuffled. ``chunk_many`` keeps a row that fails apart from its
+neighbours.
 """
 
 from __future__ import annotations
@@ -11,18 +12,28 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import BLANKS
-from tessera.functions.vectors import cosine, doubles
+from tessera.operators.embedding import hashed_vector
+from tessera.operators.isolation import Outcome, describe, quarantine
 from tessera.session import share_code
 
 CHARS_PER_TOKEN = 4
 CHARS_PER_PAGE = 3000
 CHUNK_DDL = "source_id long, pos int, start_index int, end_index int, token_count int, text string"
 
+#: A plug-in: texts of sentences to one vector each.
+SentenceEmbedder = Callable[[list[str]], "list[list[float]] | np.ndarray"]
+
+
+def hashed_sentences(texts: list[str]) -> np.ndarray:
+    """The hashing embedder for each text."""
+    return np.array([hashed_vector(t) for t in texts])
+
 
 @dataclass(frozen=True)
 class ChunkerConfig:
@@ -30,10 +41,14 @@ class ChunkerConfig:
     chunk_overlap: int = 128
     similarity_threshold: float = 0.8
     min_sentences: int = 3
+    similarity_window: int = 4
+    embed: SentenceEmbedder = hashed_sentences
 
     def __post_init__(self) -> None:
         if self.chunk_size < 1 or self.chunk_overlap < 0:
             raise ValueError("chunk_size must be positive and chunk_overlap not negative")
+        if self.min_sentences < 1 or self.similarity_window < 1:
+            raise ValueError("min_sentences and similarity_window must be positive")
 
 
 Span = tuple[int, int, int, str]  # start, end, tokens, text
@@ -81,23 +96,60 @@ def sentence_spans(text: str, config: ChunkerConfig) -> Iterator[Span]:
         at = back
 
 
-def _spread(sources: DataFrame, spans: Callable[[str, ChunkerConfig], Iterator[Span]], config: ChunkerConfig) -> DataFrame:
+def semantic_spans(text: str, config: ChunkerConfig) -> Iterator[Span]:
+    """Sentences that go on with what the ``similarity_window`` sentences before them say.
+
+    A sentence is compared with the mean vector of up to ``similarity_window`` sentences right before it,
+    whatever chunk they are in. It begins a new chunk if that cosine (0 for a vector of length 0) is below
+    the threshold and ``min_sentences`` have come since the last cut, or if with it the
+    chunk would hold more than ``chunk_size`` words.
+    """
+    found = sentences(text)
+    if not found:
+        return
+    vectors = np.asarray(config.embed([text[a:b] for a, b in found]), float).reshape(len(found), -1)
+    first, held = 0, 0
+    for i, (a, b) in enumerate(found):
+        size = len(text[a:b].split())
+        if i > first:
+            before = vectors[max(0, i - config.similarity_window) : i].mean(0)
+            length = np.linalg.norm(before) * np.linalg.norm(vectors[i])
+            alike = float(before @ vectors[i] / length) if length else 0.0
+            if held + size > config.chunk_size or alike < config.similarity_threshold and i - first >= config.min_sentences:
+                yield found[first][0], found[i - 1][1], max(1, held), text[found[first][0] : found[i - 1][1]]
+                first, held = i, 0
+        held += size
+    yield found[first][0], found[-1][1], max(1, held), text[found[first][0] : found[-1][1]]
+
+
+Spans = Callable[[str, ChunkerConfig], Iterator[Span]]
+
+
+def _spread(sources: DataFrame, spans: Spans, config: ChunkerConfig, isolate: bool = False) -> DataFrame:
+    """One row a chunk; with ``isolate`` a source on which ``spans`` raises is one row with its error, and all rows have that column."""
     share_code(sources.sparkSession)
-    names = [x.split()[0] for x in CHUNK_DDL.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    ddl = CHUNK_DDL + (", error string" if isolate else "")
+    names = [x.split()[0] for x in ddl.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), *([pa.string()] if isolate else [])]
+    more = (None,) if isolate else ()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for source, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [(source, pos, *span) for pos, span in enumerate(spans(content.as_py() or "", config))]
+                try:
+                    rows += [(source, pos, *span, *more) for pos, span in enumerate(list(spans(content.as_py() or "", config)))]
+                except Exception as error:
+                    if not isolate:
+                        raise
+                    rows.append((source, None, None, None, None, None, describe(error)))
                 if len(rows) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    chunks = sources.select(F.col("source_id").cast("long"), "content").mapInArrow(run, CHUNK_DDL)
+    chunks = sources.select(F.col("source_id").cast("long"), "content").mapInArrow(run, ddl)
     return chunks.withColumn("chunk_id", F.concat_ws("-", "source_id", "pos"))
 
 
@@ -133,28 +185,25 @@ def chunk_token(sources: DataFrame, config: ChunkerConfig | None = None) -> Data
     )
 
 
-def chunk_semantic(sources: DataFrame, embed, config: ChunkerConfig | None = None) -> DataFrame:
-    """Sentences grouped while neighbours are alike.
+def chunk_semantic(sources: DataFrame, config: ChunkerConfig | None = None) -> DataFrame:
+    """Sentences grouped while each is like those before it; see ``semantic_spans``."""
+    return _spread(sources, semantic_spans, config or ChunkerConfig())
 
-    ``embed`` maps a text column to array<double>. A sentence starts a chunk
-    when its cosine with the one before falls below the threshold and the chunk
-    so far may end (``min_sentences`` sentences, counted from the source's start
-    in blocks). Rows of one source meet in one task: a source is one text.
-    """
-    config = config or ChunkerConfig()
-    parts = _spread(sources, lambda t, c: ((a, b, max(1, len(t[a:b].split())), t[a:b]) for a, b in sentences(t)), config)
-    by = Window.partitionBy("source_id").orderBy("pos")
-    vectors = parts.withColumn("v", doubles(embed(F.col("text"))))
-    near = vectors.withColumn("alike", cosine(F.col("v"), F.lag("v").over(by)))
-    cut = (F.col("pos") == 0) | ((F.coalesce("alike", F.lit(0.0)) < config.similarity_threshold) & (F.col("pos") % config.min_sentences == 0))
-    grouped = near.withColumn("chunk", F.sum(cut.cast("int")).over(by) - 1)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    out = grouped.groupBy("source_id", "chunk").agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.sum("token_count").cast("int").alias("token_count"), joined.alias("text"))
-    return out.withColumnRenamed("chunk", "pos").withColumn("pos", F.col("pos").cast("int")).withColumn("chunk_id", F.concat_ws("-", "source_id", "pos"))
+
+#: The chunkers by name, and the plug-ins among them that can fail on a row.
+CHUNKERS = {"fixed": chunk_fixed, "token": chunk_token, "sentence": chunk_sentence, "semantic": chunk_semantic}
+_spans: dict[str, Spans] = {"fixed": fixed_spans, "sentence": sentence_spans, "semantic": semantic_spans}
 
 
-#: The chunkers by name.
-CHUNKERS = {"fixed": chunk_fixed, "token": chunk_token, "sentence": chunk_sentence}
+def register_chunker(name: str) -> Callable[[Spans], Spans]:
+    """Make a function of (text, config) that gives (start, end, tokens, text) of chunks available by name."""
+
+    def add(spans: Spans) -> Spans:
+        _spans[name] = spans
+        CHUNKERS[name] = lambda sources, config=None: _spread(sources, spans, config or ChunkerConfig())
+        return spans
+
+    return add
 
 
 def chunk_sources(sources: DataFrame, chunker: str, config: ChunkerConfig | None = None) -> DataFrame:
@@ -163,6 +212,19 @@ def chunk_sources(sources: DataFrame, chunker: str, config: ChunkerConfig | None
     return CHUNKERS[chunker](sources, config)
 
 
+def chunk_many(sources: DataFrame, chunker: str, config: ChunkerConfig | None = None) -> Outcome:
+    """Chunks of ``sources``, and an error row of stage ``chunking`` for each source on which the chunker raised.
+
+    A chunker that is not registered leaves the sources as they are, with an error row for each.
+    """
+    if chunker not in CHUNKERS:
+        errors = sources.select(F.col("source_id").cast("string").alias("source"), F.lit("chunking").alias("stage"), F.lit(f"no chunker {chunker}").alias("error"))
+        return Outcome(sources, errors)
+    if chunker not in _spans:  # built-in functions only
+        return quarantine(CHUNKERS[chunker](sources, config).withColumn("error", F.lit(None).cast("string")), "source_id", "chunking")
+    return quarantine(_spread(sources, _spans[chunker], config or ChunkerConfig(), isolate=True), "source_id", "chunking")
+
+
 def chunk_stats(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """(source_id, chunk_count, total_tokens) of every source, 0 where it has no chunk."""
     found = chunks.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"))

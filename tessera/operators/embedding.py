@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import stripped, words
+from tessera.functions.text import BLANKS, stripped, words
+from tessera.functions.vectors import l2_normalised
+from tessera.operators.isolation import Outcome, applied
 
 Embedder = Callable[[Column], Column]
 _embedders: dict[str, Embedder] = {}
@@ -51,12 +53,13 @@ def hashing_embedder(text: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([_hashed(t or "") for t in texts])
+        return pd.Series([hashed_vector(t or "") for t in texts])
 
     return embed(text)
 
 
-def _hashed(text: str) -> list[float]:
+def hashed_vector(text: str) -> list[float]:
+    """The vector of the hashing embedder for one text."""
     counts = [0.0] * HASH_DIMENSIONS
     for word in re.split(r"[ \t\n\x0b\f\r]+", text.lower()):
         if word:
@@ -70,6 +73,35 @@ def embed_chunks(chunks: DataFrame, embed: Embedder = hashing_embedder, text: st
     return chunks.withColumn("dense_vector", F.when(stripped(F.col(text)) != "", embed(F.col(text))))
 
 
+#: Modes, by what they add to a chunk.
+MODES = {"DENSE_ONLY": ("dense",), "SPARSE_ONLY": ("sparse",), "HYBRID": ("dense", "sparse"), "ADVANCED": ("dense", "sparse", "late")}
+
+
+def embed_by_mode(chunks: DataFrame, mode: str = "DENSE_ONLY", embed: Embedder = hashing_embedder, tokens: Embedder | None = None, normalise: bool = False, text: str = "text") -> DataFrame:
+    """Adds what the mode asks for: dense_vector, sparse_vector (map of word to count), token_vectors (of ``tokens``); null for a null or blank text.
+
+    ``normalise`` scales dense and token vectors to length 1.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {sorted(MODES)}")
+    if "late" in MODES[mode] and tokens is None:
+        raise ValueError(f"{mode} needs an embedder of tokens")
+    scaled = l2_normalised if normalise else lambda v: v
+    terms = words(F.lower(F.col(text)))
+    counts = F.transform(F.array_distinct(terms), lambda w: F.struct(w, F.size(F.filter(terms, lambda x: x == w)).cast("double")))
+    made = {"dense": ("dense_vector", lambda: scaled(embed(F.col(text)))), "sparse": ("sparse_vector", lambda: F.map_from_entries(counts)), "late": ("token_vectors", lambda: F.transform(tokens(F.col(text)), scaled))}
+    return chunks.withColumns({made[m][0]: F.when(stripped(F.col(text)) != "", made[m][1]()) for m in MODES[mode]})
+
+
+def embed_many(chunks: DataFrame, vector: Callable[[str], list[float]], text: str = "text", source: str = "source_id", seconds: float | None = None) -> Outcome:
+    """``chunks`` with dense_vector by ``vector``, a plug-in of one text; null for a null or blank one.
+
+    A chunk on which the plug-in raises, or takes over ``seconds``, is an error row of stage ``embedding``.
+    """
+    made = lambda t: None if not t or not t.strip(BLANKS) else [float(x) for x in vector(t)]
+    return applied(chunks, made, text, "dense_vector", "array<double>", source, "embedding", seconds)
+
+
 def embed_query(spark, query: str, embed: Embedder = hashing_embedder) -> list[float]:
     if not query or not query.strip():
         raise ValueError("a query must not be blank")

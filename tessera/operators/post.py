@@ -113,18 +113,22 @@ def reciprocal_rank_fusion(lists: DataFrame, top_k: int | None = None, k: int =
     """
     known = F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), F.sha2(F.coalesce("content", F.lit("")), 256))
     payload = [c for c in lists.columns if c not in (by, "list_idx", "rank", "id")]
-    keyed = lists.withColumn("id", known)
-    first = F.min_by(F.struct("list_idx", "rank", *payload), F.struct("list_idx", "rank"))
-    fused = keyed.groupBy(by, "id").agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("rrf_score"), first.alias("f"))
-    counts = keyed.groupBy(by).agg(F.min("list_idx").alias("__a"), F.max("list_idx").alias("__b"))
-    alone = keyed.join(counts, by).filter("__a = __b").select(by, "id", F.lit(None).cast("double").alias("rrf_score"), F.struct("list_idx", "rank", *payload).alias("f"))
-    several = fused.join(counts.filter("__a <> __b").select(by), by, "left_semi")
-    order = Window.partitionBy(by).orderBy(F.col("rrf_score").desc_nulls_last(), "f.list_idx", "f.rank", "id")
-    ranked = several.unionByName(alone).withColumn("fused_rank", F.row_number().over(order))
+    # One pass over the lists: all places of an id, the first occurrence first; whether a query has one list is told from its ids.
+    key = lambda x: x["list_idx"].cast("long") * (1 << 32) + x["rank"].cast("long")
+    places = F.collect_list(F.struct("list_idx", "rank", (F.struct(*payload) if payload else F.lit(0)).alias("payload")))
+    in_order = F.array_sort(places, lambda x, y: F.signum(key(x) - key(y)).cast("int"))
+    fused = lists.withColumn("id", known).groupBy(by, "id").agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("rrf_score"), in_order.alias("f"))
+    whole = Window.partitionBy(by)
+    least, most = F.array_min(F.transform("f", lambda x: x["list_idx"])), F.array_max(F.transform("f", lambda x: x["list_idx"]))
+    fused = fused.withColumn("alone", F.min(least).over(whole) == F.max(most).over(whole))
+    occurs = F.explode(F.when(F.col("alone"), F.col("f")).otherwise(F.slice("f", 1, 1)))
+    ranked = fused.select(by, "id", F.when(~F.col("alone"), F.col("rrf_score")).alias("rrf_score"), occurs.alias("f"))
+    order = whole.orderBy(F.col("rrf_score").desc_nulls_last(), "f.list_idx", "f.rank", "id")
+    ranked = ranked.withColumn("fused_rank", F.row_number().over(order))
     if top_k:
         ranked = ranked.filter(F.col("fused_rank") <= top_k)
     ranked = ranked.withColumn("fused_rank", F.col("fused_rank") - 1)
-    return ranked.select(by, "id", "rrf_score", "fused_rank", *[F.col(f"f.{c}").alias(c) for c in payload])
+    return ranked.select(by, "id", "rrf_score", "fused_rank", *[F.col(f"f.payload.{c}").alias(c) for c in payload])
 
 
 def group_by_source(results: DataFrame, by: str = "query_id", source: str = "source_id", attributes: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import scratch_base
+from tessera.scratch import written
 
 
 def with_child_count(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, name: str) -> DataFrame:
@@ -83,32 +83,27 @@ def ancestors(messages: DataFrame, start: DataFrame, max_depth: int | None = Non
 
     Over ``messages (message_id, parent_id)``, at any depth, by doubling: round r
     joins what is up to 2^r steps above, so rounds are as many as the depth has
-    binary digits. A round is cut with ``checkpoint``, which writes to the shared
-    folder. A message that is its own ancestor is a ValueError, unless
+    binary digits. A round is written as a table of the shared folder. A path that comes
+    to a message twice is a ValueError in the round that sees it, unless
     ``max_depth`` says where to stop.
     """
-    spark = messages.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(scratch_base(spark))
-    jump = messages.filter("parent_id is not null").select("message_id", F.col("parent_id").alias("ancestor_id")).distinct().withColumn("distance", F.lit(1).cast("long"))
-    size = messages.select("message_id").distinct().count()
-    step = jump  # 2^r steps up
+    step = messages.filter("parent_id is not null").select("message_id", F.col("parent_id").alias("ancestor_id")).distinct().withColumn("distance", F.lit(1).cast("long"))
     found = start.select("message_id").distinct().withColumns({"ancestor_id": F.col("message_id"), "distance": F.lit(0).cast("long")})
     reach = 1
     while True:
         up = step.select(F.col("message_id").alias("ancestor_id"), F.col("ancestor_id").alias("above"), F.col("distance").alias("more"))
         higher = found.join(up, "ancestor_id").select("message_id", F.col("above").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
-        found = found.unionByName(higher).checkpoint()
-        if max_depth is None and reach > size:
-            if not found.filter(F.col("distance") > size).isEmpty():
+        higher = written(higher, "ancestors")
+        found = written(found.unionByName(higher), "ancestors")
+        if max_depth is None:
+            again = found.groupBy("message_id", "ancestor_id").agg(F.count_distinct("distance").alias("n")).filter("n > 1")
+            if not again.isEmpty():
                 raise ValueError("a message is its own ancestor")
+        if higher.isEmpty() or max_depth is not None and reach > max_depth:
             break
-        if max_depth is not None and reach > max_depth:
-            break
-        step = step.join(up.withColumnsRenamed({"above": "above_2", "more": "more_2"}), "ancestor_id").select("message_id", F.col("above_2").alias("ancestor_id"), (F.col("distance") + F.col("more_2")).alias("distance")).checkpoint()
+        step = step.join(up.withColumnsRenamed({"above": "above_2", "more": "more_2"}), "ancestor_id").select("message_id", F.col("above_2").alias("ancestor_id"), (F.col("distance") + F.col("more_2")).alias("distance"))
+        step = written(step.dropDuplicates(["message_id", "ancestor_id"]) if max_depth is None else step, "ancestor-steps")
         reach *= 2
-        if step.isEmpty():
-            break
     found = found.filter("distance > 0")
     return found if max_depth is None else found.filter(F.col("distance") <= max_depth)
 
@@ -127,3 +122,47 @@ def duplicates_of(table: DataFrame, *keys: str) -> DataFrame:
 def resolved(*levels: Column) -> Column:
     """A preference: the value of the nearest level that has one."""
     return F.coalesce(*levels)
+
+
+def owned(table: DataFrame, requests: DataFrame, key: str, owner: str) -> DataFrame:
+    """``requests (key, asked_by, ...)`` with ``found``: whether the row of that key exists and belongs to who asks.
+
+    A row that is not there and one of another owner look the same. A null owner belongs to no one.
+    """
+    held = table.select(F.col(key), F.col(owner).alias("asked_by")).distinct().withColumn("found", F.lit(True))
+    return requests.join(held, [key, "asked_by"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+MISSING_USER, NOT_OWNED, NO_PARENT, OTHER_CONVO = "user id is required", "conversation not found or access denied", "parent message not found", "parent message not in same conversation"
+
+
+def add_messages(convos: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New messages that may be added, and (message_id, reason) of the others.
+
+    ``convos`` has convo_id and user_id, ``messages`` message_id, convo_id and root_id, ``new``
+    message_id, convo_id, user_id, parent_id, root_id, attached_files, attached_sources (arrays) and any more.
+    The user must own the conversation; a parent must be one of its stored messages; the root is
+    the parent's root or else the parent, and without a parent the given one. Files are kept, or
+    else sources, never both; empty arrays become null.
+    """
+    mine = convos.select("convo_id", "user_id").distinct().withColumn("__mine", F.lit(True))
+    above = messages.select(F.col("message_id").alias("parent_id"), F.col("convo_id").alias("__convo"), F.coalesce(F.nullif("root_id", F.lit("")), "message_id").alias("__root")).dropDuplicates(["parent_id"])
+    seen = new.join(mine, ["convo_id", "user_id"], "left").join(above, "parent_id", "left")
+    child = F.coalesce("parent_id", F.lit("")) != ""
+    reason = (
+        F.when(F.coalesce(F.col("user_id").cast("string"), F.lit("")) == "", MISSING_USER)
+        .when(F.col("__mine").isNull(), NOT_OWNED)
+        .when(child & F.col("__root").isNull(), NO_PARENT)
+        .when(child & (F.col("__convo") != F.col("convo_id")), OTHER_CONVO)
+    )
+    seen = seen.withColumn("__reason", reason)
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    files = some("attached_files")
+    fine = seen.filter("__reason is null").withColumns({"root_id": F.when(child, F.col("__root")).otherwise(F.col("root_id")), "attached_files": files, "attached_sources": F.when(files.isNull(), some("attached_sources"))})
+    return fine.select(*new.columns), seen.filter("__reason is not null").select("message_id", F.col("__reason").alias("reason"))
+
+
+def touch(users: DataFrame, logins: DataFrame, key: str, time: str) -> DataFrame:
+    """``users`` with ``time``, their last login, moved forward to the latest of ``logins (key, time)``, never back."""
+    latest = logins.groupBy(key).agg(F.max(time).alias("__latest"))
+    return users.join(latest, key, "left").withColumn(time, F.greatest(time, "__latest")).drop("__latest").select(*users.columns)

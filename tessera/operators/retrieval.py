@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ from pyspark.sql import functions as F
 from tessera.functions.text import expanded, words
 from tessera.functions.vectors import METRICS, dot, norm
 from tessera.operators.post import reciprocal_rank_fusion
+from tessera.scratch import unused, written
+
+if TYPE_CHECKING:
+    from tessera.operators.keyword_index import KeywordIndex
+    from tessera.operators.vector_index import VectorIndex
 
 QUERY_BLOCK = 1024
 
@@ -122,23 +128,24 @@ def vector_search(points: DataFrame, queries: DataFrame, config: RetrievalConfig
     config = config or RetrievalConfig()
     metric = METRICS[config.metric]
     candidates = retrieval_filters(points, config)
+    length, query_length, part = unused(points, "__norm", "__query_norm", "__block")
     queries = queries.select("query_id", "query_vector")
     if metric.by_norm:  # once a vector, not once a pair
-        candidates = candidates.withColumn("__norm", norm(F.col("vector")))
-        queries = queries.withColumn("__query_norm", norm(F.col("query_vector")))
+        candidates = candidates.withColumn(length, norm(F.col("vector")))
+        queries = queries.withColumn(query_length, norm(F.col("query_vector")))
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     if blocks > 1:  # several blocks of about half the bound, so that uneven hashing stays below it
         blocks *= 2
-        queries = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        queries = queries.withColumn(part, F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     found = []
     for b in range(blocks):
-        block = queries if blocks == 1 else queries.filter(F.col("__block") == b).drop("__block")
+        block = queries if blocks == 1 else queries.filter(F.col(part) == b).drop(part)
         pairs = candidates.crossJoin(F.broadcast(block))  # a stated query set against all points
         if exclude_self:
             pairs = pairs.filter(F.col("chunk_id") != F.col("query_id"))
-        score = F.try_divide(dot(F.col("vector"), F.col("query_vector")), F.col("__norm") * F.col("__query_norm")) if metric.by_norm else metric.score(F.col("vector"), F.col("query_vector"))
-        found.append(ranked(pairs.withColumn("similarity_score", score).drop("vector", "query_vector", "__norm", "__query_norm"), config))
+        score = F.try_divide(dot(F.col("vector"), F.col("query_vector")), F.col(length) * F.col(query_length)) if metric.by_norm else metric.score(F.col("vector"), F.col("query_vector"))
+        found.append(ranked(pairs.withColumn("similarity_score", score).drop("vector", "query_vector", length, query_length), config))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -194,8 +201,8 @@ BROADCAST_TERMS = 100_000
 def keyword_search_many(docs: DataFrame, queries: DataFrame, top_k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of ``docs (chunk_id, text)`` for every query of ``queries (query_id, query_text)``: query_id, chunk_id, keyword_score, result_rank.
 
-    Texts are split once for all queries; only (document, term) counts of terms
-    that some query holds leave the scan. Scores are rounded to six places, so
+    Texts are read and split once for all queries; only (document, term) counts of terms
+    that some query holds leave the scan, into a table. Scores are rounded to six places, so
     that the order does not hang on the order of sums. Null texts count as empty,
     a query without a word has no results.
     """
@@ -204,9 +211,13 @@ def keyword_search_many(docs: DataFrame, queries: DataFrame, top_k: int = 10, k1
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     split = docs.select("chunk_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens")).withColumn("length", F.size("tokens"))
-    postings = split.select("chunk_id", "length", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
+    # Beside its terms each document has the empty one, which no text holds, for the number of documents and their lengths.
+    exploded = split.select("chunk_id", "length", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    kept = exploded.join(terms.union(docs.sparkSession.range(1).select(F.lit("").alias("term"))), "term", "left_semi")
+    counted = written(kept.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf")), "asked-postings")
+    postings = counted.filter("term <> ''")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    whole = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    whole = counted.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = postings.join(frequency, "term").crossJoin(F.broadcast(whole)).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("keyword_score"))  # whole: one row
@@ -217,15 +228,24 @@ def _ranked_list(found: DataFrame, index: int) -> DataFrame:
     return found.select("query_id", F.lit(index).alias("list_idx"), F.col("result_rank").alias("rank"), F.col("chunk_id").alias("id"), F.lit("").alias("content"))
 
 
-def hybrid_search(points: DataFrame, docs: DataFrame, queries: DataFrame, config: RetrievalConfig | None = None, candidates: int = 20) -> DataFrame:
+def _vector_list(points: DataFrame | VectorIndex, queries: DataFrame, config: RetrievalConfig, exclude_self: bool = True) -> DataFrame:
+    return vector_search(points, queries, config, exclude_self) if isinstance(points, DataFrame) else points.search(queries, config, exclude_self)
+
+
+def _keyword_list(docs: DataFrame | KeywordIndex, queries: DataFrame, top_k: int) -> DataFrame:
+    return keyword_search_many(docs, queries, top_k) if isinstance(docs, DataFrame) else docs.search(queries, top_k)
+
+
+def hybrid_search(points: DataFrame | VectorIndex, docs: DataFrame | KeywordIndex, queries: DataFrame, config: RetrievalConfig | None = None, candidates: int = 20) -> DataFrame:
     """Each query's vector list and its own keyword list, ``candidates`` long, fused by rank: query_id, id, rrf_score, fused_rank.
 
     ``queries`` has query_id, query_vector and query_text; filters of the config
-    apply to the points, ``top_k`` to the fused list.
+    apply to the points, ``top_k`` to the fused list. Points and documents can be stored
+    indexes; the results are the same.
     """
     config = config or RetrievalConfig()
-    vector = vector_search(points, queries, replace(config, top_k=candidates))
-    keyword = keyword_search_many(docs, queries, candidates).filter("chunk_id <> query_id")
+    vector = _vector_list(points, queries, replace(config, top_k=candidates))
+    keyword = _keyword_list(docs, queries, candidates).filter("chunk_id <> query_id")
     return reciprocal_rank_fusion(_ranked_list(vector, 0).unionByName(_ranked_list(keyword, 1)), top_k=config.top_k).select("query_id", "id", "rrf_score", "fused_rank")
 
 
@@ -242,12 +262,12 @@ def multi_query_search(points: DataFrame, variants: DataFrame, config: Retrieval
     return reciprocal_rank_fusion(lists.filter("id <> query_id"), top_k=config.top_k).select("query_id", "id", "rrf_score", "fused_rank")
 
 
-def search(strategy: str, points: DataFrame, docs: DataFrame, queries: DataFrame, config: RetrievalConfig | None = None) -> DataFrame:
-    """Search by strategy: vector_only, keyword_only, hybrid or multi_query (then ``queries`` has variants)."""
+def search(strategy: str, points: DataFrame | VectorIndex, docs: DataFrame | KeywordIndex, queries: DataFrame, config: RetrievalConfig | None = None) -> DataFrame:
+    """Search by strategy: vector_only, keyword_only, hybrid or multi_query (then ``queries`` has variants, and points are no index)."""
     config = config or RetrievalConfig()
     strategies = {
-        "vector_only": lambda: vector_search(points, queries, config),
-        "keyword_only": lambda: keyword_search_many(docs, queries, config.top_k),
+        "vector_only": lambda: _vector_list(points, queries, config),
+        "keyword_only": lambda: _keyword_list(docs, queries, config.top_k),
         "hybrid": lambda: hybrid_search(points, docs, queries, config),
         "multi_query": lambda: multi_query_search(points, queries, config),
     }

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import expanded, split_lines
 from tessera.functions.vectors import doubles, l2_normalised, max_sim
-from tessera.operators import post, retrieval
+from tessera.operators import late_interaction, post, retrieval
 from tessera.operators.embedding import sparse_terms
+from tessera.operators.keyword_index import build_keyword_index
 from tessera.operators.vector_index import build_vector_index
 from tessera.plans import base
 from tessera.plans.base import hits_cte, texted_cte, words_sql
@@ -171,12 +172,26 @@ def keyword_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(retrieval.keyword_search_many(docs, _asked(spark, sf_dir), 20))
 
 
-@query(f"""WITH {hits_cte(20)}, {MANY_SQL},
+def _keyword_index(spark: SparkSession, sf_dir: str):
+    docs = base.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    return build_keyword_index(docs, scratch_path(spark, "keyword-index"))
+
+
+@query(f"WITH {MANY_SQL} SELECT query_id, chunk_id, score AS keyword_score, result_rank FROM kw")
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stored inverted index with block-max pruning."""
+    return _ranks(_keyword_index(spark, sf_dir).search(_asked(spark, sf_dir), 20))
+
+
+HYBRID_SQL = f"""WITH {hits_cte(20)}, {MANY_SQL},
 l AS (SELECT query_id, 0 AS list_idx, result_rank AS rank, chunk_id AS id FROM hits WHERE query_id IN (SELECT query_id FROM kq)
       UNION ALL SELECT query_id, 1, result_rank, chunk_id FROM kw WHERE chunk_id <> query_id),
 f AS (SELECT query_id, id::VARCHAR AS id, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf, min(list_idx * 1000 + rank) AS first FROM l GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, id) - 1 AS fused_rank FROM f)
-SELECT query_id, id, round(rrf, 9) AS rrf_score FROM r WHERE fused_rank < 10""")
+SELECT query_id, id, round(rrf, 9) AS rrf_score FROM r WHERE fused_rank < 10"""
+
+
+@query(HYBRID_SQL)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's vector list and the keyword list of its own text, fused."""
     docs = base.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
@@ -184,6 +199,14 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
+@query(HYBRID_SQL)
+def hybrid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over both stored indexes."""
+    index = build_vector_index(base.points(spark, sf_dir), scratch_path(spark, "vector-index"))
+    found = retrieval.hybrid_search(index, _keyword_index(spark, sf_dir), _asked(spark, sf_dir))
+    return found.select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"))
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ranked lists of each query: by cosine and by Euclidean distance within the first sources."""
     one = base.hits(spark, sf_dir, top_k=15)
@@ -320,6 +343,23 @@ def late_interaction_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_distinct({words_sql("lower(coalesce(text, ''))")})) AS t FROM documents),
+v AS (SELECT t, list_transform(range(1, 33), lambda i: strpos('0123456789abcdef', substr(md5(t), i, 1)) - 8.5::DOUBLE) AS v FROM (SELECT DISTINCT t FROM w)),
+u AS (SELECT t, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM v),
+a AS (SELECT doc_id AS query_id, t FROM w WHERE doc_id % 100 = 0),
+m AS (SELECT x.t AS q, y.t AS t, list_inner_product(x.v, y.v) AS s FROM u x, u y WHERE x.t IN (SELECT t FROM a)),
+b AS (SELECT q, doc_id, max(s) AS s FROM m JOIN w USING (t) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM a JOIN b ON b.q = a.t WHERE doc_id <> query_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS result_rank FROM s)
+SELECT query_id, doc_id, round(score, 5) AS score FROM r WHERE result_rank < 10""")
+def late_interaction_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the query set against all, by the vectors of their words, through an index of token vectors."""
+    docs = base.documents(spark, sf_dir).select("doc_id", "text")
+    index = late_interaction.build_token_index(late_interaction.token_rows(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id"), scratch_path(spark, "token-index"))
+    asked = late_interaction.token_rows(docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), "query_id")
+    return index.search(asked).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
 @query(f"""WITH l AS (
   SELECT conv_id, turn, role, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {base.BLANKS_SQL})), lambda x: x <> '') AS alts FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, turn, list_concat([text], alts) AS c FROM l),

@@ -278,7 +278,7 @@ def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunk_rows(chunking.chunk_semantic(_sources(spark, sf_dir), embedding.hashing_embedder))
+    return _chunk_rows(chunking.chunk_semantic(_sources(spark, sf_dir)))
 
 
 @query(f"WITH RECURSIVE {_fixed_sql(512, 128)} SELECT d.doc_id AS source_id, count(c.pos) AS chunk_count, coalesce(sum(c.token_count), 0)::BIGINT AS total_tokens FROM documents d LEFT JOIN numbered c ON c.source_id = d.doc_id GROUP BY d.doc_id")
@@ -349,6 +349,20 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.documents(spark, sf_dir).select("doc_id", files.content_hash(name, F.lit("text/plain"), F.col("text")).alias("file_hash"))
 
 
+@query()
+def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLAKE3 of every document in the context of its name and type; tests hold it against published vectors."""
+    name = F.concat(F.lit("d"), F.col("doc_id"))
+    return base.documents(spark, sf_dir).select("doc_id", files.content_key(name, F.lit("text/plain"), F.col("text")).alias("file_key"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text/csv' WHEN 1 THEN 'text/markdown' ELSE 'unknown' END AS media_type FROM documents")
+def declared_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    kind = F.when(k == 0, "text/csv").when(k == 1, " Text/Markdown; charset=utf-8").when(k == 2, "text/none")
+    return base.documents(spark, sf_dir).select("doc_id", T.known_type(kind).alias("media_type"))
+
+
 @query("SELECT doc_id, decode(from_base64(to_base64(encode(text)))) = text AS same, md5(to_base64(encode(text))) AS encoded FROM documents")
 def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")

@@ -30,6 +30,16 @@ def tenant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.filter("o_orderkey = 42").join(owner, "o_custkey", "left_semi").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@query("""WITH q AS (SELECT o_orderkey, o_custkey AS asked_by FROM orders WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT -o_orderkey, o_custkey FROM orders WHERE o_orderkey % 10 = 0)
+SELECT q.o_orderkey, asked_by, EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = q.o_orderkey AND o.o_custkey = asked_by) AS found FROM q""")
+def tenant_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each asked by its owner, by another customer, and under a key that does not exist: only the first is found."""
+    some = _orders(spark, sf_dir).filter("o_orderkey % 10 = 0")
+    asked = [some.select(key.alias("o_orderkey"), by.alias("asked_by")) for key, by in ((F.col("o_orderkey"), F.col("o_custkey")), (F.col("o_orderkey"), F.col("o_custkey") + 1), (-F.col("o_orderkey"), F.col("o_custkey")))]
+    return R.owned(_orders(spark, sf_dir), asked[0].union(asked[1]).union(asked[2]), "o_orderkey", "o_custkey")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 999 OFFSET 0")
 def list_convos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).filter("o_orderstatus = 'F'").orderBy(F.col("o_orderdate").desc(), "o_orderkey").offset(0).limit(999).select("o_orderkey", "o_custkey")
@@ -157,6 +167,39 @@ def message_root_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.message_root_ids(rows).select("convo_id", "message_id", "root_id")
 
 
+_NEW_MESSAGES = f"""{_MESSAGES}, s AS (SELECT convo_id, message_id, parent_id, CASE WHEN turn % 3 = 1 THEN 'root-' || turn ELSE '' END AS root_id, turn FROM m),
+n AS (SELECT 'new-' || message_id AS message_id, convo_id, CASE WHEN turn % 11 = 10 THEN NULL WHEN turn % 7 = 6 THEN convo_id % 5 + 1 ELSE convo_id % 5 END AS user_id,
+  CASE WHEN turn = 0 THEN NULL WHEN turn % 5 = 4 THEN 'none' WHEN turn % 5 = 3 THEN (convo_id + 1) || '-0' ELSE message_id END AS parent_id, CASE WHEN turn = 0 THEN 'own' END AS root_id, turn % 2 = 1 AS files, turn % 3 > 0 AS sources FROM s),
+j AS (SELECT n.*, p.convo_id AS p_convo, coalesce(nullif(p.root_id, ''), p.message_id) AS p_root FROM n LEFT JOIN s p ON p.message_id = n.parent_id),
+x AS (SELECT *, CASE WHEN user_id IS NULL THEN 'user id is required' WHEN user_id <> convo_id % 5 THEN 'conversation not found or access denied'
+  WHEN parent_id IS NOT NULL AND p_root IS NULL THEN 'parent message not found' WHEN parent_id IS NOT NULL AND p_convo <> convo_id THEN 'parent message not in same conversation' END AS reason FROM j)"""
+
+
+@query(f"""WITH {_NEW_MESSAGES}
+SELECT message_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN parent_id IS NULL THEN root_id ELSE p_root END END AS root_id,
+  reason IS NULL AND files AS with_files, reason IS NULL AND NOT files AND sources AS with_sources FROM x""")
+def add_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One more message under each, some without a user, by a stranger, or under a parent that is nowhere or elsewhere."""
+    t = F.col("turn")
+    stored = base.messages(spark, sf_dir).withColumn("root_id", F.when(t % 3 == 1, F.concat(F.lit("root-"), t)).otherwise(""))
+    convos = stored.select("convo_id", (F.col("convo_id") % 5).alias("user_id")).distinct()
+    user = F.when(t % 11 == 10, None).when(t % 7 == 6, F.col("convo_id") % 5 + 1).otherwise(F.col("convo_id") % 5)
+    parent = F.when(t == 0, None).when(t % 5 == 4, "none").when(t % 5 == 3, F.concat_ws("-", F.col("convo_id") + 1, F.lit(0))).otherwise(F.col("message_id"))
+    attached = lambda some: F.when(some, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    new = stored.select(F.concat(F.lit("new-"), "message_id").alias("message_id"), "convo_id", user.alias("user_id"), parent.alias("parent_id"), F.when(t == 0, "own").alias("root_id"), attached(t % 2 == 1).alias("attached_files"), attached(t % 3 > 0).alias("attached_sources"))
+    added, refused = R.add_messages(convos, stored, new)
+    kept = added.select("message_id", F.lit(None).cast("string").alias("reason"), "root_id", F.col("attached_files").isNotNull().alias("with_files"), F.col("attached_sources").isNotNull().alias("with_sources"))
+    return kept.unionByName(refused.select("message_id", "reason", F.lit(None).cast("string").alias("root_id"), F.lit(False).alias("with_files"), F.lit(False).alias("with_sources")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN greatest(DATE '1996-01-01', last) WHEN last IS NULL THEN NULL ELSE last END AS last_login FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate)::DATE AS last FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def last_login(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as logins; every fourth customer has an earlier one on record."""
+    users = _customers(spark, sf_dir).select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lit("1996-01-01").cast("date")).alias("last_login"))
+    logins = _orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("last_login"))
+    return R.touch(users, logins, "c_custkey", "last_login")
+
+
 @query("SELECT * FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1")
 def latest_message_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = R.latest_per_id(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")

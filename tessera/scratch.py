@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import scratch_base
 
@@ -19,3 +20,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side of at most so many narrow rows is broadcast (some tens of MB); a larger one is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its rows, which are counted, are few enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.blake3 import blake3_derived
 from tessera.functions.text import MEDIA_TYPES, UNKNOWN_TYPE, media_type
+from tessera.operators.isolation import Outcome, applied, guarded
 
 Parser = Callable[[Column], Column]
 
@@ -26,15 +28,16 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", "length", "content")
 
 
-def ingest(parts: DataFrame) -> DataFrame:
+def ingest(parts: DataFrame, hashed: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Uploaded parts ``(file_name, media_type, data)`` with base64 ``data`` to file contents.
 
-    Adds file_hash (see ``content_hash``), content, and valid; content is null
+    Adds file_hash (by ``hashed``: ``content_hash``, or ``content_key`` for BLAKE3), content, and valid; content is null
     where the data is no base64 or its bytes are no UTF-8.
     """
+    hashed = hashed or content_hash
     raw = F.try_to_binary("data", F.lit("base64"))
     decoded = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    return parts.withColumns({"file_hash": content_hash(F.col("file_name"), F.col("media_type"), F.col("data")), "content": decoded}).withColumn("valid", F.col("content").isNotNull())
+    return parts.withColumns({"file_hash": hashed(F.col("file_name"), F.col("media_type"), F.col("data")), "content": decoded}).withColumn("valid", F.col("content").isNotNull())
 
 
 def content_hash(name: Column, kind: Column, data: Column) -> Column:
@@ -42,6 +45,11 @@ def content_hash(name: Column, kind: Column, data: Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.concat_ws(", ", name, kind), data), 256)
 
 
+def content_key(name: Column, kind: Column, data: Column) -> Column:
+    """The BLAKE3 key derived from the encoded data in the context ``name, type``, hexadecimal; a null name or type counts as empty."""
+    return blake3_derived(F.concat(F.coalesce(name, F.lit("")), F.lit(", "), F.coalesce(kind, F.lit(""))), data)
+
+
 def register_parser(name: str, *types: str) -> Callable[[Parser], Parser]:
     """Make a parser (content column to text column) available for media types."""
 
@@ -122,6 +130,24 @@ def parse_with_fallback(files: DataFrame, primary: str, fallbacks: tuple[str, ..
     return files.withColumns({"parsed": text, "parser_used": used}).withColumn("errors", F.when(F.col("parsed") == "", F.array(F.lit("no parser gave text"))).otherwise(F.array().cast("array<string>")))
 
 
+#: Fixed value: seconds that a parser may take for a file.
+PARSE_SECONDS = 300.0
+
+
+def parse_many(files: DataFrame, parse: Callable[[str], str], seconds: float = PARSE_SECONDS, content: str = "content", source: str = "source_id") -> Outcome:
+    """``files`` with ``parsed`` by a plug-in of one file's content.
+
+    A file on which it raises, or takes over ``seconds``, is an error row of stage ``parsing``; the others are parsed.
+    """
+    return applied(files, parse, content, "parsed", "string", source, "parsing", seconds)
+
+
+def timed_parser(parse: Callable[[str], str], seconds: float = PARSE_SECONDS) -> Parser:
+    """A plug-in of one file's content as a parser for ``register_parser``: null where it raises or takes over ``seconds``, so the next parser is tried."""
+    made = guarded(parse, "string", seconds)
+    return lambda content: made(content)["value"]
+
+
 def capabilities(spark: SparkSession) -> DataFrame:
     """(parser, media_type) of every registered parser."""
     return spark.createDataFrame([(n, t) for n in available_parsers() for t in parser_types(n)], "parser string, media_type string")
