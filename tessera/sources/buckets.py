@@ -13,11 +13,13 @@ it; ``PointsStore`` writes whole versions where that matters.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.scratch import written
 from tessera.sources.points import PointsStore, collection_info, delete_points, upsert_points
@@ -64,7 +66,7 @@ class BucketedPointsStore:
         files.delete(target, False)
 
     def exists(self) -> bool:
-        return self._exists("points/_SUCCESS")
+        return self._exists("schema/_SUCCESS")
 
     def _bucket(self, points: DataFrame) -> DataFrame:
         return points.withColumn("bucket", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(self.buckets)).cast("int"))
@@ -72,7 +74,8 @@ class BucketedPointsStore:
     def _stored(self) -> DataFrame:
         if not self.exists():
             raise FileNotFoundError(f"collection {self.name} has no points")
-        return self.spark.read.parquet(f"{self.base}/points")
+        schema = StructType.fromJson(json.loads(self.spark.read.parquet(f"{self.base}/schema").first()["schema"]))
+        return self.spark.read.schema(schema.add("bucket", "integer")).parquet(f"{self.base}/points")
 
     def read(self) -> DataFrame:
         return self._stored().drop("bucket")
@@ -95,13 +98,17 @@ class BucketedPointsStore:
         if not points.filter(F.size("vector") != self.dimension).limit(1).isEmpty():
             raise ValueError(f"vectors of collection {self.name} have {self.dimension} parts")
         with self._locked():
+            if not self.exists():  # before the points, so that a collection whose buckets are all empty can be read
+                files, target = self._file("points")
+                files.mkdirs(target)
+                self.spark.createDataFrame([(points.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/schema")
             if mode == "append":  # new identities: their buckets follow from them, nothing that is there changes
                 new = written(self._bucket(upsert_points(points.limit(0), points, mode)), "bucket-points")
                 new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.base}/points")
                 return new.select("bucket").distinct().count()
             points = written(points, "new-points")
             touched = self._touched(points)
-            stored = self._stored().filter(F.col("bucket").isin(touched)).drop("bucket") if self.exists() else points.limit(0)
+            stored = self._stored().filter(F.col("bucket").isin(touched)).drop("bucket")
             if touched:
                 self._replace(upsert_points(stored, points, mode), touched)
             return len(touched)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -129,7 +130,20 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return files.parquet(path)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` while a query starts, which takes them with it; then those before."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_to_table(stream: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
     """Run a streaming DataFrame over the input that is there and read what it wrote.
 
     ``append`` keeps all that was emitted, ``complete`` the last full result.
@@ -141,7 +155,8 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
+    with session_settings(spark, settings or {}):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
     if query.lastProgress is None and not query.recentProgress:
         return spark.createDataFrame([], schema)

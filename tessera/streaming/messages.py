@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera.session import share_code
+from tessera.streaming.events import session_settings
 
 #: State with timers and lists needs this store.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -89,11 +90,19 @@ class Assembler(StatefulProcessor):
         pass
 
 
+def assembling(idle: bool = False) -> dict[str, str]:
+    """Settings that a query over ``assemble_stream`` needs at its start.
+
+    Timers are looked at in each batch. With ``idle`` there are batches without events, so a
+    stalled message is told when nothing else comes either; a query over what is there now
+    would never end then.
+    """
+    return {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
+
+
 def assemble_stream(events: DataFrame, stall_ms: int = 30_000, forget_ms: int = 3_600_000) -> DataFrame:
-    """``events (message_id, seq, type, delta)``, a stream, as (message_id, status, full_text, n_deltas); see ``Assembler``."""
-    spark = events.sparkSession
-    share_code(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """``events (message_id, seq, type, delta)``, a stream, as (message_id, status, full_text, n_deltas); see ``Assembler`` and ``assembling``."""
+    share_code(events.sparkSession)
     narrow = events.select(F.col("message_id").cast("string").alias("message_id"), F.col("seq").cast("long").alias("seq"), "type", "delta")
     return narrow.groupBy("message_id").transformWithStateInPandas(Assembler(stall_ms, forget_ms), outputStructType=ASSEMBLED, outputMode="append", timeMode="processingTime")
 
@@ -110,19 +119,21 @@ def message_events(tokens: DataFrame) -> DataFrame:
     return some.select("message_id", (F.col("seq") + 2).cast("long").alias("seq"), F.lit(DELTA).alias("type"), "delta").unionByName(frame)
 
 
-def serve(stream: DataFrame, base: str, name: str, mode: str = "append", after_batch: Callable[[int], None] | None = None, **trigger) -> StreamingQuery:
+def serve(stream: DataFrame, base: str, name: str, mode: str = "append", after_batch: Callable[[int], None] | None = None, settings: dict[str, str] | None = None, **trigger) -> StreamingQuery:
     """Start ``stream``, or go on where the query of this name was stopped; output is ``served(spark, base, name)``.
 
     ``base`` is a folder that all executors share. ``after_batch`` is called with the number of a batch
-    once it is written. The default trigger takes what is there and stops.
+    once it is written; ``settings`` hold for this query alone. The default trigger takes what is there and stops.
     """
+
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/{name}/events/batch={number}")
         if after_batch:
             after_batch(number)
 
     writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}/checkpoint")
-    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
+    with session_settings(stream.sparkSession, settings or {}):
+        return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
 
 
 def served(spark: SparkSession, base: str, name: str, schema: StructType) -> DataFrame:

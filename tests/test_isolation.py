@@ -51,17 +51,23 @@ def test_one_bad_text_does_not_fail_the_others(spark):
     assert [tuple(r) for r in found.errors.collect()] == [("s", "embedding", "ZeroDivisionError: division by zero")]
 
 
-def parse(text):
-    if text == "hang":
-        while True:
-            pass
-    if text == "sleep":
-        time.sleep(60)
-    if text == "die":
-        os._exit(3)
-    if text == "raise":
-        raise ValueError("no")
-    return (text or "nothing").upper()
+def a_parser():
+    def parse(text):
+        if text == "hang":
+            while True:
+                pass
+        if text == "sleep":
+            time.sleep(60)
+        if text == "die":
+            os._exit(3)
+        if text == "raise":
+            raise ValueError("no")
+        return (text or "nothing").upper()
+
+    return parse
+
+
+parse = a_parser()  # made in a function, so that workers need no module of tests
 
 
 def test_parsers_that_hang_die_or_raise(spark):

@@ -24,14 +24,14 @@ def test_messages_are_assembled_over_batches(spark, tmp_path):
         [("a", 6, "text-end", None), ("a", 7, "finish", None)],
         [("a", 8, "text-delta", "too late"), ("a", 9, "finish", None), ("d", 0, "finish", None)],
     ]
-    found = S.run_to_table(M.assemble_stream(streamed(spark, tmp_path, batches)))
+    found = S.run_to_table(M.assemble_stream(streamed(spark, tmp_path, batches)), settings=M.assembling())
     assert sorted(tuple(r) for r in found.collect()) == [("a", "finished", "Hello you", 3), ("a", "late", "too late", 1), ("b", "failed", "x", 1), ("d", "finished", "", 0)]
 
 
 def test_a_stalled_message_is_told_and_can_still_end(spark, tmp_path):
     batches = [[("a", 2, "text-delta", "one ")], [("b", 2, "text-delta", "x"), ("b", 3, "finish", None)], [("a", 3, "text-delta", "two"), ("a", 4, "finish", None)]]
     stream = M.assemble_stream(streamed(spark, tmp_path, batches), stall_ms=1)
-    query = M.serve(stream, f"file://{tmp_path}/out", "stalled", after_batch=lambda n: time.sleep(0.2))
+    query = M.serve(stream, f"file://{tmp_path}/out", "stalled", after_batch=lambda n: time.sleep(0.2), settings=M.assembling())
     query.awaitTermination()
     found = sorted(tuple(r)[:4] for r in M.served(spark, f"file://{tmp_path}/out", "stalled", stream.schema).collect())
     assert ("a", "finished", "one two", 2) in found and ("b", "finished", "x", 1) in found and ("a", "stalled", "one ", 1) in found
