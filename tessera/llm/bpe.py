@@ -20,7 +20,7 @@ import numpy as np
 
 #: Pieces longer than this, such as base64 blobs, are not remembered.
 LONGEST_REMEMBERED = 40
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 
 _odd_space = re.compile(r"[^\S \n]")
 _word = re.compile(r"[ \n][^\s]{1,40}\Z").match
@@ -81,12 +81,13 @@ class Encoder:
             self.memo, self.aged = {}, self.memo
         memo, aged = self.memo, self.aged
         memo[""] = b""
-        parts = [[text] if self.added(text) else pieces(text) for text in texts]
+        whole = {text for text in texts if self.added(text)}  # no piece of another text holds an added token
+        parts = [[text] if text in whole else pieces(text) for text in texts]
         words, marked, others = set(), [], []
         for x in set().union(*parts).difference(memo):
             if (known := aged.get(x)) is not None:
                 memo[x] = known
-            elif self.added(x):
+            elif x in whole:
                 others.append(x)
             elif found := _marked(x):
                 marked.append((x, *found.groups()))
