@@ -101,6 +101,10 @@ def _load(uri: str, name: str) -> bytes:
         return source.read()
 
 
+#: Bytes of text that a shard holds on average at most, unless the number of shards is given.
+SHARD_BYTES = 256 << 20
+
+
 def write_tokens(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None, id_width: int | None = None) -> DataFrame:
     """Write ``docs (doc_id, text, ...)`` below ``uri``, a folder that all executors reach.
 
@@ -124,7 +128,8 @@ def write_tokens(docs: DataFrame, uri: str, path: str | None = None, end_id: int
         for batch in batches:
             yield pa.record_batch([pa.array([serialised(x + end, id_width)[:SAMPLE_BYTES] for x in bpe.encoded(batch.column("text"), path)], pa.binary())], names=["ids"])
 
-    chosen = rows.filter(hash_draw("doc_id", "text") < SAMPLE_DOCS / max(1, docs.count())).select("text").limit(2 * SAMPLE_DOCS)
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    chosen = rows.filter(hash_draw("doc_id", "text") < SAMPLE_DOCS / max(1, size["n"])).select("text").limit(2 * SAMPLE_DOCS)
     raw = train([bytes(r["ids"]) for r in chosen.mapInArrow(sample_ids, "ids binary").collect()])
     files, base = _files(uri)
     files.create_dir(base, recursive=True)
@@ -157,7 +162,7 @@ def write_tokens(docs: DataFrame, uri: str, path: str | None = None, end_id: int
         _store(uri, f"shard-{shard}.idx", [bytes(index)])
         yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([len(index) // INDEX.itemsize], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // SHARD_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     made = written(ranged.mapInArrow(write, "shard long, n_docs long, n_tokens long"), "token-shards")
