@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,3 +183,41 @@ def ulid_millis(u: Column) -> Column:
     head = F.upper(F.substring(u, 1, 10))
     value = F.aggregate(F.split(head, ""), F.lit(0).cast("long"), lambda a, d: a * 32 + F.call_function("instr", F.lit(ULID_DIGITS), d) - 1)
     return F.when(head.rlike(f"^[{ULID_DIGITS}]{{10}}$"), value)
+
+
+_field = re.compile(r"\{\{|\}\}|\{([A-Za-z_][A-Za-z0-9_]*)\}")
+
+
+def from_template(template: str, **fields: Column) -> Column:
+    """``template`` with ``{name}`` replaced by the column of that name; ``{{`` and ``}}`` are braces.
+
+    A null value is empty text. Values are put in as they are: braces in them are no fields.
+    A field without a column, or a column without a field, is a ValueError.
+    """
+    parts, at, used = [], 0, set()
+    for found in _field.finditer(template):
+        parts.append(F.lit(template[at : found.start()]))
+        at = found.end()
+        if found[1] is None:
+            parts.append(F.lit(found[0][0]))
+        elif found[1] in fields:
+            used.add(found[1])
+            parts.append(F.coalesce(fields[found[1]].cast("string"), F.lit("")))
+        else:
+            raise ValueError(f"no value for {{{found[1]}}}")
+    if unused := set(fields) - used:
+        raise ValueError(f"the template has no field {sorted(unused)}")
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+#: Bytes that are encoded together; a multiple of three, so that the codes of blocks can be joined.
+BASE64_BLOCK = 32_766
+
+
+def base64_in_blocks(data: Column, block: int = BASE64_BLOCK) -> Column:
+    """Base64 of binary ``data``, encoded ``block`` bytes at a time and without line ends; null stays null."""
+    if block % 3:
+        raise ValueError("a block must be a multiple of three bytes")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(data) - 1), F.lit(block))
+    codes = F.transform(starts, lambda at: F.regexp_replace(F.base64(F.substring(data, at + 1, F.lit(block))), r"\s", ""))
+    return F.when(data.isNotNull(), F.array_join(codes, ""))

@@ -166,3 +166,21 @@ def touch(users: DataFrame, logins: DataFrame, key: str, time: str) -> DataFrame
     """``users`` with ``time``, their last login, moved forward to the latest of ``logins (key, time)``, never back."""
     latest = logins.groupBy(key).agg(F.max(time).alias("__latest"))
     return users.join(latest, key, "left").withColumn(time, F.greatest(time, "__latest")).drop("__latest").select(*users.columns)
+
+
+def eager(parents: DataFrame, key: str, one: dict[str, tuple[DataFrame, str, str]], many: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """``parents`` with what belongs to them loaded: a struct or null for each of ``one``, an array for each of ``many``.
+
+    ``one`` has name: (table, its key, the parents' column that names it), of equal keys the first by all columns; ``many`` has name: (table, its
+    column that names the parent, what it is ordered by). Children are gathered before the join; a parent without
+    any has an empty array. Children of one parent meet in one row.
+    """
+    out = parents
+    for name, (table, own, column) in one.items():
+        found = table.groupBy(F.col(own).alias("__key")).agg(F.min(F.struct(*table.columns)).alias(name))
+        out = out.join(found, F.col(column) == F.col("__key"), "left").drop("__key")
+    for name, (table, column, order) in many.items():
+        rest = [c for c in table.columns if c not in (column, order)]
+        gathered = F.sort_array(F.collect_list(F.struct(order, *rest))).alias(name)
+        out = out.join(table.groupBy(F.col(column).alias(key)).agg(gathered), key, "left").withColumn(name, F.coalesce(name, F.array()))
+    return out

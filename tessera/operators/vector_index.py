@@ -79,9 +79,17 @@ def _matrix(vectors: Iterable, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[finite], fine
 
 
-def build_vector_index(points: DataFrame, path: str, cells: int | None = None) -> VectorIndex:
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; a row of length 0 stays."""
+    lengths = np.sqrt((x**2).sum(1, keepdims=True))
+    return np.divide(x, lengths, out=np.zeros_like(x), where=lengths > 0)
+
+
+def build_vector_index(points: DataFrame, path: str, cells: int | None = None, directions: bool = False) -> VectorIndex:
     """Index ``points (chunk_id, vector, ...)`` below ``path``; all columns are kept and can be filtered by.
 
+    With ``directions`` points are placed by their vectors scaled to length 1: such an index serves cosine alone, with closer bounds.
+
     Every row is indexed. Vectors that are null, of another length than most of the sample, or not
     finite lie in a cell of their own that every search scans. ``cells`` is about the square root of the number of points where it is not given.
     """
@@ -96,6 +104,8 @@ def build_vector_index(points: DataFrame, path: str, cells: int | None = None) -
     lengths = [len(v) for v in sample]
     dimension = max(set(lengths), key=lambda k: (lengths.count(k), k), default=0)
     found, _ = _matrix(sample, dimension)
+    scaled = _directions if directions else lambda x: x
+    found = scaled(found)
     centres = _centroids(found, min(MAX_CELLS, cells or max(1, math.isqrt(n)))) if len(found) and dimension else np.zeros((0, dimension))
 
     @F.pandas_udf("cell int, distance double")
@@ -104,7 +114,7 @@ def build_vector_index(points: DataFrame, path: str, cells: int | None = None) -
             cell, distance = np.full(len(part), -1, np.int32), np.zeros(len(part))
             if len(centres):
                 x, fine = _matrix(list(part), dimension)
-                cell[fine], distance[fine] = _nearest(x, centres)
+                cell[fine], distance[fine] = _nearest(scaled(x), centres)
             yield pd.DataFrame({"cell": cell, "distance": distance})
 
     assigned = points.withColumn("__at", placed(doubles(F.col("vector")))).select(*points.columns, "__at.cell", "__at.distance")
@@ -117,7 +127,7 @@ def build_vector_index(points: DataFrame, path: str, cells: int | None = None) -
     stored = spark.read.schema(ringed.schema).parquet(f"{path}/points")
     facts = stored.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("least"), F.max("distance").alias("most"))
     facts.coalesce(1).write.parquet(f"{path}/cells")
-    about = {"dimension": int(dimension), "columns": points.columns, "schema": ringed.schema.json()}
+    about = {"dimension": int(dimension), "directions": directions, "columns": points.columns, "schema": ringed.schema.json()}
     spark.createDataFrame([(json.dumps(about), centres.ravel().tolist())], "about string, centroids array<double>").coalesce(1).write.parquet(f"{path}/about")
     return VectorIndex(spark, path)
 
@@ -131,7 +141,7 @@ class VectorIndex:
         self.spark, self.path = spark, path
         row = spark.read.parquet(f"{path}/about").first()
         about = json.loads(row["about"])
-        self.dimension, self.columns = about["dimension"], about["columns"]
+        self.dimension, self.columns, self.directions = about["dimension"], about["columns"], about["directions"]
         self._schema = StructType.fromJson(json.loads(about["schema"]))
         self.centroids = np.array(row["centroids"]).reshape(-1, self.dimension) if self.dimension else np.zeros((0, 0))
         facts = spark.read.parquet(f"{path}/cells").orderBy("cell", "ring").toPandas()
@@ -145,6 +155,11 @@ class VectorIndex:
 
     def bounds(self, asked: np.ndarray, metric: str) -> np.ndarray:
         """For each query and cell, the best score that a point there can have; larger is better (distances are negative)."""
+        if self.directions:
+            asked = _directions(asked)
+            apart = np.sqrt(np.maximum(1 + (self.centroids**2).sum(1) - 2 * asked @ self.centroids.T, 0))[:, self.cell]
+            near = np.maximum(0, np.maximum(apart - self.most, self.least - apart) - np.sqrt(SLACK))
+            return 1 - near**2 / 2 + SLACK  # the square of |x - q| is 2 - 2 cos for unit vectors
         centre = self.centroids[self.cell]
         lengths = np.sqrt((asked**2).sum(1))[:, None]
         middle = asked @ self.centroids.T
@@ -166,6 +181,8 @@ class VectorIndex:
     def search(self, queries: DataFrame, config: RetrievalConfig | None = None, exclude_self: bool = True, report: dict | None = None) -> DataFrame:
         """The rows of ``vector_search`` over the points; ``report`` gets how many pairs of query and point there are and were compared."""
         config = config or RetrievalConfig()
+        if self.directions and config.metric != "cosine":
+            raise ValueError("an index of directions serves cosine")
         queries = queries.select("query_id", doubles(F.col("query_vector")).alias("query_vector"))
         finite = F.coalesce(F.size("query_vector"), F.lit(-1)) == self.dimension
         plain = finite & F.forall("query_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

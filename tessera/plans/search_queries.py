@@ -47,7 +47,7 @@ _search("vector_search_filtered", hits_cte(where="source_id IN (1, 3, 5) AND chu
 
 def _indexed(metric: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = build_vector_index(base.points(spark, sf_dir), scratch_path(spark, "vector-index"))
+        index = build_vector_index(base.points(spark, sf_dir), scratch_path(spark, "vector-index"), directions=metric == "cosine")
         found = index.search(base.query_points(spark, sf_dir), retrieval.RetrievalConfig(metric=metric))
         return _shown(found.select("query_id", "chunk_id", "source_id", "similarity_score", "result_rank"))
 

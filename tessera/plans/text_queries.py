@@ -201,8 +201,8 @@ def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, 'Today is 2024-06-01.' || chr(10) || '<history>' || text || '</history>' AS prompt FROM conversations")
 def format_system_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A template with a date that is a parameter, so results repeat."""
-    day = F.date_format(F.lit("2024-06-01").cast("date"), "yyyy-MM-dd")
-    return _conversations(spark, sf_dir).select("conv_id", "turn", F.concat(F.lit("Today is "), day, F.lit(".\n<history>"), "text", F.lit("</history>")).alias("prompt"))
+    prompt = T.from_template("Today is {day}.\n<history>{history}</history>", day=F.date_format(F.lit("2024-06-01").cast("date"), "yyyy-MM-dd"), history=F.col("text"))
+    return _conversations(spark, sf_dir).select("conv_id", "turn", prompt.alias("prompt"))
 
 
 @query("SELECT conv_id, turn, role <> 'system' AS has_files, 2 + (role <> 'system')::INTEGER AS n_parts FROM conversations")
@@ -329,6 +329,12 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.documents(spark, sf_dir).select("doc_id", ((embedding.extractive_summary(F.col("text")) != "") | chunking.is_blank(F.col("text"))).alias("has_summary"))
 
 
+@query(f"SELECT doc_id, md5(array_to_string(list_slice(string_split(regexp_replace(trim(coalesce(text, ''), {BLANKS_SQL}), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), 1, 2), ' ')) AS summary_md5 FROM documents")
+def document_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary itself: the first two sentences of every document."""
+    return base.documents(spark, sf_dir).select("doc_id", F.md5(embedding.extractive_summary(F.col("text"))).alias("summary_md5"))
+
+
 # --- ingest and parsing ------------------------------------------------------
 
 
@@ -370,6 +376,12 @@ def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.documents(spark, sf_dir).select("doc_id", (back == text).alias("same"), F.md5(F.regexp_replace(F.base64(text.cast("binary")), r"\s", "")).alias("encoded"))  # without the line ends of MIME
 
 
+@query("SELECT doc_id, md5(to_base64(encode(text))) AS encoded FROM documents")
+def base64_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded in blocks of three bytes times 10,922, as one."""
+    return base.documents(spark, sf_dir).select("doc_id", F.md5(T.base64_in_blocks(F.col("text").cast("binary"))).alias("encoded"))
+
+
 _EXTENSION = "CASE doc_id % 6 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'dir.x/b.md' WHEN 2 THEN 'c.tar.docx' WHEN 3 THEN 'noext' WHEN 4 THEN 'd.Html' ELSE 'e.bin' END"
 _TYPE = "CASE doc_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 4 THEN 'text/html' ELSE 'unknown' END"
 
@@ -409,6 +421,13 @@ def parse_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("page_id", "parser_used", F.when(k != 0, F.col("parsed")).alias("parsed"))
 
 
+@query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'),
+  '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_md5 FROM pages""")
+def parse_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that the HTML parser gives of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(files.html_to_text(F.col("html"))).alias("text_md5"))
+
+
 # --- points store ------------------------------------------------------------
 
 _READY = """r AS (SELECT vec_id AS id, d.text, 'h' || vec_id AS source_hash, CASE WHEN vec_id % 11 = 5 THEN '' ELSE label::VARCHAR END AS source_id

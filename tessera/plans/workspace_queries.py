@@ -73,6 +73,17 @@ def convo_with_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.md5(F.array_join(F.transform("messages", lambda m: m["line"]), "\n")).alias("messages_md5"))
 
 
+@query("""SELECT o_orderkey, c_name AS owner, n_name AS nation, count(l_linenumber) AS n_items, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS items
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, c_name, n_name""")
+def eager_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer and its nation as structs and their items as an array."""
+    customers = R.eager(_customers(spark, sf_dir).select("c_custkey", "c_name", "c_nationkey"), "c_custkey", {"nation": (table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", "c_nationkey")}, {})
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    loaded = R.eager(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), "o_orderkey", {"owner": (customers, "c_custkey", "o_custkey")}, {"items": (items, "l_orderkey", "l_linenumber")})
+    line = F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"]))
+    return loaded.select("o_orderkey", F.col("owner.c_name").alias("owner"), F.col("owner.nation.n_name").alias("nation"), F.size("items").cast("long").alias("n_items"), F.array_join(line, ",").alias("items"))
+
+
 @query("SELECT p_partkey, s_suppkey, s_name FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size = 10")
 def source_workspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").filter("p_size = 10").select(F.col("p_partkey").alias("part"))

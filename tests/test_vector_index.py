@@ -21,12 +21,12 @@ def rows_of(df):
     return sorted((r.query_id, r.result_rank, r.chunk_id, r.source_id, r.similarity_score) for r in df.collect())
 
 
-def compared(spark, tmp_path, vectors, asked, name="i", cells=None, **config):
+def compared(spark, tmp_path, vectors, asked, name="i", cells=None, directions=False, **config):
     pts = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(vectors)], POINT)
     queries = spark.createDataFrame(list(enumerate(asked)), QUERY)
     config = retrieval.RetrievalConfig(**config)
     report = {}
-    index = build_vector_index(pts, f"file://{tmp_path}/{name}", cells)
+    index = build_vector_index(pts, f"file://{tmp_path}/{name}", cells, directions)
     found = rows_of(index.search(queries, config, report=report))
     assert found == rows_of(retrieval.vector_search(pts, queries, config))
     assert sorted(VectorIndex(spark, f"file://{tmp_path}/{name}").points().columns) == sorted([*pts.columns, "cell", "ring", "distance", "row"])
@@ -82,3 +82,16 @@ def test_only_visited_cells_are_read(spark, tmp_path):
     index = build_vector_index(spark.createDataFrame(list(enumerate(vectors)), "chunk_id long, vector array<double>"), f"file://{tmp_path}/p", 10)
     plan = index.points().filter(F.col("cell").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan
+
+
+def test_an_index_of_directions(spark, tmp_path):
+    rng = random.Random(6)
+    vectors = [[x * scale for x in v] for v, scale in zip(clustered(rng, 300), [rng.uniform(0.1, 9) for _ in range(300)])]
+    _, plain = compared(spark, tmp_path, vectors, vectors[:8], "plain", top_k=5)
+    _, report = compared(spark, tmp_path, vectors, vectors[:8], "scaled", directions=True, top_k=5)
+    assert report["compared"] < 0.3 * report["pairs"] and report["compared"] < plain["compared"]
+    odd = [None, [0.0] * 6, [1.0], *vectors[:40]]
+    compared(spark, tmp_path, odd, [[0.0] * 6, vectors[3], [1.0]], "odd", directions=True, top_k=7)
+    index = VectorIndex(spark, f"file://{tmp_path}/scaled")
+    with pytest.raises(ValueError, match="cosine"):
+        index.search(spark.createDataFrame([(1, [1.0])], QUERY), retrieval.RetrievalConfig(metric="dot"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import blake3
-from tessera.functions.text import DOCUMENT_TYPES, known_type
+from tessera.functions.text import BASE64_BLOCK, DOCUMENT_TYPES, base64_in_blocks, from_template, known_type
 from tessera.operators import post, relational, retrieval
 from tessera.sources import files
 
@@ -134,3 +134,33 @@ def test_filters_of_random_rows(spark):
         ({}, lambda r: True),
     ]:
         assert sorted(r.id for r in retrieval.metadata_filter(table, filters).collect()) == [r[0] for r in rows if keep(r)]
+
+
+def test_templates(spark):
+    rows = spark.createDataFrame([("x {b} }", 3), (None, 4)], "a string, b int")
+    made = from_template("{{<{a}|{b}>}} {a}", a=F.col("a"), b=F.col("b"))
+    assert [r[0] for r in rows.select(made).collect()] == ["{<x {b} }|3>} x {b} }", "{<|4>} "]
+    assert rows.select(from_template("plain")).first()[0] == "plain"
+    for bad in ({"a": F.col("a")}, {"a": F.col("a"), "b": F.col("b"), "c": F.col("b")}):
+        with pytest.raises(ValueError):
+            from_template("{a} {b}", **bad)
+
+
+def test_base64_in_blocks(spark):
+    import base64
+
+    rng = random.Random(4)
+    data = [rng.randbytes(n) for n in (0, 1, 2, 3, 5, 6, 7, 100)]
+    rows = spark.createDataFrame([(bytearray(x),) for x in data] + [(None,)], "x binary")
+    for block in (3, 6, BASE64_BLOCK):
+        assert [r[0] for r in rows.select(base64_in_blocks(F.col("x"), block)).collect()] == [base64.b64encode(x).decode() for x in data] + [None]
+    with pytest.raises(ValueError, match="three"):
+        base64_in_blocks(F.col("x"), 4)
+
+
+def test_eager_loading(spark):
+    convos = spark.createDataFrame([(1, 10), (2, 11), (3, None)], "id int, owner int")
+    users = spark.createDataFrame([(10, "a"), (10, "b")], "user int, name string")
+    said = spark.createDataFrame([(1, 2, "y"), (1, 1, "x"), (9, 1, "z"), (None, 1, "n")], "convo int, turn int, text string")
+    found = relational.eager(convos, "id", {"user": (users, "user", "owner")}, {"messages": (said, "convo", "turn")}).orderBy("id").collect()
+    assert [(r.id, r.user and r.user.name, [m.text for m in r.messages]) for r in found] == [(1, "a", ["x", "y"]), (2, None, []), (3, None, [])]
