@@ -108,7 +108,7 @@ def plain_vector(text, dimensions):
     def letter(c):
         code = ord(c)
         if code not in letters:
-            bits = np.random.Generator(np.random.PCG64(zlib.crc32(b"letter %d" % code))).integers(0, 2, dimensions)
+            bits = np.random.Generator(np.random.PCG64(zlib.crc32(b"letter %d" % code))).integers(0, 2, dimensions, dtype=np.int8)
             letters[code] = [1 if b else -1 for b in bits]
         return letters[code]
 
