@@ -88,13 +88,13 @@ def ancestors(messages: DataFrame, start: DataFrame, max_depth: int | None = Non
     ``max_depth`` says where to stop.
     """
     step = messages.filter("parent_id is not null").select("message_id", F.col("parent_id").alias("ancestor_id")).distinct().withColumn("distance", F.lit(1).cast("long"))
-    found = start.select("message_id").distinct().withColumns({"ancestor_id": F.col("message_id"), "distance": F.lit(0).cast("long")})
+    found = written(start.select("message_id").distinct().withColumns({"ancestor_id": F.col("message_id"), "distance": F.lit(0).cast("long")}), "ancestors")
     reach = 1
     while True:
         up = step.select(F.col("message_id").alias("ancestor_id"), F.col("ancestor_id").alias("above"), F.col("distance").alias("more"))
         higher = found.join(up, "ancestor_id").select("message_id", F.col("above").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
         higher = written(higher, "ancestors")
-        found = written(found.unionByName(higher), "ancestors")
+        found = found.unionByName(higher)  # of written tables, one a round
         if max_depth is None:
             again = found.groupBy("message_id", "ancestor_id").agg(F.count_distinct("distance").alias("n")).filter("n > 1")
             if not again.isEmpty():
