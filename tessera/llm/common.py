@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.scratch import text_batches as text_batches
 from tessera.session import share_code
 
 #: The white space of the contracts, code points 0x20 and 0x09 to 0x0D.
@@ -71,23 +71,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Rows of an Arrow batch of whole texts. Spark's own 10,000 are held in the JVM, again in Python and once more as results.
-TEXT_ROWS = 512
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextmanager
-def text_batches(spark: SparkSession) -> Iterator[None]:
-    """What runs inside hands Python at most ``TEXT_ROWS`` rows at a time; the session's setting is put back after it."""
-    before = spark.conf.get(_BATCH_ROWS)
-    if not 0 < int(before) <= TEXT_ROWS:
-        spark.conf.set(_BATCH_ROWS, str(TEXT_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_ROWS, before)
-
-
 def prepare(df: DataFrame) -> SparkSession:
     share_code(df.sparkSession)
     return df.sparkSession

@@ -9,24 +9,32 @@ plans), so each task sends the best of each query only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions.text import expanded, words
 from tessera.functions.vectors import METRICS, dot, norm
+from tessera.operators import best
 from tessera.operators.post import reciprocal_rank_fusion
-from tessera.scratch import unused, written
+from tessera.scratch import text_batches, unused, written
+from tessera.session import share_code
 
 if TYPE_CHECKING:
     from tessera.operators.keyword_index import KeywordIndex
     from tessera.operators.vector_index import VectorIndex
 
 QUERY_BLOCK = 1024
+#: Keyword scores are rounded to so many places before they are ranked.
+PLACES = 6
 
 Filter = str | int | float | bool | list | tuple | set | Callable[[Column], Column]
 
@@ -194,34 +202,107 @@ def sparse_search(documents: DataFrame, queries: DataFrame, top_k: int = 10) ->
     return first_ranks(scored, top_k, "query_id", [F.col("score").desc(), F.col("chunk_id")], "result_rank")
 
 
-#: Distinct terms of a query set that are sent to all tasks; more are joined by shuffle.
-BROADCAST_TERMS = 100_000
+#: Pairs of query and term, and queries, that are sent to all tasks at once; more go in several blocks, with a scan of the texts each.
+BLOCK_TERMS = 2_000_000
+BLOCK_TEXTS = 16_384
+#: Words of texts that a task holds at a time.
+HELD_WORDS = 1 << 20
 
 
 def keyword_search_many(docs: DataFrame, queries: DataFrame, top_k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of ``docs (chunk_id, text)`` for every query of ``queries (query_id, query_text)``: query_id, chunk_id, keyword_score, result_rank.
 
-    Texts are read and split once for all queries; only (document, term) counts of terms
-    that some query holds leave the scan, into a table. Scores are rounded to six places, so
+    Texts are read and split once for a block of queries; of each document the counts of terms
+    that some query holds go into a table, and nothing is shuffled by term or by pair of query
+    and document: a task multiplies its documents with the block and gives the best of each query. Scores are rounded to six places, so
     that the order does not hang on the order of sums. Null texts count as empty,
     a query without a word has no results.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.lower(F.coalesce("query_text", F.lit("")))))).alias("term"))
-    terms = asked.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    split = docs.select("chunk_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens")).withColumn("length", F.size("tokens"))
-    # Beside its terms each document has the empty one, which no text holds, for the number of documents and their lengths.
-    exploded = split.select("chunk_id", "length", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
-    kept = exploded.join(terms.union(docs.sparkSession.range(1).select(F.lit("").alias("term"))), "term", "left_semi")
-    counted = written(kept.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf")), "asked-postings")
-    postings = counted.filter("term <> ''")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    whole = counted.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = postings.join(frequency, "term").crossJoin(F.broadcast(whole)).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("keyword_score"))  # whole: one row
-    return first_ranks(scored, top_k, "query_id", [F.col("keyword_score").desc(), F.col("chunk_id")], "result_rank")
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(words(F.lower(F.coalesce("query_text", F.lit("")))))).alias("term")), "asked-terms")
+    size = asked.agg(F.count("*").alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
+    blocks = max(1, -(-size["pairs"] // BLOCK_TERMS), -(-size["queries"] // BLOCK_TEXTS))
+    blocks *= 2 if blocks > 1 else 1  # of about half the bound, so that uneven hashing stays below it
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_keyword_block(docs, asked if blocks == 1 else asked.filter(part == at), top_k, k1, b) for at in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def asked_block(asked: DataFrame) -> tuple[np.ndarray, np.ndarray, pa.Array, DataFrame]:
+    """``asked (query_id, term)``, one block: number of the query and place of the term of each pair, the terms, and the queries' numbers as (query, query_id)."""
+    pairs = asked.select("query_id", "term").distinct().toArrow().combine_chunks()
+    query, term = (pc.dictionary_encode(pairs.column(c).combine_chunks(), null_encoding="encode") for c in ("query_id", "term"))
+    query, term = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (query, term))
+    kind = StructType([StructField("query", IntegerType()), StructField("query_id", asked.schema["query_id"].dataType)])
+    names = asked.sparkSession.createDataFrame(list(enumerate(query.dictionary.to_pylist())), kind)
+    return query.indices.to_numpy(), term.indices.to_numpy(), term.dictionary, names
+
+
+def _keyword_block(docs: DataFrame, asked: DataFrame, top_k: int, k1: float, b: float) -> DataFrame:
+    spark = docs.sparkSession
+    share_code(spark)
+    query, term, names, ids = asked_block(asked)
+    sent = spark.sparkContext.broadcast(names)
+    kind = docs.schema["chunk_id"].dataType.simpleString()
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in gathered(batches, "tokens", HELD_WORDS):
+            tokens = batch.column("tokens")
+            doc, length = best.lists(tokens)
+            flat = tokens.flatten()
+            code = pc.fill_null(pc.index_in(flat, value_set=known.cast(flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            pair, tf = np.unique((doc * max(1, len(known)) + code)[code >= 0], return_counts=True)
+            doc, code = np.divmod(pair, max(1, len(known)))
+            ends = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+            listed = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (code, tf, length[doc])]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(length), *listed], names=["chunk_id", "length", "terms", "tf", "lengths"])
+
+    split = docs.select("chunk_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens"))
+    with text_batches(spark):
+        held = written(split.mapInArrow(counted, f"chunk_id {kind}, length long, terms array<int>, tf array<int>, lengths array<int>"), "asked-postings")
+    whole = held.agg(F.count("*").alias("n"), F.sum("length").alias("words")).first()
+    n, mean = whole["n"], (whole["words"] or 0) / max(1, whole["n"]) or 1.0
+    again = held.groupBy("chunk_id").count().filter("count > 1")
+    if not again.isEmpty():  # rows that share a chunk_id: a document whose terms stand once for each length
+        again = written(again.select("chunk_id"), "repeated-names")
+        same = F.col("chunk_id").eqNullSafe(F.col("__again"))
+        named = again.withColumnRenamed("chunk_id", "__again")
+        one = held.join(named, same, "left_semi").select("chunk_id", F.explode(F.arrays_zip("terms", "tf", "lengths")).alias("p")).groupBy("chunk_id", "p.terms", "p.lengths").agg(F.sum("p.tf").cast("int").alias("tf"))
+        listed = F.collect_list(F.struct("terms", "tf", "lengths"))
+        merged = one.groupBy("chunk_id").agg(listed.alias("p")).select("chunk_id", F.lit(0).cast("long").alias("length"), "p.terms", "p.tf", "p.lengths")
+        held = written(held.join(named, same, "left_anti").unionByName(merged), "asked-postings")
+    frequency = held.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+    df = np.zeros(len(names))
+    df[frequency.column("term").to_numpy()] = frequency.column("count").to_numpy()
+    terms = spark.sparkContext.broadcast(best.AskedTerms(query, term, np.log(1 + (n - df + 0.5) / (df + 0.5)), df, ids.count()))
+
+    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = terms.value
+        kept = best.Best(asked.queries, top_k)
+        for batch in batches:
+            doc, _ = best.lists(batch.column("terms"))
+            term, tf, length = (batch.column(c).flatten().to_numpy() for c in ("terms", "tf", "lengths"))
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+            best.add_scored(kept, asked, batch.select(["chunk_id"]), doc, term, weight, PLACES)
+        yield from kept.batches("keyword_score")
+
+    found = held.select("chunk_id", "terms", "tf", "lengths").mapInArrow(scored, f"query int, chunk_id {kind}, keyword_score double")
+    found = found.join(F.broadcast(ids), "query").select("query_id", "chunk_id", "keyword_score")  # a block of queries
+    return first_ranks(found, top_k, "query_id", [F.col("keyword_score").desc(), F.col("chunk_id")], "result_rank")
+
+
+def gathered(batches: Iterable[pa.RecordBatch], column: str, values: int) -> Iterator[pa.RecordBatch]:
+    """``batches`` put together until their lists in ``column`` hold ``values`` values."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column(column).flatten())
+        if n >= values:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _ranked_list(found: DataFrame, index: int) -> DataFrame:
