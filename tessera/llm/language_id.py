@@ -7,8 +7,8 @@ the normalised vectors of its learning texts. The prediction is the prototype of
 largest cosine. Letter vectors come from a hash of the letter, so no alphabet is
 fixed and every worker makes the same ones.
 
-Learning reads a bounded sample: of each language about ``per_language`` learning
-rows, those whose id hash lies below the share that gives so many. Prototypes are one vector a language, gathered to the
+Operator 10 learns from a bounded sample: of each language about ``per_language`` learning
+rows, those whose id hash lies below the share that gives so many; the pipeline's stage learns from all. Prototypes are one vector a language, gathered to the
 driver and sent with the tasks: languages x dimensions x 4 bytes.
 """
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -111,10 +110,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _drawn(docs: DataFrame, per_language: int, held: bool) -> DataFrame | None:
-    """``(doc_id, lang, text)``: about ``per_language`` rows of each language, held out or not; None if there is none."""
+def _drawn(docs: DataFrame, per_language: int | None, held: bool) -> DataFrame | None:
+    """``(doc_id, lang, text)``: about ``per_language`` rows of each language, or all, held out or not; None if there is none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (held_out(F.col("doc_id")) == held))
+    if per_language is None:
+        known = known.filter(F.col("text").isNotNull())
+        return None if known.isEmpty() else known
     counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
@@ -122,11 +124,11 @@ def _drawn(docs: DataFrame, per_language: int, held: bool) -> DataFrame | None:
     return known.filter(F.col("text").isNotNull() & (hash_draw("doc_id") < F.element_at(share, F.col("lang"))))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, per_language: int | None = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from ``docs (doc_id, text, lang)``.
 
     Only rows with an id, a text and a language whose id is not held out teach,
-    and of those about ``per_language`` of each language (id hash below their share).
+    and of those about ``per_language`` of each language (id hash below their share), or all if it is None.
     """
     prepare(docs)
     sample = _drawn(docs, per_language, False)
@@ -146,7 +148,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = D
             yield pa.record_batch([pa.array([lang]), pa.array([total.tobytes()])], names=["lang", "total"])
 
     found: dict[str, np.ndarray] = {}
-    rows = sample.select("lang", "text").mapInArrow(bundle, "lang string, total binary").collect()
+    with text_batches(docs.sparkSession):
+        rows = sample.select("lang", "text").mapInArrow(bundle, "lang string, total binary").collect()
     for lang, total in sorted((r["lang"], bytes(r["total"])) for r in rows):
         found[lang] = found.get(lang, 0.0) + np.frombuffer(total)
     names = sorted(x for x in found if np.linalg.norm(found[x]) > 0)
@@ -204,10 +207,10 @@ LEAST_TEXTS = 30
 _STEPS = 1000
 
 
-def thresholds(docs: DataFrame, names: list[str], prototypes: np.ndarray, per_language: int = PER_LANGUAGE, own_loss: float = 0.001, foreign_loss: float = 0.99) -> tuple[list[float], list[dict]]:
+def thresholds(docs: DataFrame, names: list[str], prototypes: np.ndarray, per_language: int | None = PER_LANGUAGE, own_loss: float = 0.001, foreign_loss: float = 0.99) -> tuple[list[float], list[dict]]:
     """Least scores by class of letters, and what they rest on: per class texts, threshold, and shares rejected of both kinds.
 
-    About ``per_language`` held-out texts of each language are scored twice: against all
+    About ``per_language`` held-out texts of each language, or all of them, are scored twice: against all
     prototypes, and against those of other languages, as if theirs had never been learned. The threshold
     rejects ``foreign_loss`` of the second scores but never more than ``own_loss`` of
     the first. It is 0 in a class of fewer than ``LEAST_TEXTS`` texts, and where a single language is known.
@@ -234,9 +237,12 @@ def thresholds(docs: DataFrame, names: list[str], prototypes: np.ndarray, per_la
     found = sample.select("lang", "text").mapInArrow(score, "letters long, own double, foreign double").filter("letters > 0")
     of = sum((F.when(F.col("letters") >= end, 1).otherwise(0) for end in LETTER_CLASSES), F.lit(0)).alias("of")
     steps = lambda x: F.floor(F.greatest(F.col(x), F.lit(0.0)) * _STEPS).cast("int").alias("at")
-    counted = reduce(DataFrame.unionByName, [found.select(of, F.lit(x).alias("kind"), steps(x)) for x in ("own", "foreign")])
+    both = F.array(*[F.struct(F.lit(x).alias("kind"), steps(x)) for x in ("own", "foreign")])  # each text is scored once
+    counted = found.select(of, F.explode(both).alias("x")).select("of", "x.kind", "x.at")
     held = np.zeros((len(nothing), 2, _STEPS + 1), np.int64)
-    for r in counted.groupBy("of", "kind", "at").count().collect():  # at most classes x 2 x steps rows
+    with text_batches(docs.sparkSession):
+        rows = counted.groupBy("of", "kind", "at").count().collect()  # at most classes x 2 x steps rows
+    for r in rows:
         held[r["of"], int(r["kind"] == "foreign"), min(r["at"], _STEPS)] = r["count"]
     least, facts = nothing, []
     for k, (own, foreign) in enumerate(held):
@@ -252,11 +258,11 @@ def letter_count(text: str | None) -> int:
     return sum(map(str.isalpha, text or ""))
 
 
-def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> DataFrame:
+def keep_identified(docs: DataFrame, per_language: int | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
     """``docs`` without rows that are undetermined or resemble no learned language; all columns are kept.
 
     A text resembles none if its best cosine is below the threshold of its class
-    of letters (``thresholds``). Null texts and texts without a letter are
+    of letters (``thresholds``). Prototypes and thresholds come from all rows, unless ``per_language`` bounds them. Null texts and texts without a letter are
     undetermined. Where nothing could be learned (no row with an id, a text and a language), all rows stay. Repeated rows
     stay repeated, a null doc_id changes nothing, an empty table stays empty, and
     columns may have any names.
