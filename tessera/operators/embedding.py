@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import math
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,19 +54,29 @@ def hashing_embedder(text: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashed_vector(t or "") for t in texts])
+        return pd.Series(list(hashed_vectors([t or "" for t in texts])))
 
     return embed(text)
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def _bucket(word: str) -> int:
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % HASH_DIMENSIONS
+
+
+def hashed_vectors(texts: list[str]) -> np.ndarray:
+    """The vectors of the hashing embedder for ``texts``, a row each; words that come again are not hashed again."""
+    counts = np.zeros((len(texts), HASH_DIMENSIONS))
+    for row, text in zip(counts, texts, strict=True):
+        found = [_bucket(word) for word in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if word]
+        row += np.bincount(found, minlength=HASH_DIMENSIONS) if found else 0
+    length = np.sqrt((counts * counts).sum(1))[:, None]  # squares of counts are whole, so their sum is exact
+    return np.divide(counts, length, out=counts, where=length > 0)
+
+
 def hashed_vector(text: str) -> list[float]:
     """The vector of the hashing embedder for one text."""
-    counts = [0.0] * HASH_DIMENSIONS
-    for word in re.split(r"[ \t\n\x0b\f\r]+", text.lower()):
-        if word:
-            counts[int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % HASH_DIMENSIONS] += 1
-    length = math.sqrt(sum(x * x for x in counts))
-    return [x / length for x in counts] if length else counts
+    return hashed_vectors([text])[0].tolist()
 
 
 def embed_chunks(chunks: DataFrame, embed: Embedder = hashing_embedder, text: str = "text") -> DataFrame:

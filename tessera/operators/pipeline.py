@@ -12,6 +12,7 @@ from tessera.functions.text import stripped
 from tessera.operators import chunking, post
 from tessera.operators.embedding import Embedder, embed_chunks, hashing_embedder
 from tessera.operators.retrieval import RetrievalConfig, vector_search
+from tessera.scratch import few, written
 from tessera.sources.files import parse_with_fallback
 from tessera.sources.points import prepare_points
 
@@ -50,8 +51,15 @@ def answer(points: DataFrame, questions: DataFrame, config: RetrievalConfig | No
     config = config or RetrievalConfig()
     asked = questions.filter(stripped(F.coalesce("query_text", F.lit(""))) != "")
     vectors = asked.select("query_id", embed(F.col("query_text")).alias("query_vector"))
+    asked = written(asked, "questions")
     flat = points.select(F.col("id").alias("chunk_id"), "vector", "payload.source_id", "payload.media_type", F.col("payload.text").alias("contents"))
-    found = vector_search(flat, vectors, config, exclude_self=False).join(asked, "query_id")
+    flat = written(flat, "searched-points")  # once, whatever the number of blocks of questions; the search does not read the contents
+    vectors = asked.select("query_id", embed(F.col("query_text")).alias("query_vector"))
+    narrow = flat.withColumn("__at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    found = written(vector_search(narrow.drop("contents"), vectors, config, exclude_self=False), "found-points")
+    visited = found.select(F.col("__at").alias("__of")).distinct()
+    texts = narrow.select(F.col("__at").alias("__of"), "contents").join(few(visited), "__of", "left_semi")
+    found = found.join(texts, found["__at"] == texts["__of"]).drop("__at", "__of").join(asked, "query_id")
     if config.deduplicate:
         found = post.dedup_results(found)
     return post.rerank(found, config.rerank_top_k or config.top_k, scorer=rerank_with)

@@ -124,7 +124,8 @@ def parse_with_fallback(files: DataFrame, primary: str, fallbacks: tuple[str, ..
     gives text, parsed is empty and errors says so. A row never fails its neighbours.
     """
     tried = [n for n in dict.fromkeys((primary, *fallbacks)) if n in _parsers]
-    results = [F.when(F.col("media_type").isin(*_parsers[n][1]), F.nullif(F.btrim(_parsers[n][0](F.coalesce(content, F.lit("")))), F.lit(""))) for n in tried]
+    filled = lambda x: F.get(F.filter(F.array(x), lambda t: t != ""), F.lit(0))  # null for an empty text; a nullif here would parse twice
+    results = [F.when(F.col("media_type").isin(*_parsers[n][1]), filled(F.btrim(_parsers[n][0](F.coalesce(content, F.lit("")))))) for n in tried]
     text = F.coalesce(*results, F.lit(""))
     used = F.coalesce(*[F.when(r.isNotNull(), n) for n, r in zip(tried, results, strict=True)]) if tried else F.lit(None).cast("string")
     return files.withColumns({"parsed": text, "parser_used": used}).withColumn("errors", F.when(F.col("parsed") == "", F.array(F.lit("no parser gave text"))).otherwise(F.array().cast("array<string>")))
