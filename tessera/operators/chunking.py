@@ -112,10 +112,12 @@ def semantic_spans(text: str, config: ChunkerConfig) -> Iterator[Span]:
     for i, (a, b) in enumerate(found):
         size = len(text[a:b].split())
         if i > first:
-            before = vectors[max(0, i - config.similarity_window) : i].mean(0)
-            length = np.linalg.norm(before) * np.linalg.norm(vectors[i])
-            alike = float(before @ vectors[i] / length) if length else 0.0
-            if held + size > config.chunk_size or alike < config.similarity_threshold and i - first >= config.min_sentences:
+            cut = held + size > config.chunk_size
+            if not cut and i - first >= config.min_sentences:  # only here does the likeness decide
+                before = vectors[max(0, i - config.similarity_window) : i].mean(0)
+                length = np.linalg.norm(before) * np.linalg.norm(vectors[i])
+                cut = (float(before @ vectors[i] / length) if length else 0.0) < config.similarity_threshold
+            if cut:
                 yield found[first][0], found[i - 1][1], max(1, held), text[found[first][0] : found[i - 1][1]]
                 first, held = i, 0
         held += size
