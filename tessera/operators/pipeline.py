@@ -56,7 +56,8 @@ def answer(points: DataFrame, questions: DataFrame, config: RetrievalConfig | No
     flat = written(flat, "searched-points")  # once, whatever the number of blocks of questions; the search does not read the contents
     vectors = asked.select("query_id", embed(F.col("query_text")).alias("query_vector"))
     narrow = flat.withColumn("__at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    found = written(vector_search(narrow.drop("contents"), vectors, config, exclude_self=False), "found-points")
+    searched = narrow if any(name.split(".")[0] == "contents" for name in config.filters) else narrow.drop("contents")
+    found = written(vector_search(searched, vectors, config, exclude_self=False).drop("contents"), "found-points")
     visited = found.select(F.col("__at").alias("__of")).distinct()
     texts = narrow.select(F.col("__at").alias("__of"), "contents").join(few(visited), "__of", "left_semi")
     found = found.join(texts, found["__at"] == texts["__of"]).drop("__at", "__of").join(asked, "query_id")

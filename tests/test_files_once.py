@@ -24,3 +24,6 @@ def test_answers_of_many_blocks(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
     assert rows() == whole and {r[0] for r in whole} == set(range(6))
+    chosen = retrieval.RetrievalConfig(filters={"contents": lambda c: c.contains("word3")})
+    assert {r.source_id for r in pipeline.answer(points, questions, chosen).collect()} <= {3, *range(8, 40, 5), *range(30, 40)}
+    assert pipeline.answer(points, questions, chosen).count() > 0
