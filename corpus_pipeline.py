@@ -38,9 +38,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+#: Words whose ids a worker of the packing stage holds: fewer than elsewhere, since executors still hold what the stages before took.
+REMEMBERED = 200_000
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all token pieces in sequences of 1024; repeated rows are packed as often."""
-    return pack(docs)
+    return pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_dedup", simhash), ("mixing", mixing), ("packing", packing)]

@@ -185,7 +185,7 @@ class Places:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, remembered: int = bpe.MEMO_ENTRIES) -> DataFrame:
     """Token pieces of every row: ids of the whole text, then ``end_id``, cut from the end into ``capacity``."""
     prepare(docs)
     path = path or bpe.default_path()
@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encoded(batch.column("text"), path), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encoded(batch.column("text"), path, remembered), strict=True):
                 ids += end
                 n = len(ids) // 4
                 stop = n - (n - 1) // capacity * capacity
@@ -210,7 +210,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, parts: int = PARTS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, parts: int = PARTS, remembered: int = bpe.MEMO_ENTRIES) -> DataFrame:
     """Pieces of ``docs (doc_id, text, ...)`` with their place: sequence_id, offset.
 
     Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A
@@ -218,9 +218,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
     from offset 0 without gaps. Repeated rows are packed as often as they occur;
     a null doc_id stays null. Planned sequences count from 0, those that one
     full piece fills have negative numbers. An empty table gives no rows.
+    ``remembered`` is how many words' ids a worker holds.
     """
     with text_batches(docs.sparkSession):
-        made = written(pieces(docs, capacity, path, end_id), "pieces")
+        made = written(pieces(docs, capacity, path, end_id, remembered), "pieces")
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
     short = made.filter(F.col("length") < capacity).withColumn("part", part)
     found = short.groupBy("length", "part").count().collect()
