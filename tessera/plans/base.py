@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import doubles
 from tessera.operators.retrieval import RetrievalConfig, vector_search
+from tessera.scratch import few, written
 from tessera.session import table
 
 
@@ -26,10 +27,17 @@ def hits(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
 
 
 def hits_with_text(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
-    """Search results with contents and source_name of the document of the same id, and the query's own text."""
+    """Search results with contents and source_name of the document of the same id, and the query's own text.
+
+    The narrow results come first; of the documents only those that they name are kept, in one scan, and shuffled.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("contents"), F.col("source").alias("source_name"))
-    asked = docs.select(F.col("chunk_id").alias("query_id"), F.col("contents").alias("query_text"))
-    return hits(spark, sf_dir, **config).join(docs, "chunk_id", "left").join(asked, "query_id", "left")
+    tasks = spark.sparkContext.defaultParallelism  # results are small without their texts, and would be left in few tasks
+    found = written(hits(spark, sf_dir, **config).repartition(tasks, "query_id"), "hits")
+    named = found.select("chunk_id").union(found.select("query_id")).distinct()
+    texts = written(docs.join(few(named), "chunk_id", "left_semi"), "hit-texts")
+    asked = texts.select(F.col("chunk_id").alias("query_id"), F.col("contents").alias("query_text"))
+    return found.join(texts, "chunk_id", "left").join(asked, "query_id", "left")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
