@@ -40,6 +40,13 @@ def hits_with_text(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
     return found.join(texts, "chunk_id", "left").join(asked, "query_id", "left")
 
 
+def hits_with_source(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
+    """The rows of ``hits_with_text`` with source_name alone; no text is read."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"))
+    asked = docs.select(F.col("chunk_id").alias("query_id"))
+    return hits(spark, sf_dir, **config).join(docs, "chunk_id", "left").join(asked, "query_id", "left")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

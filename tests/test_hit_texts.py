@@ -43,3 +43,11 @@ def _compare(spark, tmp_path):
     assert {r["query_id"] for r in found} == {0, 100}
     wanted = [(h["query_id"], h["result_rank"], c, q) for h in found for c in held.get(h["chunk_id"], [None]) for q in held.get(h["query_id"], [None])]
     assert sorted(map(str, wanted)) == sorted(str((r["query_id"], r["result_rank"], r["contents"], r["query_text"])) for r in rows)
+
+
+def test_documents_mode_reads_no_text(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(base, "written", lambda df, name: made.append(name) or df)
+    found = search_queries.retrieve_documents_mode(spark, "/root/testdata/sf0.001")
+    assert not made
+    assert "text:string" not in found._jdf.queryExecution().executedPlan().toString()
